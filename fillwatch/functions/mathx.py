@@ -171,9 +171,9 @@ def effective_window(forgetting) -> Column:
     return F.least(1.0 / (1.0 - _c(forgetting) + 1e-12), F.lit(1e6))
 
 
-def wilson(hits, n, level: float = 0.95):
+def wilson(hits, n, level=0.95):
     """Wilson score bounds; ``(0, 1)`` when there is no trial."""
-    z = F.lit(1.0) * norm_ppf(F.lit(0.5 + level / 2.0))
+    z = norm_ppf((level if isinstance(level, Column) else F.lit(float(level))) / 2.0 + 0.5)
     n_, k = _c(n).cast("double"), _c(hits).cast("double")
     safe = F.when(n_ > 0, n_)
     p = k / safe
