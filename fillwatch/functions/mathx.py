@@ -171,14 +171,14 @@ def effective_window(forgetting) -> Column:
     return F.least(1.0 / (1.0 - _c(forgetting) + 1e-12), F.lit(1e6))
 
 
-def wilson(hits, n, level=0.95):
-    """Wilson score bounds; ``(0, 1)`` when there is no trial."""
-    z = norm_ppf((level if isinstance(level, Column) else F.lit(float(level))) / 2.0 + 0.5)
+def wilson(hits, n, z=None, level: float = 0.95):
+    """Wilson score bounds; ``(0, 1)`` when there is no trial. ``z`` overrides the level's quantile."""
+    z = norm_ppf(F.lit(0.5 + level / 2.0)) if z is None else _c(z)
     n_, k = _c(n).cast("double"), _c(hits).cast("double")
     safe = F.when(n_ > 0, n_)
     p = k / safe
     shrink = 1.0 + z * z / safe
     mid = (p + z * z / (2.0 * safe)) / shrink
-    half = z * F.sqrt(p * (1.0 - p) / safe + z * z / (4.0 * safe * safe)) / shrink
+    half = z / shrink * F.sqrt(p * (1.0 - p) / safe + z * z / (4.0 * safe * safe))
     return (F.coalesce(F.greatest(mid - half, F.lit(0.0)), F.lit(0.0)),
             F.coalesce(F.least(mid + half, F.lit(1.0)), F.lit(1.0)))

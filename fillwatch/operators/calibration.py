@@ -133,8 +133,9 @@ def coverage(hits: DataFrame, *, nominal: float = NOMINAL, band=BAND, alpha: flo
     """Hit rate with its Wilson interval and verdict per component; ``alpha`` is shared over the rows."""
     per = hits.groupBy("component").agg(F.count("hit").alias("n"), F.count(F.when(F.col("hit"), 1)).alias("n_hits"))
     k = F.lit(n_rows) if n_rows else F.col("_k")
-    per = per.join(F.broadcast(per.agg(F.count(F.lit(1)).alias("_k"))))
-    lo, hi = wilson("n_hits", "n", 1.0 - alpha / k)
+    # one extra row; the quantile is its own column so that it is evaluated once
+    per = per.join(F.broadcast(per.agg(F.count(F.lit(1)).alias("_k")))).withColumn("_z", -norm_ppf(alpha / k / 2.0))
+    lo, hi = wilson("n_hits", "n", "_z")
     p = F.col("n_hits") / F.when(F.col("n") > 0, F.col("n").cast("double"))
     out = per.select("component", "n", "n_hits", F.coalesce(p, F.lit(0.0)).alias("rate"), lo.alias("ci_lo"), hi.alias("ci_hi"))
     ok = (F.col("n") > 0) & (F.col("ci_lo") <= nominal) & (F.col("ci_hi") >= nominal)

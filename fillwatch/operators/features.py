@@ -9,6 +9,7 @@ from fillwatch.config import CHUNK_SECONDS, MIN_STD
 from fillwatch.functions.mathx import logit, norm_cdf
 from fillwatch.operators.clean import before_resolution, clean_trades
 from fillwatch.operators.ordered import chunk_id, global_position, ordered_carry
+from fillwatch.session import cut
 
 ORDER = ["ts", "tx_hash"]
 
@@ -46,7 +47,8 @@ def causal_features(trades: DataFrame, chunk_seconds: float = CHUNK_SECONDS) ->
 def build_dataset(raw: DataFrame, markets: DataFrame, days: float = 7.0, require_wallet: bool = True,
                   chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
     """Clean, cut before resolution, and compute features for every market."""
-    return compute_features(before_resolution(clean_trades(raw, require_wallet), markets, days), chunk_seconds)
+    usable = cut(before_resolution(clean_trades(raw, require_wallet), markets, days))  # read twice by the features
+    return compute_features(usable, chunk_seconds)
 
 
 def empty_markets(raw: DataFrame, features: DataFrame) -> DataFrame:

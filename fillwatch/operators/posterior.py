@@ -48,9 +48,9 @@ def _rank_normal(split: DataFrame, value: str) -> DataFrame:
     """Replace values by normal scores of their tie-averaged ranks within ``name``."""
     tally = split.groupBy("name", value).agg(F.count(F.lit(1)).alias("_w"))
     run = global_prefix(tally, ["name", value], {"_u": F.col("_w")}).withColumn("_f", F.col("_u") - F.col("_w"))
-    base = run.groupBy("name").agg(F.min("_f").alias("_s"), F.sum("_w").alias("_S"))
+    base = run.groupBy("name").agg(F.min("_f").alias("_s"), F.sum("_w").alias("_tot"))
     rank = F.col("_f") - F.col("_s") + (F.col("_w") + 1) / 2.0
-    scored = run.join(base, "name").select("name", value, norm_ppf((rank - 0.375) / (F.col("_S") + 0.25)).alias("zs"))
+    scored = run.join(base, "name").select("name", value, norm_ppf((rank - 0.375) / (F.col("_tot") + 0.25)).alias("zs"))
     return split.join(scored, ["name", value])
 
 

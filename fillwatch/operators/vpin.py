@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from fillwatch.config import CHUNK_SECONDS, MIN_STD
 from fillwatch.operators.features import ORDER, buy_fraction
 from fillwatch.operators.ordered import chunk_id, ordered_carry
+from fillwatch.session import cut
 
 _CLOSE_DDL = "market STRING, close_i BIGINT"
 
@@ -55,7 +56,7 @@ def volume_buckets(features: DataFrame, n_buckets: int = 50,
     if n_buckets < 1:
         raise ValueError("n_buckets must be >= 1")
     base = features.withColumn("vol", F.exp("log_size_ratio")).withColumn("chunk", chunk_id("ts", chunk_seconds))
-    run = ordered_carry(base, "market", ORDER, sums={"cum": F.col("vol")})
+    run = cut(ordered_carry(base, "market", ORDER, sums={"cum": F.col("vol")}))  # read three times below
     facts = run.groupBy("market").agg(F.max("cum").alias("_total"), F.max("vol").alias("_big"))
     facts = facts.withColumn("target", F.col("_total") / n_buckets)
     # A trade can close bucket k (1-based) only inside [k*target, k*(target + biggest)];
@@ -89,6 +90,6 @@ def bucket_toxicity(bucketed: DataFrame) -> DataFrame:
 def trade_vpin(features: DataFrame, n_buckets: int = 50, native: bool = False,
                chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
     """Each trade with the toxicity of the bucket it fell into."""
-    bucketed = volume_buckets(buy_fraction(features, native), n_buckets, chunk_seconds)
+    bucketed = cut(volume_buckets(buy_fraction(features, native), n_buckets, chunk_seconds))
     tox = bucket_toxicity(bucketed).select("market", "bucket", "vpin")
     return bucketed.join(tox, ["market", "bucket"])

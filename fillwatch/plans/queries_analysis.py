@@ -594,7 +594,7 @@ def _(t):
 
 
 @query("cas5_timeline", sql("""SELECT e.event_ts, e.label, count(s.ts) AS n_trades, round(avg(s.p_z), 9) AS mean_p_z FROM (
-  SELECT DISTINCT CAST(ts // 86400 * 86400 + 3600 AS DOUBLE) AS event_ts, 'day' AS label FROM scores) e
+  SELECT DISTINCT CAST(CAST(ts AS BIGINT) // 86400 * 86400 + 3600 AS DOUBLE) AS event_ts, 'day' AS label FROM scores) e
 LEFT JOIN scores s ON s.ts BETWEEN e.event_ts - 5000 AND e.event_ts + 5000 GROUP BY e.event_ts, e.label""", "scores"))
 def _(t):
     ev = t.scores.select((F.floor(F.col("ts") / 86400) * 86400.0 + 3600.0).alias("event_ts"), F.lit("day").alias("label"))
@@ -691,7 +691,7 @@ W_LO, W_HI = wilson_sql("h", "n", "z")
 
 
 @query("cal9_wilson", sql(f"""SELECT priority, round({W_LO}, 9) AS lo, round({W_HI}, 9) AS hi FROM (SELECT priority, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS h,
-{sql_ppf('0.975')} AS z FROM replicate_ranks GROUP BY priority)""", "replicate_ranks"))
+{sql_ppf('0.975e0')} AS z FROM replicate_ranks GROUP BY priority)""", "replicate_ranks"))
 def _(t):
     g = t.replicate_ranks.groupBy("priority").agg(F.count("*").alias("n"), F.count(F.when(F.col("hit"), 1)).alias("h"))
     lo, hi = mx.wilson("h", "n")
@@ -772,7 +772,7 @@ def _(t):
     return calibration.rank_truth(t.draws, truth).select("name", "rank", r("lo", 9).alias("lo"), r("hi", 9).alias("hi"), "hit")
 
 
-@query("cal14_wallet_hits", f"""SELECT o_orderkey, abs(ln(th / (1 - th)) - lm) <= {sql_ppf('0.95')} * sqrt(greatest(lv, 0)) AS hit FROM (
+@query("cal14_wallet_hits", f"""SELECT o_orderkey, abs(ln(th / (1 - th)) - lm) <= {sql_ppf('0.95e0')} * sqrt(greatest(lv, 0)) AS hit FROM (
   SELECT o_orderkey, (o_orderkey % 98 + 1) / 100.0 AS th, (o_custkey % 11 - 5) / 2.0 AS lm, (o_orderkey % 5 - 1) / 2.0 AS lv FROM orders)""")
 def _(t):
     k = F.col("o_orderkey")

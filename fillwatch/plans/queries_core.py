@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fillwatch.config import DAY
 from fillwatch.functions import mathx as mx
 from fillwatch.operators import clean, features, vpin, wallets
 from fillwatch.plans.registry import query
@@ -97,7 +96,7 @@ def _(t):
   CASE WHEN i = greatest(n - 100, 0) THEN 0.0 ELSE delta END AS delta, round(s_bar, 6) AS s_bar
 FROM (SELECT *, count(*) OVER (PARTITION BY market) AS n FROM features) WHERE i >= n - 100""", "features"))
 def _(t):
-    return clean.market_tail(t.features, 100).select("market", "i", "tx_hash", "delta", r("s_bar").alias("s_bar"))
+    return clean.market_tail(t.stored_features, 100).select("market", "i", "tx_hash", "delta", r("s_bar").alias("s_bar"))
 
 
 @query("flt10_newest", sql("""SELECT market, tx_hash, ts FROM (SELECT *, row_number() OVER
@@ -136,7 +135,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY market) AS n FROM features_big
       WHERE CAST(substr(wallet, 2) AS BIGINT) % 4 = 0) WHERE n >= 10
 WINDOW w AS (PARTITION BY market ORDER BY ts, tx_hash)""", "features_big"))
 def _(t):
-    f = t.features_big
+    f = t.stored_features_big
     keep = f.select("wallet").where(F.substring("wallet", 2, 20).cast("long") % 4 == 0)
     return clean.shortlist_wallets(f, keep, 10, LONG_CHUNK).select("market", "orig_i", "i", "tx_hash", "delta")
 
@@ -144,7 +143,7 @@ def _(t):
 @query("flt17_holdout", sql("""SELECT market, split, count(*) AS n, sum(delta) AS gap FROM (SELECT *, CASE WHEN i >= n - round_even(0.2 * n, 0)
 THEN 'tail' ELSE 'head' END AS split FROM (SELECT *, count(*) OVER (PARTITION BY market) AS n FROM features_big)) GROUP BY market, split""", "features_big"))
 def _(t):
-    return clean.holdout_split(t.features_big).groupBy("market", "split").agg(F.count("*").alias("n"), F.sum("delta").alias("gap"))
+    return clean.holdout_split(t.stored_features_big).groupBy("market", "split").agg(F.count("*").alias("n"), F.sum("delta").alias("gap"))
 
 
 @query("flt18_regime_conflicts", """SELECT o_custkey, setting, n_values FROM (
@@ -197,7 +196,7 @@ FROM features"""
 
 @query("win4_size_zscore", sql("SELECT market, tx_hash, round(abs_z, 6) AS abs_z FROM z", "features", z=Z_SQL))
 def _(t):
-    return features.size_zscore(t.features).select("market", "tx_hash", r("abs_z").alias("abs_z"))
+    return features.size_zscore(t.stored_features).select("market", "tx_hash", r("abs_z").alias("abs_z"))
 
 
 def sql_horner(x, coeffs):
@@ -226,7 +225,7 @@ FROM (SELECT *, stddev_pop(dy) OVER (PARTITION BY market) AS sd FROM features)""
 @query("win5_buy_fraction", sql("""SELECT market, tx_hash, round(proxy, 6) AS proxy,
 round(CASE upper(side) WHEN 'BUY' THEN 1.0 WHEN 'SELL' THEN 0.0 ELSE proxy END, 6) AS native FROM b""", "features", b=BUY_SQL))
 def _(t):
-    both = features.buy_fraction(features.buy_fraction(t.features).withColumnRenamed("buy_frac", "proxy"), native=True)
+    both = features.buy_fraction(features.buy_fraction(t.stored_features).withColumnRenamed("buy_frac", "proxy"), native=True)
     return both.select("market", "tx_hash", r("proxy").alias("proxy"), r("buy_frac").alias("native"))
 
 
@@ -248,13 +247,13 @@ def bucket_sql(body: str, n: int = 50, **extra: str) -> str:
 @query("win6_volume_buckets", bucket_sql("""SELECT market, bucket, count(*) AS n, round(sum(vol), 6) AS vol, max(i) AS last_i
 FROM g GROUP BY market, bucket"""))
 def _(t):
-    return vpin.volume_buckets(t.features).groupBy("market", "bucket").agg(
+    return vpin.volume_buckets(t.stored_features).groupBy("market", "bucket").agg(
         F.count("*").alias("n"), r(F.sum("vol")).alias("vol"), F.max("i").alias("last_i"))
 
 
 @query("win7_elapsed", sql("SELECT market, tx_hash, CAST(ts - min(ts) OVER (PARTITION BY market) AS DOUBLE) AS t FROM features", "features"))
 def _(t):
-    return features.elapsed(t.features).select("market", "tx_hash", "t")
+    return features.elapsed(t.stored_features).select("market", "tx_hash", "t")
 
 
 @query("win8_silence_gaps", sql("""SELECT market, ts - delta AS gap_start, CAST(ts AS DOUBLE) AS gap_end, delta AS gap_seconds
@@ -281,7 +280,7 @@ def _(t):
 
 @query("wal2_size_scores", sql("SELECT wallet, round(max(abs_z), 6) AS score FROM z GROUP BY wallet", "features", z=Z_SQL))
 def _(t):
-    return wallets.size_scores(t.features).select("wallet", r("score").alias("score"))
+    return wallets.size_scores(t.stored_features).select("wallet", r("score").alias("score"))
 
 
 @query("wal3_side_sign", sql("SELECT market, sum(CASE upper(side) WHEN 'BUY' THEN 1.0 WHEN 'SELL' THEN -1.0 ELSE 0.0 END) AS net FROM trades_big GROUP BY market", "trades_big"))
@@ -303,12 +302,12 @@ def vpin_sql(body: str, native: bool = False, **more: str) -> str:
 
 @query("wal4_vpin", vpin_sql("SELECT wallet, round(score, 6) AS score FROM ws"))
 def _(t):
-    return wallets.vpin_scores(t.features).select("wallet", r("score").alias("score"))
+    return wallets.vpin_scores(t.stored_features).select("wallet", r("score").alias("score"))
 
 
 @query("wal4_vpin_native", vpin_sql("SELECT wallet, round(score, 6) AS score FROM ws", native=True))
 def _(t):
-    return wallets.vpin_scores(t.features, native=True).select("wallet", r("score").alias("score"))
+    return wallets.vpin_scores(t.stored_features, native=True).select("wallet", r("score").alias("score"))
 
 
 @query("wal5_wallet_volumes", sql("SELECT wallet, round(sum(exp(log_size_ratio)), 6) AS volume FROM features_big GROUP BY wallet", "features_big"))
@@ -320,7 +319,7 @@ def _(t):
 (SELECT regr_slope(score, ln(volume)) AS b, regr_intercept(score, ln(volume)) AS a FROM w)""", "features", z=Z_SQL,
     w="SELECT wallet, max(abs_z) AS score, sum(exp(log_size_ratio)) AS volume FROM z GROUP BY wallet"))
 def _(t):
-    f = t.features
+    f = t.stored_features
     return wallets.volume_controlled(wallets.size_scores(f), wallets.wallet_volumes(f)).select("wallet", r("residual").alias("residual"))
 
 
@@ -334,7 +333,7 @@ RHO_SQL = "SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM (SELECT rank
   abs(sum(nf * vol) - sum((1 - nf) * vol)) / sum(vol) AS nv FROM tb GROUP BY market, bucket""",
     pairs="SELECT wallet, sum(vol * nv) / sum(vol) AS a, sum(vol * pv) / sum(vol) AS b FROM tb, q WHERE q.market = tb.market AND q.bucket = tb.bucket GROUP BY wallet"))
 def _(t):
-    return wallets.vpin_robustness(t.features).select(r("rho").alias("rho"), "n")
+    return wallets.vpin_robustness(t.stored_features).select(r("rho").alias("rho"), "n")
 
 
 def wash_sql(view: str, w: int) -> dict[str, str]:
@@ -356,7 +355,7 @@ def _(t):
 @query("wal8_wash_scores", sql("""SELECT d.wallet, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT wallet FROM features_big) d
 LEFT JOIN wash USING (wallet)""", "features_big", **wash_sql("features_big", 2592000)))
 def _(t):
-    return wallets.wash_scores(t.features_big, 2592000.0).select("wallet", r("score").alias("score"))
+    return wallets.wash_scores(t.stored_features_big, 2592000.0).select("wallet", r("score").alias("score"))
 
 
 @query("wal9_ordinal_ranks", sql("""SELECT wallet, row_number() OVER (ORDER BY score, wallet) - 1 AS rank FROM (
@@ -379,7 +378,7 @@ PRE_SQL = """SELECT *, row_number() OVER (ORDER BY combined DESC, wallet_id) <=
 FROM dim LEFT JOIN (SELECT wallet, max(abs_z) AS score FROM z GROUP BY wallet) sz ON sz.wallet = dim.wallet
 LEFT JOIN ws ON ws.wallet = dim.wallet LEFT JOIN wash ON wash.wallet = dim.wallet""", p=PRE_SQL))
 def _(t):
-    out = wallets.prefilter(t.features, features.wallet_ids(t.trades))
+    out = wallets.prefilter(t.stored_features, features.wallet_ids(t.trades))
     return out.select("wallet", "wallet_id", r("combined").alias("combined"), "flagged")
 
 
@@ -439,8 +438,8 @@ def _(t):
   SELECT wallet, wallet_id, max(round(abs_z, 6)) AS score, count(*) FILTER (WHERE i >= 1) AS n_trades FROM z JOIN wallet_dim USING (wallet) GROUP BY wallet, wallet_id)""",
     "features", "wallet_dim", z=Z_SQL))
 def _(t):
-    s = wallets.size_scores(t.features).select("wallet", r("score").alias("score"))
-    counts = wallets.counted_trades(t.features, features.wallet_ids(t.trades))
+    s = wallets.size_scores(t.stored_features).select("wallet", r("score").alias("score"))
+    counts = wallets.counted_trades(t.stored_features, features.wallet_ids(t.trades))
     return wallets.ranking_table(s, counts).select("rank", "wallet", "wallet_id", "score", "n_trades")
 
 
@@ -448,5 +447,3 @@ def _(t):
 def _(t):
     return features.concat_markets(t.trades, t.trades_big).groupBy("market").agg(F.count("*").alias("n"))
 
-
-del DAY

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fillwatch.config import DAY
 from fillwatch.operators import clean, features
-from fillwatch.session import use_utc
+from fillwatch.session import cut, use_utc
 
 #: Day-resolution history spans years, so its chunks are a month wide.
 LONG_CHUNK = 30 * DAY
@@ -51,6 +51,11 @@ class Tables:
     def features(self) -> DataFrame:
         return features.compute_features(self.trades)
 
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        """Features written once, for queries that read them several times."""
+        return cut(features.compute_features(cut(self.trades)))
+
     @cached_property
     def markets(self) -> DataFrame:
         m = F.col("market")
@@ -99,6 +104,10 @@ class Tables:
     def features_big(self) -> DataFrame:
         return features.compute_features(self.trades_big, LONG_CHUNK)
 
+    @cached_property
+    def stored_features_big(self) -> DataFrame:
+        return cut(features.compute_features(cut(self.trades_big), LONG_CHUNK))
+
     @cached_property
     def raw_month(self) -> DataFrame:
         d = F.col("l_shipdate")
