@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, t, True) for n, t in
-                         ((p.split()[0], T._parse_datatype_string(p.split(None, 1)[1])) for p in text.split(","))])
-
-
 TRADES_DDL = "market STRING, wallet STRING, ts BIGINT, price DOUBLE, size DOUBLE, side STRING, tx_hash STRING"
 #: Fields of an append-only trade capture, one JSON object per line.
 CAPTURE_DDL = ("timestamp STRING, price STRING, size STRING, wallet STRING, side STRING, "
