@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillwatch.config import SIZE_SCALE_FLOOR, ModelParams, Prior
-from fillwatch.functions.mathx import log1pexp, log_beta, log_cauchy, log_invgamma, logit, sigmoid, size_denominator
+from fillwatch.config import DENOM_FLOOR, SIZE_SCALE_FLOOR, ModelParams, Prior
+from fillwatch.functions.mathx import log1pexp, log_beta, log_cauchy, log_invgamma, logit, sigmoid
 from fillwatch.operators.kernel import irls, remap
 from fillwatch.operators.scoring import SEGMENT_ROWS, filter_scores
 from fillwatch.session import cut, scalar_row
@@ -31,18 +31,13 @@ def sufficient_terms(gamma: float = 1.0) -> dict[str, Column]:
 
     The previous trade's moments are columns of the scores, so no window is needed.
     """
-    v1, z1 = F.col("p_v"), F.col("p_z")
-    v0, z0 = 1.0 - v1, 1.0 - z1
-    pv1 = F.col("prev_v1")
-    pv0 = 1.0 - pv1
-    moved = F.when((F.col("delta") > 0) & F.col("prev_mu").isNotNull(), F.lit(1.0))
-    dx = F.col("x_mean") - F.col("prev_mu")
-    inc = moved * (dx * dx + F.col("x_var") + F.col("prev_var")) / F.when(F.col("delta") > 0, F.col("delta"))
-    dy = F.col("y") - F.col("x_mean")
-    obs = (dy * dy + F.col("x_var")) * size_denominator("log_size_ratio", gamma)
-    return {"ss_v0": v0 * inc, "ss_v1": v1 * inc, "n_v0": v0 * moved, "n_v1": v1 * moved,
-            "n_00": pv0 * v0, "n_01": pv0 * v1, "n_10": pv1 * v0, "n_11": pv1 * v1,
-            "ss_z0": z0 * obs, "ss_z1": z1 * obs, "n_z0": z0, "n_z1": z1}
+    inc = "CASE WHEN delta > 0 THEN (power(x_mean - prev_mu, 2) + x_var + prev_var) / delta END"
+    moved = "CASE WHEN delta > 0 AND prev_mu IS NOT NULL THEN 1D END"
+    obs = f"(power(y - x_mean, 2) + x_var) * greatest(1D + {float(gamma)!r}D * log_size_ratio, {DENOM_FLOOR!r}D)"
+    terms = {"ss_v0": f"(1D - p_v) * {inc}", "ss_v1": f"p_v * {inc}", "n_v0": f"(1D - p_v) * {moved}", "n_v1": f"p_v * {moved}",
+             "n_00": "(1D - prev_v1) * (1D - p_v)", "n_01": "(1D - prev_v1) * p_v", "n_10": "prev_v1 * (1D - p_v)", "n_11": "prev_v1 * p_v",
+             "ss_z0": f"(1D - p_z) * {obs}", "ss_z1": f"p_z * {obs}", "n_z0": "1D - p_z", "n_z1": "p_z"}
+    return {k: F.expr(v) for k, v in terms.items()}
 
 
 def _total(c: Column) -> Column:
@@ -242,7 +237,8 @@ def fit_em(features: DataFrame, *, params: ModelParams | None = None, prior: Pri
     """Variational EM over all markets of ``features``; ``wallets`` may supply starting propensities."""
     slim = cut(features.select("market", "i", "ts", "tx_hash", "wallet", "y", "delta", "log_size_ratio"))
     facts = scalar_row(slim.agg(F.var_pop("y").alias("v"), F.avg("log_size_ratio").alias("m"),
-                                F.stddev_pop("log_size_ratio").alias("s")))
+                                F.stddev_pop("log_size_ratio").alias("s"), F.max("i").alias("top")))
+    single = (facts["top"] or 0) < segment_rows
     p = params or ModelParams.from_variance(facts["v"], anonymous)
     m_s, s_s, m_z = facts["m"], facts["s"], 0.0
     theta = wallets
@@ -252,7 +248,7 @@ def fit_em(features: DataFrame, *, params: ModelParams | None = None, prior: Pri
     while True:
         scored_theta, scored_params, scored_mz = theta, p, m_z
         scores, starts = filter_scores(slim, p, theta, m_s=m_s, s_s=s_s, m_z=m_z, segment_rows=segment_rows,
-                                       guess=starts, return_starts=True)
+                                       guess=starts, return_starts=True, single=single)
         slopes = estimate_slopes or p.beta_S != 0.0 or p.beta_Z != 0.0
         if slopes:
             scores = cut(scores)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from fillwatch.config import CHUNK_SECONDS, ModelParams, OnlineConfig, Prior
 from fillwatch.functions.mathx import logit
 from fillwatch.operators.features import ORDER, causal_features
 from fillwatch.operators.kernel import FilterState, OnlineState, known_path_step, step
-from fillwatch.session import cut, scalar_row
+from fillwatch.session import cut, scalar_row, width
 
 SEGMENT_ROWS = 100_000
 STATE_DDL = "pset INT, market STRING, seg BIGINT, mu DOUBLE, var DOUBLE, v1 DOUBLE, z1 DOUBLE, log_marginal DOUBLE"
@@ -29,6 +30,8 @@ SCORE_DDL = ("pset INT, market STRING, i BIGINT, ts DOUBLE, tx_hash STRING, wall
              "x_var DOUBLE, log_evidence DOUBLE, prev_mu DOUBLE, prev_var DOUBLE, prev_v1 DOUBLE, prev_z1 DOUBLE")
 _IN = ["pset", "market", "seg", "i", "ts", "tx_hash", "wallet", "y", "delta", "log_size_ratio", "level",
        "in_mu", "in_var", "in_v1", "in_z1"]
+_PASS = ["pset", "market", "i", "ts", "tx_hash", "wallet", "y", "delta", "log_size_ratio"]
+_MADE = ["q00", "q01", "q10", "q11", "p_z", "p_v", "x_mean", "x_var", "log_evidence", "prev_mu", "prev_var", "prev_v1", "prev_z1"]
 
 
 def with_level(features: DataFrame, params: ModelParams, theta: DataFrame | None = None) -> DataFrame:
@@ -45,56 +48,64 @@ def with_level(features: DataFrame, params: ModelParams, theta: DataFrame | None
 def _run(batches: Iterator[pd.DataFrame], params: Sequence[ModelParams], const, rows: bool) -> Iterator[pd.DataFrame]:
     """Filter a stream of rows sorted by (pset, market, seg, i); emit scores or end states."""
     key, st, p, total = None, None, None, 0.0
-    names = [c.split()[0] for c in (SCORE_DDL if rows else STATE_DDL).split(", ")]
+    names = [c.split()[0] for c in STATE_DDL.split(", ")]
+    m_s, s_s, m_z = const
     nan = float("nan")
     for pdf in batches:
-        out = []
-        cols = [pdf[c].tolist() for c in _IN]
-        for ps, mk, sg, i, ts, tx, wl, y, dl, ls, lv, imu, ivar, iv1, iz1 in zip(*cols):
-            if key != (ps, mk, sg):
+        out, ends = [], []
+        cols = [pdf[c].tolist() for c in ("pset", "market", "seg", "y", "delta", "log_size_ratio", "level",
+                                          "in_mu", "in_var", "in_v1", "in_z1")]
+        for ps, mk, sg, y, dl, ls, lv, imu, ivar, iv1, iz1 in zip(*cols):
+            if key is None or mk != key[1] or sg != key[2] or ps != key[0]:
                 if key is not None and not rows:
-                    out.append((*key, st.mu, st.var, st.v1, st.z1, total))
+                    ends.append((*key, st.mu, st.var, st.v1, st.z1, total))
                 key, p, total = (ps, mk, sg), params[ps], 0.0
                 st = FilterState(p)
                 if sg > 0:
                     st.load(imu, ivar, iv1, iz1)
-            before = (st.mu, st.var, st.v1, st.z1) if st.started else (nan, nan, nan, nan)
-            q0, q1, q2, q3, ev = step(st, p, y, dl, ls, lv, *const)
-            total += ev
             if rows:
-                out.append((ps, mk, i, ts, tx, wl, y, dl, ls, q0, q1, q2, q3, st.z1, st.v1, st.mu, st.var, ev, *before))
-        yield pd.DataFrame(out, columns=names)
+                before = (st.mu, st.var, st.v1, st.z1) if st.started else (nan, nan, nan, nan)
+                q0, q1, q2, q3, ev = step(st, p, y, dl, ls, lv, m_s, s_s, m_z)
+                out.append((q0, q1, q2, q3, st.z1, st.v1, st.mu, st.var, ev, *before))
+            else:
+                total += step(st, p, y, dl, ls, lv, m_s, s_s, m_z)[4]
+        if rows:
+            made = pd.DataFrame(np.array(out, dtype=float).reshape(-1, len(_MADE)), columns=_MADE)
+            yield pd.concat([pdf[_PASS].reset_index(drop=True), made], axis=1)
+        else:
+            yield pd.DataFrame(ends, columns=names)
     if key is not None and not rows:
         yield pd.DataFrame([(*key, st.mu, st.var, st.v1, st.z1, total)], columns=names)
 
 
 def _launch(segmented: DataFrame, starts: DataFrame | None, params, const, rows: bool) -> DataFrame:
     """Attach start states to segment heads, spread segments over tasks, run the filter."""
-    null = F.lit(None).cast("double")
     if starts is None:
-        fed = segmented.withColumns({f"in_{c}": null for c in ("mu", "var", "v1", "z1")})
+        fed = segmented.selectExpr("*", *[f"CAST(NULL AS DOUBLE) AS in_{c}" for c in ("mu", "var", "v1", "z1")])
     else:
         heads = starts.select("pset", "market", "seg", "first_i", *[F.col(c).alias(f"in_{c}") for c in ("mu", "var", "v1", "z1")])
         fed = segmented.join(heads.withColumnRenamed("first_i", "i"), ["pset", "market", "seg", "i"], "left")
-    ordered = fed.select(*_IN).repartition("pset", "market", "seg").sortWithinPartitions("pset", "market", "seg", "i")
+    ordered = fed.select(*_IN).repartition(width(fed), "pset", "market", "seg").sortWithinPartitions("pset", "market", "seg", "i")
     return ordered.mapInPandas(lambda b: _run(b, params, const, rows), SCORE_DDL if rows else STATE_DDL)
 
 
 def _segment(features: DataFrame, n_sets: int, segment_rows: int) -> DataFrame:
-    base = features.withColumn("seg", F.floor(F.col("i") / segment_rows).cast("long")).withColumn("ts", F.col("ts").cast("double"))
     sets = F.explode(F.array(*[F.lit(k) for k in range(n_sets)])) if n_sets > 1 else F.lit(0)
-    return base.withColumn("pset", sets)
+    return features.select("market", "i", F.col("ts").cast("double").alias("ts"), "tx_hash", "wallet", "y", "delta",
+                           "log_size_ratio", "level", F.expr(f"i div {segment_rows}").alias("seg"), sets.alias("pset"))
 
 
 def segment_starts(segmented: DataFrame, params: Sequence[ModelParams], const, segment_rows: int,
-                   guess: DataFrame | None = None, tol: float = 1e-12) -> DataFrame | None:
+                   guess: DataFrame | None = None, tol: float = 1e-12, single: bool | None = None) -> DataFrame | None:
     """Start state of every later segment, iterated until no start moves by more than ``tol``.
 
     ``guess`` (states of an earlier run, e.g. the previous model iteration) only
-    saves rounds. Returns ``None`` when every market fits one segment.
+    saves rounds. Returns ``None`` when every market fits one segment, which a
+    caller that knows can say with ``single``.
     """
-    top = scalar_row(segmented.agg(F.max("seg").alias("s")))["s"]
-    if not top:
+    if single is None:
+        single = not scalar_row(segmented.agg(F.max("seg").alias("s")))["s"]
+    if single:
         return None
     state = ("mu", "var", "v1", "z1")
     if guess is None:
@@ -126,14 +137,12 @@ def segment_starts(segmented: DataFrame, params: Sequence[ModelParams], const, s
 
 def filter_scores(features: DataFrame, params: ModelParams, theta: DataFrame | None = None, *, m_s: float = 0.0,
                   s_s: float = 1.0, m_z: float = 0.0, segment_rows: int = SEGMENT_ROWS, tol: float = 1e-12,
-                  guess: DataFrame | None = None, return_starts: bool = False):
+                  guess: DataFrame | None = None, return_starts: bool = False, single: bool | None = None):
     """Filtered P(Z), P(V), E[X], Var[X] and one-step evidence for every trade of ``compute_features`` output."""
     segmented = _segment(with_level(features, params, theta), 1, segment_rows)
-    starts = segment_starts(segmented, [params], (m_s, s_s, m_z), segment_rows, guess, tol)
+    starts = segment_starts(segmented, [params], (m_s, s_s, m_z), segment_rows, guess, tol, single)
     out = _launch(segmented, starts, [params], (m_s, s_s, m_z), rows=True)
-    clean = out.select("market", "i", "ts", "tx_hash", "wallet", "y", "delta", "log_size_ratio", "q00", "q01", "q10", "q11",
-                       "p_z", "p_v", "x_mean", "x_var", "log_evidence",
-                       *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("prev_mu", "prev_var", "prev_v1", "prev_z1")])
+    clean = out.selectExpr(*_PASS[1:], *_MADE[:-4], *[f"nanvl({c}, CAST(NULL AS DOUBLE)) AS {c}" for c in _MADE[-4:]])
     return (clean, starts) if return_starts else clean
 
 
@@ -192,7 +201,7 @@ def known_path_filter(features: DataFrame, params: ModelParams, segment_rows: in
         null = F.lit(None).cast("double")
         fed = seg.select(*cols, null.alias("in_mu"), null.alias("in_var")) if starts is None else \
             seg.select(*cols).join(starts, ["market", "seg"], "left")
-        return fed.repartition("market", "seg").sortWithinPartitions("market", "seg", "i") \
+        return fed.repartition(width(fed), "market", "seg").sortWithinPartitions("market", "seg", "i") \
                   .mapInPandas(lambda b: _path_run(b, params, last), PATH_DDL)
 
     if not scalar_row(seg.agg(F.max("seg").alias("s")))["s"]:
@@ -275,7 +284,7 @@ def online_scores(trades: DataFrame, params: ModelParams, config: OnlineConfig =
         else:
             heads = states.withColumn("i", F.lit(k * segment_rows).cast("long"))
             fed = now.join(heads, ["market", "i"], "left").join(counts, ["market", "wallet"], "left")
-        ran = cut(fed.repartition("market").sortWithinPartitions("market", "i").mapInPandas(
+        ran = cut(fed.repartition(width(fed), "market").sortWithinPartitions("market", "i").mapInPandas(
             lambda b: _online_run(b, make), ONLINE_DDL))
         part = ran.where("kind = 0").select("ts", "tx_hash", "market", "wallet", "p_z", "p_v", "x_mean", "log_evidence", "theta")
         result = part if result is None else result.unionByName(part)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fillwatch.config import CHUNK_SECONDS, MIN_STD
 from fillwatch.operators.features import ORDER, buy_fraction
 from fillwatch.operators.ordered import chunk_id, ordered_carry
-from fillwatch.session import cut
+from fillwatch.session import cut, width
 
 _CLOSE_DDL = "market STRING, close_i BIGINT"
 
@@ -67,7 +67,7 @@ def volume_buckets(features: DataFrame, n_buckets: int = 50,
     near = run.select("market", "i", "cum").join(facts, "market") \
         .where((F.col("_total") >= MIN_STD) & (k_lo <= k_hi)) \
         .select("market", "i", "cum", "target", F.lit(n_buckets - 1).alias("n_close"))
-    walk = near.repartition("market").sortWithinPartitions("market", "i") \
+    walk = near.repartition(width(near), "market").sortWithinPartitions("market", "i") \
                .mapInPandas(_close_points, _CLOSE_DDL)
     # At most n_buckets - 1 indices per market.
     closes = walk.groupBy("market").agg(F.collect_list("close_i").alias("closes"))

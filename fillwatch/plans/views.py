@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fillwatch.config import DAY
 from fillwatch.operators import clean, features
-from fillwatch.session import cut, use_utc
+from fillwatch.session import cut, prepare
 
 #: Day-resolution history spans years, so its chunks are a month wide.
 LONG_CHUNK = 30 * DAY
@@ -27,7 +27,7 @@ class Tables:
     """Lazily derived tables over one folder of parquet files."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        use_utc(spark)
+        prepare(spark)
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def read(self, name: str) -> DataFrame:

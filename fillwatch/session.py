@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def get_spark(app: str = "fillwatch", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every operator assumes (UTC clock, adaptive execution)."""
@@ -21,13 +25,25 @@ def get_spark(app: str = "fillwatch", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    prepare(spark)
+    return spark
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Timestamps in the inputs are naive UTC; make the session read them that way."""
+def prepare(spark: SparkSession) -> None:
+    """Make any session fit: naive input timestamps read as UTC, and this package on the Python workers."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "fillwatch.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -57,3 +73,9 @@ def cut(df: DataFrame) -> DataFrame:
 def scalar_row(df: DataFrame):
     """First row of a frame that holds one aggregate row; the only driver fetch operators use."""
     return df.first()
+
+
+def width(df: DataFrame) -> int:
+    """Partition count for steps whose cost is Python time rather than bytes, which adaptive
+    execution would otherwise squeeze into a few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
