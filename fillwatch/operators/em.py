@@ -156,9 +156,10 @@ def slope_irls(rows: DataFrame, theta: DataFrame | None, params: ModelParams, pr
         data = rows.select(F.lit(0.0).alias("off"), F.lit(1.0).alias("c0"), F.col("x_s").alias("c1"), F.col("x_z").alias("c2"), "target")
         start, scales = [params.alpha, params.beta_S, params.beta_Z], [prior.alpha_scale, prior.beta_scale, prior.beta_scale]
     else:
-        lev = theta.select("wallet", logit("theta").alias("off"))
-        data = rows.join(lev, "wallet", "left").select(F.coalesce("off", logit(F.lit(params.prior_mean))).alias("off"),
-                                                       F.col("x_s").alias("c0"), F.col("x_z").alias("c1"), "target")
+        base = logit(F.lit(params.prior_mean))
+        known = rows.withColumn("off", F.lit(None).cast("double")) if theta is None else \
+            rows.join(theta.select("wallet", logit("theta").alias("off")), "wallet", "left")
+        data = known.select(F.coalesce("off", base).alias("off"), F.col("x_s").alias("c0"), F.col("x_z").alias("c1"), "target")
         start, scales = [params.beta_S, params.beta_Z], [prior.beta_scale, prior.beta_scale]
     data = cut(data)
     k, scale = len(start), np.asarray(scales)
