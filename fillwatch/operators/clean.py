@@ -37,9 +37,15 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFr
 
 
 def clean_trades(raw: DataFrame, require_wallet: bool = True) -> DataFrame:
-    """Drop unusable fills and keep the first fill of every transaction hash."""
-    order = ["ts", "price", "size", "wallet", "market", "side"]
-    return keep_first(raw.where(valid_trade(require_wallet)), "tx_hash", order)
+    """Drop unusable fills and keep the first fill of every transaction hash.
+
+    "First" is the smallest (ts, price, size, wallet, market, side, ...). The copies are reduced by
+    an aggregation, so however many there are of one hash, each map task ships at most one.
+    """
+    lead = [c for c in ("ts", "price", "size", "wallet", "market", "side") if c in raw.columns]
+    rest = [c for c in raw.columns if c not in lead and c != "tx_hash"]
+    first = raw.where(valid_trade(require_wallet)).groupBy("tx_hash").agg(F.min(F.struct(*lead, *rest)).alias("_f"))
+    return first.select(*[F.col(c) if c == "tx_hash" else F.col(f"_f.{c}").alias(c) for c in raw.columns])
 
 
 def scorable(raw: DataFrame) -> DataFrame:

@@ -60,8 +60,7 @@ def sufficient_statistics(summary: DataFrame) -> DataFrame:
 
 
 def m_step(stats: dict, params: ModelParams, prior: Prior = Prior()) -> ModelParams:
-    s = [float(stats[k] or 0.0) for k in STATS]
-    return remap(params, prior, s[0:2], s[2:4], s[4:8], s[8:10], s[10:12])
+    return remap(params, prior, [float(stats[k] or 0.0) for k in STATS])
 
 
 def m_step_columns(stats: DataFrame, prior: Prior = Prior()) -> DataFrame:

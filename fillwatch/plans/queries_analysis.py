@@ -178,7 +178,7 @@ def _(t):
 sum(abs(sign(x.a - y.a))) AS ta, sum(abs(sign(x.b - y.b))) AS tb FROM pairs x, pairs y WHERE x.wallet < y.wallet)""", "trades_big", pairs=PAIR_SQL))
 def _(t):
     p = t.trades_big.groupBy("wallet").agg(F.sum("size").alias("a"), F.count("*").alias("b"))
-    return metrics.kendall_tau(p, "a", "b", block=300).select(r("tau", 9).alias("tau"))
+    return metrics.kendall_tau(p, "a", "b", block=2000).select(r("tau", 9).alias("tau"))
 
 
 WALLET_SCORE_SQL = "SELECT wallet, wallet_id, round(avg(p_z), 9) AS score, CAST(wallet AS BIGINT) < 5 AS lab FROM scores JOIN wallet_dim USING (wallet) GROUP BY wallet, wallet_id"

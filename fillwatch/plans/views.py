@@ -49,12 +49,12 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.compute_features(self.trades)
+        return features.compute_features(cut(self.trades))  # the features read the trades twice
 
     @cached_property
     def stored_features(self) -> DataFrame:
         """Features written once, for queries that read them several times."""
-        return cut(features.compute_features(cut(self.trades)))
+        return cut(self.features)
 
     @cached_property
     def markets(self) -> DataFrame:
@@ -102,11 +102,11 @@ class Tables:
 
     @cached_property
     def features_big(self) -> DataFrame:
-        return features.compute_features(self.trades_big, LONG_CHUNK)
+        return features.compute_features(cut(self.trades_big), LONG_CHUNK)
 
     @cached_property
     def stored_features_big(self) -> DataFrame:
-        return cut(features.compute_features(cut(self.trades_big), LONG_CHUNK))
+        return cut(self.features_big)
 
     @cached_property
     def raw_month(self) -> DataFrame:
@@ -115,11 +115,9 @@ class Tables:
 
     @cached_property
     def scores_month(self) -> DataFrame:
-        # p_z is decided by the row kept for a hash: add it to the order so ties cannot differ.
-        kept = clean.keep_first(self.raw_month.where(clean.valid_trade()), "tx_hash",
-                                ["ts", "price", "size", "wallet", "market", "side", "p_z"])
-        return kept.select(F.col("ts").cast("double").alias("ts"), "tx_hash", "market", "wallet", "p_z",
-                           F.col("p_z").alias("p_v"), F.log(F.col("price") / (1.0 - F.col("price"))).alias("x_mean"))
+        kept = clean.clean_trades(self.raw_month)  # p_z comes last in the tie order
+        return cut(kept.select(F.col("ts").cast("double").alias("ts"), "tx_hash", "market", "wallet", "p_z",
+                               F.col("p_z").alias("p_v"), F.log(F.col("price") / (1.0 - F.col("price"))).alias("x_mean")))
 
     @cached_property
     def markets_month(self) -> DataFrame:

@@ -22,7 +22,10 @@ def test_dedupe_shrinks_copies_before_the_shuffle(spark):
     df = trades(spark, [("m", "A", k, 0.5, 1.0, "BUY", "same") for k in range(50)])
     kept = clean.clean_trades(df)
     assert kept.count() == 1
-    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan
+    first = clean.keep_first(df, "tx_hash", ["ts"])
+    assert first.first().ts == 0 and "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("n", [1, 7])

@@ -77,7 +77,7 @@ def test_seeded_statistics_reproduce_parameters():
     from fillwatch.operators.kernel import remap, seed_statistics
     p = ModelParams(sigma2_0=0.9, sigma2_1=1.5, tau2_0=1.1, tau2_1=0.2, q_01=0.2, q_10=0.5)
     s = seed_statistics(p, Prior(), 400.0)
-    q = remap(p, Prior(), s[0:2], s[2:4], s[4:8], s[8:10], s[10:12])
+    q = remap(p, Prior(), s)
     for k in ("sigma2_0", "sigma2_1", "tau2_0", "tau2_1", "q_01", "q_10"):
         assert getattr(q, k) == pytest.approx(getattr(p, k), rel=1e-6)
 
