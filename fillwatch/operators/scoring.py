@@ -21,7 +21,7 @@ from fillwatch.config import CHUNK_SECONDS, ModelParams, OnlineConfig, Prior
 from fillwatch.functions.mathx import logit
 from fillwatch.operators.features import ORDER, causal_features
 from fillwatch.operators.kernel import FilterState, OnlineState, known_path_step, step
-from fillwatch.session import cut, scalar_row, width
+from fillwatch.session import cut, scalar_row, scratch_path, width
 
 SEGMENT_ROWS = 100_000
 STATE_DDL = "pset INT, market STRING, seg BIGINT, mu DOUBLE, var DOUBLE, v1 DOUBLE, z1 DOUBLE, log_marginal DOUBLE"
@@ -274,7 +274,8 @@ def online_scores(trades: DataFrame, params: ModelParams, config: OnlineConfig =
     def make():
         return OnlineState(params, config, prior, m_s, s_s, m_z)
 
-    result = states = counts = None
+    states = counts = None
+    path = scratch_path(trades.sparkSession, "online-scores")  # rounds append here, so the plan never grows
     for k in range(last + 1):
         now = rows.where(F.col("seg") == k).drop("seg")
         if k == 0:
@@ -287,13 +288,13 @@ def online_scores(trades: DataFrame, params: ModelParams, config: OnlineConfig =
         ran = cut(fed.repartition(width(fed), "market").sortWithinPartitions("market", "i").mapInPandas(
             lambda b: _online_run(b, make), ONLINE_DDL))
         part = ran.where("kind = 0").select("ts", "tx_hash", "market", "wallet", "p_z", "p_v", "x_mean", "log_evidence", "theta")
-        result = part if result is None else result.unionByName(part)
+        part.write.mode("append").parquet(path)
         if k < last:
             states = ran.where("kind = 2").select("market", "state")
             fresh = ran.where("kind = 1").select("market", "wallet", "s", "n", "theta")
             counts = cut(fresh if counts is None else fresh.unionByName(
                 counts.join(fresh, ["market", "wallet"], "left_anti")))
-    return result
+    return trades.sparkSession.read.schema(part.schema).parquet(path)
 
 
 def replay(raw: DataFrame, params: ModelParams, config: OnlineConfig = OnlineConfig(), *, markets=None,

@@ -421,7 +421,9 @@ def _(t):
     return out.groupBy("market").agg(F.count("*").alias("n"))
 
 
-@query("str4_late_policy")
+@query("str4_late_policy", sql("""SELECT t.market, CASE WHEN CAST(tx_hash AS BIGINT) % 10 = 0 AND ts < top THEN 'late' ELSE 'scored' END AS kind, count(*) AS n,
+max(CASE WHEN CAST(tx_hash AS BIGINT) % 10 = 0 AND ts < top THEN CAST(top - ts AS DOUBLE) END) AS max_late
+FROM trades t JOIN (SELECT market, max(ts) AS top FROM trades WHERE CAST(tx_hash AS BIGINT) % 10 <> 0 GROUP BY market) m ON m.market = t.market GROUP BY t.market, 2""", "trades"))
 def _(t):
     """Trades shifted back by a varying lag after the scorer has moved on are set aside as late."""
     base = files.scratch_path(t.spark, "late")
@@ -439,12 +441,16 @@ def _(t):
     return t.spark.read.parquet(out).groupBy("market", "kind").agg(F.count("*").alias("n"), F.max("late_by").alias("max_late"))
 
 
-@query("str6_feed_counts")
+@query("str6_feed_counts", sql("""SELECT market, ts // 3600 * 3600 AS window_start, count(*) AS n_trades, round(sum(size), 4) AS volume FROM raw_trades
+WHERE (ts // 3600 + 1) * 3600 <= (SELECT max(ts) FROM raw_trades) - 3600 GROUP BY market, ts // 3600""", "raw_trades"))
 def _(t):
-    return streamed(t, lambda s: jobs.feed_counts(s), "counts")
+    return streamed(t, lambda s: jobs.feed_counts(s), "counts").withColumn("volume", r("volume", 4))
 
 
-@query("str6_activity_sessions")
+@query("str6_activity_sessions", sql("""SELECT market, min(ts) AS session_start, max(ts) + 7200 AS session_end, count(*) AS n_trades FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY market ORDER BY ts, tx_hash) AS sid FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY market ORDER BY ts, tx_hash) < 7200 THEN 0 ELSE 1 END AS fresh FROM raw_trades))
+GROUP BY market, sid HAVING max(ts) + 7200 <= (SELECT max(ts) FROM raw_trades) - 3600""", "raw_trades"))
 def _(t):
     return streamed(t, lambda s: jobs.activity_sessions(s), "sessions")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import asdict, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +12,11 @@ from fillwatch.config import ModelParams
 from fillwatch.functions.labels import parse_iso
 from fillwatch.operators.clean import keep_first
 from fillwatch.schemas import CAPTURE_DDL, MANIFEST_DDL, REPLICATE_DDL, SCORES_DDL
-from fillwatch.session import ensure_checkpoint_dir, scalar_row
+from fillwatch.session import scalar_row, scratch_path  # noqa: F401
 
 COLD_VARIANCE = 1.0
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder inside the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 # ---- captures ---------------------------------------------------------------------------------
 
 def capture_columns(df: DataFrame) -> DataFrame:
