@@ -10,6 +10,7 @@ from fillwatch.operators.ordered import ordered_carry
 from fillwatch.plans.queries_core import r
 from fillwatch.plans.registry import query
 from fillwatch.plans.views import sql
+from fillwatch.session import cut
 from fillwatch.sources import files, venues
 from fillwatch.streaming import jobs
 
@@ -272,7 +273,7 @@ def _(t):
 
 @query("sco5_online_scores")
 def _(t):
-    return scoring.online_scores(t.trades, P, OnlineConfig(), segment_rows=1000)
+    return scoring.online_scores(cut(t.trades), P, OnlineConfig(), segment_rows=20_000)
 
 
 @query("sco6_replay_report", sql("""SELECT (SELECT count(*) FROM raw_trades) AS n_in, count(*) AS n_scored, count(DISTINCT market) AS n_markets, (SELECT count(*) FROM raw_trades) - count(*) AS n_skipped
