@@ -28,6 +28,8 @@ from fillwatch.llm.components import components
 
 WORDS = 4
 FAMILIES = 8
+SMALL = 8  # buckets of so many members are paired by a join, larger ones in blocks
+BLOCK = 1024
 _find = re.compile(rb"[^ \t-\r]+").findall
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -117,18 +119,29 @@ def fingerprint(sets: list[np.ndarray]) -> np.ndarray:
     return _mix(np.array([_mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the elements that fall on each of 2 to 4 bits per element. Two sets differ in at least as many elements as
+    their sketches in bits, so a larger distance rules a pair out; folding halves onto each other keeps that."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    at = (_mix(s ^ _B) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").view("<i8")
+
+
 def signed_sets(docs: DataFrame, *, percent: int, width: int, salt: int = 0) -> DataFrame:
-    """``doc_id, n_shingles, h, h2, sigs, text_hash``: size, two fingerprints and the signatures of each row's set."""
+    """``doc_id, n_shingles, h, h2, sigs, text_hash, sketch``: size, two fingerprints, signatures and sketch of each row's set."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = batch_sets(batch.column(1).to_pylist(), width, salt)
         h = fingerprint(sets)
         h2 = np.array([_mix(s ^ _A).sum(dtype=np.uint64) for s in sets], np.uint64)
         sigs = [signatures(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
         return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h.view(np.int64)),
-                                pa.array(h2.view(np.int64)), pa.array(sigs, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "n_shingles", "h", "h2", "sigs", "text_hash"])
+                                pa.array(h2.view(np.int64)), pa.array(sigs, pa.list_(pa.int64())), batch.column(2),
+                                pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h", "h2", "sigs", "text_hash", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return map_rows(rows, run, "doc_id long, n_shingles long, h long, h2 long, sigs array<long>, text_hash long")
+    return map_rows(rows, run, "doc_id long, n_shingles long, h long, h2 long, sigs array<long>, text_hash long, sketch array<long>")
 
 
 def _of_set(rows: DataFrame, width: int, salt: int) -> DataFrame:
@@ -140,6 +153,48 @@ def _of_set(rows: DataFrame, width: int, salt: int) -> DataFrame:
     return map_rows(rows, check, "h long, text string")
 
 
+def _possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that neither their sizes nor their sketches rule out."""
+    one = vertices.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = vertices.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def folded(own: str, other: str):
+        half = (F.size(own) / 2).cast("int")
+        return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(own))
+
+    differ = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return near.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _blocks(members: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within large buckets that sizes and sketches allow. The members of a bucket are cut
+    into blocks of ``BLOCK``; a task compares the sketches of two blocks at a time and returns what is left."""
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        size = min(map(len, rows["sketch"]))
+        sketch = np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in rows["sketch"]])
+        n, c, h, block = (rows[k].to_numpy() for k in ("n", "c", "h", "block"))
+        left, right = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
+        out = []
+        for k in range(0, len(left), 32):
+            p = left[k:k + 32]
+            differ = np.bitwise_count(sketch[p][:, None, :] ^ sketch[right][None, :, :]).sum(-1, dtype=np.int64)
+            total = n[p][:, None] + n[right][None, :]
+            small, big = np.minimum(n[p][:, None], n[right]), np.maximum(n[p][:, None], n[right])
+            ok = ((100 + percent) * differ <= (100 - percent) * total) & (100 * small >= percent * big) & (c[p][:, None] != c[right]) & (h[p][:, None] < h[right])
+            if block[p[0]] != block[right[0]]:
+                ok |= ((100 + percent) * differ <= (100 - percent) * total) & (100 * small >= percent * big) & (c[p][:, None] != c[right])
+            x, y = np.nonzero(ok)
+            out.append(np.stack([h[p][x], h[right][y]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    rows = members.withColumn("block", F.floor((F.col("r") - 1) / BLOCK).cast("int")).withColumn("last", F.floor((F.col("m") - 1) / BLOCK).cast("int"))
+    rows = rows.join(vertices.select("h", "n", "sketch"), "h").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("k"))
+    rows = rows.select("sig", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "h", "c", "n", "sketch")
+    found = rows.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs ``a, b`` whose sets, made anew from the texts, are similar enough."""
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -163,8 +218,8 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
     that links reach from it. Two rows link when 100 * |intersection| >= percent * |union|.
 
     Rows with equal sets are one vertex, so copies are never paired. The vertices that share a signature are first compared
-    with one of them each; only pairs that are still in different components after that are compared with further ones, twice
-    as many in each round, until none is left. Links are judged on the texts. Null, empty and word-less texts have an empty
+    with one of them each; in buckets whose members are still in different components after that, all pairs of different
+    components are compared, by size and sketch first. Links are judged on the texts. Null, empty and word-less texts have an empty
     set, size 0, and are linked with nothing: ``component_id`` is their own id. Rows with a null id have sizes but take no part
     in links and get a null component. Repeated rows have one component. Other columns are not read.
     """
@@ -173,37 +228,34 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
         rows = stored(signed_sets(docs, percent=percent, width=width, salt=salt), "jaccard-sets")
         live = rows.where("n_shingles > 0 and doc_id is not null")
         # Two sets of one fingerprint h are told apart by h2; then everything is hashed anew with another salt.
-        vertices = stored(live.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("h2").alias("lo"), F.max("h2").alias("hi")), "jaccard-vertices")
-        if vertices.where("lo <> hi").isEmpty():
+        heads = stored(live.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("h2").alias("lo"), F.max("h2").alias("hi")), "jaccard-heads")
+        if heads.where("lo <> hi").isEmpty():
             break
         salt += 1
     whole = Window.partitionBy("sig")
     members = stored(
         live.select("h", F.explode("sigs").alias("sig")).repartition("sig").groupBy("sig", "h").agg(F.lit(1).alias("one"))
         .select("sig", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo < hi").select("sig", "h", "lo"), "jaccard-members")
-    links = None
+    label = None
     if not members.isEmpty():
-        wanted = members.select("h").distinct().join(vertices.select("h", "doc_id"), "h")
+        shared = stored(members.select("h").distinct(), "jaccard-shared")
+        wanted = heads.select("h", "doc_id").join(shared, "h")
+        vertices = stored(live.select("h", "doc_id", F.col("n_shingles").alias("n"), "sketch").join(wanted, ["h", "doc_id"])
+                          .groupBy("h").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-vertices")
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("h", "text")
         texts = stored(_of_set(found, width, salt), "jaccard-texts")
-        tested = stored(members.where("lo <> h").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct(), "jaccard-pairs")
-        links = stored(_linked(tested, texts, percent, width), "jaccard-links")
-        rank, step = 1, 1
-        while True:
-            label = components(links)
-            known = members.select("sig", "h").join(label.withColumnRenamed("v", "h"), "h", "left").select("sig", "h", F.coalesce("c", "h").alias("c"))
-            spread = known.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).where("lo < hi")
-            ranked = stored(spread.select("sig", "h", "c", F.row_number().over(whole.orderBy("h")).alias("r")), "jaccard-open")
-            pivots = ranked.where((F.col("r") > rank) & (F.col("r") <= rank + step)).select("sig", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("r").alias("ra"))
-            if ranked.where(F.col("r") > rank + 1).isEmpty():
-                break
-            pairs = ranked.join(pivots, "sig").where("r > ra and c <> ca").select("a", F.col("h").alias("b")).distinct()
-            new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-            found = stored(_linked(new, texts, percent, width), "jaccard-links")
-            tested, links = tested.unionByName(new), links.unionByName(found)
-            rank, step = rank + step, 2 * step
+        stars = members.where("lo <> h").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct()
+        links = stored(_linked(stored(_possible(stars, vertices, percent), "jaccard-pairs"), texts, percent, width), "jaccard-links")
+        known = members.select("sig", "h").join(components(links).withColumnRenamed("v", "h"), "h", "left").select("sig", "h", F.coalesce("c", "h").alias("c"))
+        spread = known.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi"), F.count(F.lit(1)).over(whole).alias("m"))
+        still = stored(spread.where("lo < hi and m > 2").select("sig", "h", "c", "m", F.row_number().over(whole.orderBy("h")).alias("r")), "jaccard-open")
+        small = still.where(F.col("m") <= SMALL)
+        other = small.select("sig", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("r").alias("ra"))
+        few = small.join(other, "sig").where("r > ra and ra > 1 and c <> ca").select("a", F.col("h").alias("b")).distinct()
+        many = _blocks(still.where(F.col("m") > SMALL), vertices, percent)
+        pairs = stored(_possible(few, vertices, percent).unionByName(many).distinct(), "jaccard-pairs")
+        label = components(links.unionByName(stored(_linked(pairs, texts, percent, width), "jaccard-links")))
     base = rows.select("doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("h")).alias("h"))
-    label = components(links) if links is not None and not links.isEmpty() else None
     if label is not None:
         base = base.join(label.withColumnRenamed("v", "h"), "h", "left").select("doc_id", "n_shingles", "text_hash", F.coalesce("c", "h").alias("h"))
     least = stored(base.where("doc_id is not null and h is not null").groupBy("h").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m"))

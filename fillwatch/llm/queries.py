@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwatch.llm import (exact_dedup, jaccard_join, language_id, mixing, packing, quality_model, quality_rules, secret_scan,
-                           token_counts)
+                           suffix_dedup, token_counts)
 from fillwatch.llm.common import bucket_of, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ FROM t WINDOW w AS (PARTITION BY n)
 """
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("removed")
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", bucket_of(F.col("doc_id"), 5) == 0)
