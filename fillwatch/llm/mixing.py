@@ -72,6 +72,11 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
     return F.least(a + below, b)
 
 
+def _numbers(name: str) -> Column:
+    """1 to the size of an array."""
+    return F.when(F.size(name) > 0, F.sequence(F.lit(1), F.size(name))).otherwise(F.array().cast("array<int>"))
+
+
 def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """``shard, quota`` (an array, a number per source) from one row ``quota``: the leaves of the splitting tree."""
     nodes = quotas.select(F.lit(0).alias("node"), "quota")
@@ -84,7 +89,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
             x = hypergeometric(s["rest"], own, s["room"], unit_hash(F.lit(seed), F.lit(level), F.col("node"), k))
             return F.struct((s["rest"] - own).alias("rest"), (s["room"] - x).alias("room"), F.concat(s["left"], F.array(x)).alias("left"))
 
-        halves = nodes.withColumn("total", total).withColumn("left", F.aggregate(F.sequence(F.lit(1), F.size("quota")), start, draw)["left"])
+        halves = nodes.withColumn("total", total).withColumn("left", F.aggregate(_numbers("quota"), start, draw)["left"])
         pair = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quota")),
                        F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("quota", "left", lambda q, x: q - x).alias("quota")))
         nodes = halves.select(F.explode(pair).alias("n")).select("n.node", "n.quota")
@@ -133,7 +138,7 @@ def mixing_plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, shard_bits:
     leaves = split_quotas(info.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quota")), shard_bits, seed)
     ranges = leaves.select("shard", F.posexplode("quota").alias("rank", "n")).groupBy("rank").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("shard", "n"))), lambda x: x["n"]).alias("per_shard"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("per_shard")), lambda k: F.aggregate(F.slice("per_shard", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x))
+    ends = F.transform(_numbers("per_shard"), lambda k: F.aggregate(F.slice("per_shard", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x))
     return stored(info.join(ranges.select("rank", ends.alias("ends")), "rank"), "mix-plan").select(
         "key", F.col("size").alias("source_size"), "target", "blocks", "full", "whole", "chosen", "ends")
 

@@ -76,6 +76,27 @@ class SumOfSquares:
         return b, cap - g
 
 
+def fill_bins(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """Bin and offset of each piece (sizes in falling order). Bins that end with a gap of at most a 32nd of the capacity stay;
+    the pieces of the others are placed anew, among themselves, as long as that needs fewer bins."""
+    out, todo, used, best = [(0, 0)] * len(sizes), list(range(len(sizes))), 0, None
+    while todo:
+        bins = SumOfSquares(capacity)
+        placed = [bins.place(sizes[k]) for k in todo]
+        if best is not None and bins.opened >= best:
+            break
+        load = np.bincount([b for b, _ in placed], [sizes[k] for k in todo], bins.opened)
+        done = capacity - load <= capacity // 32
+        number = used + np.cumsum(done) - 1
+        loose = used + int(done.sum()) + np.cumsum(~done) - 1  # numbers of the others, if they are not placed better
+        for k, (b, o) in zip(todo, placed):
+            out[k] = (int(number[b] if done[b] else loose[b]), o)
+        used += int(done.sum())
+        best = bins.opened - int(done.sum())
+        todo = [k for k, (b, _) in zip(todo, placed) if not done[b]]
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -96,8 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = CA
         rows = pd.concat(frames)
         for group, df in rows.groupby("grp", sort=True):
             df = df.sort_values(["length", "doc_id", "row_id", "piece"], ascending=[False, True, True, True])
-            bins = SumOfSquares(capacity)
-            placed = [bins.place(s) for s in df["length"].tolist()]
+            placed = fill_bins(df["length"].tolist(), capacity)
             df["sequence_id"] = [-1 - ((group << BIN_BITS) + b) for b, _ in placed]
             df["offset"] = [o for _, o in placed]
             yield df.drop(columns=["grp", "row_id"])

@@ -3,8 +3,7 @@ ordinary identifiers compared by their log-likelihood ratio."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +48,20 @@ def _bigrams(strings: DataFrame, label: str) -> DataFrame:
     return rows.select(F.lit(label).alias("label"), code.alias("code")).groupBy("label", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(random: DataFrame, ordinary: DataFrame, *, smoothing: float = 0.5, alphabet: int = 67) -> list[float]:
+def train(random: DataFrame, ordinary: DataFrame, *, weight: float = 20.0, alphabet: int = 67) -> list[float]:
     """Log-likelihood ratio of each pair of ASCII codes, random against ordinary, from labelled samples ``s`` of both kinds.
 
-    At most 2 * 128 * 128 counts reach the driver."""
-    got = {"random": {}, "ordinary": {}}
+    The probability of a character after another is its count there plus ``weight`` times its overall probability, so contexts
+    that a kind has not shown fall back on how common the character is in it. At most 2 * 128 * 128 counts reach the driver."""
+    counts = {"random": np.zeros((128, 128)), "ordinary": np.zeros((128, 128))}
     for row in _bigrams(random, "random").unionByName(_bigrams(ordinary, "ordinary")).collect():
         if 0 <= row["code"] < 128 * 128:
-            got[row["label"]][row["code"]] = row["n"]
+            counts[row["label"]][divmod(row["code"], 128)] = row["n"]
     logs = {}
-    for label, counts in got.items():
-        first = [0.0] * 128
-        for code, n in counts.items():
-            first[code // 128] += n
-        logs[label] = lambda c, counts=counts, first=first: math.log((counts.get(c, 0) + smoothing) / (first[c // 128] + smoothing * alphabet))
-    return [logs["random"](c) - logs["ordinary"](c) for c in range(128 * 128)]
+    for label, n in counts.items():
+        single = (n.sum(0) + 0.5) / (n.sum() + 0.5 * alphabet)
+        logs[label] = np.log((n + weight * single) / (n.sum(1, keepdims=True) + weight))
+    return (logs["random"] - logs["ordinary"]).ravel().tolist()
 
 
 def log_ratio(value: Column, table: list[float]) -> Column:
@@ -81,7 +79,8 @@ def scan(docs: DataFrame, *, sample_rows: int = 5000, least_ratio: float = 12.0)
 
     Base kinds are always kept. A run of 20 or more credential characters outside them is a ``markov`` span if its log-likelihood
     ratio is at least ``least_ratio``. Random strings are labelled by the base patterns over all texts; ordinary identifiers
-    are the other runs of 8 or more characters in about ``sample_rows`` texts, picked by a hash. Null and empty texts have no spans.
+    are the other runs of 8 or more characters that occur three times or more in about ``sample_rows`` texts, picked by a hash
+    (random strings hardly recur). Null and empty texts have no spans.
     Repeated rows stay, an empty table gives an empty result, other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -91,7 +90,7 @@ def scan(docs: DataFrame, *, sample_rows: int = 5000, least_ratio: float = 12.0)
     n = max(1, found.count())
     sampled = docs.where(unit_hash("doc_id", F.lit("secrets")) * n < sample_rows).select(F.explode(F.regexp_extract_all(
         F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " "), F.lit(IDENTIFIER), F.lit(0))).alias("s"))
-    table = train(random, sampled)
+    table = train(random, sampled.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("s"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     flagged = F.filter(free, lambda r: log_ratio(r["value"], table) >= least_ratio)
     return found.select("doc_id", F.sort_array(F.concat("base", flagged)).alias("spans"))
