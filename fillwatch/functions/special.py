@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def _upper_gamma_ratio(a: float, x: float) -> float:
     b = x + 1.0 - a
     c, d = 1e300, 1.0 / b
     h = d
-    for k in range(1, 10_000):
+    for k in count(1):
         an = -k * (k - a)
         b += 2.0
         d = 1.0 / (an * d + b or 1e-300)
@@ -47,7 +48,7 @@ def _beta_ratio(a: float, b: float, x: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or 1e-300)
     h = d
-    for m in range(1, 10_000):
+    for m in count(1):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 / (1.0 + num * d or 1e-300)

@@ -167,7 +167,7 @@ def trial_table(pos: DataFrame, members: DataFrame, thresholds: Sequence[float]
     s = pos.join(test, "market").groupBy("threshold").agg(
         F.count(F.lit(1)).alias("n_positions"), F.avg("ret").alias("mean_return"), F.sum("ret").alias("total_return"),
         F.avg((F.col("payout") > 0).cast("double")).alias("hit_rate"), sharpe().alias("sharpe"))
-    return F.broadcast(grid).join(s, "threshold", "left") \
+    return grid.join(s, "threshold", "left") \
         .withColumn("n_positions", F.coalesce("n_positions", F.lit(0))) \
         .withColumn("total_return", F.coalesce("total_return", F.lit(0.0)))
 

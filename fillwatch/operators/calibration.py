@@ -198,7 +198,7 @@ def coverage_power(table: DataFrame) -> DataFrame:
 def flag_list(uniformity: DataFrame, cov: DataFrame) -> DataFrame:
     """Names of every check that did not pass."""
     a = uniformity.where("rejected").select(F.lit("rank").alias("check"), "component")
-    b = uniformity.where("band_violation").select(F.lit("band").alias("check"), "component")
+    b = uniformity.where("band_violation AND NOT rejected").select(F.lit("band").alias("check"), "component")
     c = cov.where("NOT in_range").select(F.lit("coverage").alias("check"), "component")
     return a.unionByName(b).unionByName(c)
 

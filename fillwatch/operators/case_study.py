@@ -34,7 +34,7 @@ def sufficiency_counts(wallets: DataFrame) -> DataFrame:
     spark = wallets.sparkSession
     dim = spark.createDataFrame([(s,) for s in LABELS], "sufficiency STRING")
     n = wallets.groupBy("sufficiency").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(dim).join(n, "sufficiency", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return dim.join(n, "sufficiency", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def reported(wallets: DataFrame, top_k: int) -> DataFrame:

@@ -34,7 +34,7 @@ def roc_auc(df: DataFrame, truth: str = "z_true", score: str = "z_score", groups
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     agg = c.groupBy(*groups).agg(wins.alias("_w"), F.max("P").alias("n_pos"), F.max("N").alias("n_neg"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return agg.select(*groups, F.when(ok, F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).otherwise(0.5).alias("auc"),
+    return agg.select(*groups, F.when(ok, F.col("_w") / (F.col("n_pos").cast("double") * F.col("n_neg"))).otherwise(0.5).alias("auc"),
                       "n_pos", "n_neg")
 
 

@@ -148,7 +148,11 @@ def filter_scores(features: DataFrame, params: ModelParams, theta: DataFrame | N
 
 def log_marginals(features: DataFrame, param_sets: Sequence[ModelParams], theta: DataFrame | None = None, *,
                   m_s: float = 0.0, s_s: float = 1.0, m_z: float = 0.0, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Log marginal likelihood per (parameter set, market); sum over markets for the set total."""
+    """Log marginal likelihood per (parameter set, market); sum over markets for the set total.
+
+    The trades' levels are shared, so sets with other level parameters are refused."""
+    if len({(p.a, p.b, p.alpha, p.anonymous) for p in param_sets}) > 1:
+        raise ValueError("parameter sets differ in a, b, alpha or anonymous: score them in separate calls")
     segmented = _segment(with_level(features, param_sets[0], theta), len(param_sets), segment_rows)
     const = (m_s, s_s, m_z)
     starts = segment_starts(segmented, param_sets, const, segment_rows)

@@ -812,11 +812,11 @@ def _(t):
 
 def chains(t):
     """Draws regrouped into four equally long chains."""
-    return t.draws.where(F.col("idx") < 8).select("name", (F.col("iter") % 4).alias("chain"), F.floor(F.col("iter") / 4).alias("iter"), "value")
+    return t.draws.select("name", (F.col("iter") % 4).alias("chain"), F.floor(F.col("iter") / 4).alias("iter"), "value")
 
 
 HALF_SQL = """SELECT name, sub, value FROM (SELECT name, chain || '-' || CASE WHEN it < h THEN 0 WHEN it >= n - h THEN 1 END AS sub, value FROM (
-  SELECT *, n // 2 AS h FROM (SELECT name, iter % 4 AS chain, iter // 4 AS it, value, max(iter // 4) OVER (PARTITION BY name, iter % 4) + 1 AS n FROM draws WHERE idx < 8))) WHERE sub IS NOT NULL"""
+  SELECT *, n // 2 AS h FROM (SELECT name, iter % 4 AS chain, iter // 4 AS it, value, max(iter // 4) OVER (PARTITION BY name, iter % 4) + 1 AS n FROM draws))) WHERE sub IS NOT NULL"""
 
 
 def rhat_sql(src: str, col: str) -> str:

@@ -214,7 +214,10 @@ def _(t):
 P = ModelParams(sigma2_0=1e-6, sigma2_1=1e-4, tau2_0=1.0, tau2_1=0.05)
 LEVEL = "ln(0.05e0 / 0.95e0)"
 # One filter step per recursion: the carried row of every market meets its next trade.
-FILTER_SQL = f"""SELECT market, CAST(-1 AS BIGINT) AS i, 0.0e0 AS mu, 1.0e0 AS var, 0.0e0 AS v1, 0.0e0 AS z1, 0.0e0 AS ev FROM (SELECT DISTINCT market FROM features)
+
+
+def filter_sql(p: ModelParams) -> str:
+    return f"""SELECT market, CAST(-1 AS BIGINT) AS i, 0.0e0 AS mu, 1.0e0 AS var, 0.0e0 AS v1, 0.0e0 AS z1, 0.0e0 AS ev FROM (SELECT DISTINCT market FROM features)
 UNION ALL
 SELECT market, i, mu + s, q0 * (c0 + (d0 - s) * (d0 - s)) + q1 * (c1 + (d1 - s) * (d1 - s)) + q2 * (c2 + (d2 - s) * (d2 - s)) + q3 * (c3 + (d3 - s) * (d3 - s)), q2 + q3, q1 + q3, top + ln(tot)
 FROM (SELECT *, q0 * d0 + q1 * d1 + q2 * d2 + q3 * d3 AS s FROM (
@@ -225,13 +228,16 @@ FROM (SELECT *, q0 * d0 + q1 * d1 + q2 * d2 + q3 * d3 AS s FROM (
   (1 - w0 / (w0 + r0)) * w0 AS c0, (1 - w0 / (w0 + r1)) * w0 AS c1, (1 - w1 / (w1 + r0)) * w1 AS c2, (1 - w1 / (w1 + r1)) * w1 AS c3,
   lv0 + lz0 + greatest(-0.5 * (ln(2 * pi()) + ln(w0 + r0) + err * err / (w0 + r0)), -500) AS a0, lv0 + lz1 + greatest(-0.5 * (ln(2 * pi()) + ln(w0 + r1) + err * err / (w0 + r1)), -500) AS a1,
   lv1 + lz0 + greatest(-0.5 * (ln(2 * pi()) + ln(w1 + r0) + err * err / (w1 + r0)), -500) AS a2, lv1 + lz1 + greatest(-0.5 * (ln(2 * pi()) + ln(w1 + r1) + err * err / (w1 + r1)), -500) AS a3
- FROM (SELECT f.market, f.i, g.mu, f.y - g.mu AS err, g.var + {P.sigma2_0!r} * f.delta AS w0, g.var + {P.sigma2_1!r} * f.delta AS w1,
-  {P.tau2_0!r}e0 / greatest(1 + f.log_size_ratio, 0.1e0) AS r0, {P.tau2_1!r}e0 / greatest(1 + f.log_size_ratio, 0.1e0) AS r1,
+ FROM (SELECT f.market, f.i, g.mu, f.y - g.mu AS err, g.var + {p.sigma2_0!r} * f.delta AS w0, g.var + {p.sigma2_1!r} * f.delta AS w1,
+  {p.tau2_0!r}e0 / greatest(1 + f.log_size_ratio, 0.1e0) AS r0, {p.tau2_1!r}e0 / greatest(1 + f.log_size_ratio, 0.1e0) AS r1,
   ln(greatest(CASE WHEN f.i = 0 THEN 1 - 0.05e0 / 0.55e0 ELSE (1 - g.v1) * 0.95e0 + g.v1 * 0.5e0 END, 1e-300)) AS lv0, ln(greatest(CASE WHEN f.i = 0 THEN 0.05e0 / 0.55e0 ELSE (1 - g.v1) * 0.05e0 + g.v1 * 0.5e0 END, 1e-300)) AS lv1,
   CASE WHEN f.i = 0 THEN 0 ELSE -ln(1 + exp({LEVEL})) END AS lz0, CASE WHEN f.i = 0 THEN -500 ELSE {LEVEL} - ln(1 + exp({LEVEL})) END AS lz1
  FROM g JOIN features f ON f.market = g.market AND f.i = g.i + 1))))))"""
 
 
+FILTER_SQL = filter_sql(P)
+
+
 @query("sco1_filter_scores", sql("SELECT market, i, round(z1, 6) AS p_z, round(v1, 6) AS p_v, round(mu, 6) AS x_mean, round(ev, 6) AS log_evidence FROM g WHERE i >= 0", "features", g=FILTER_SQL))
 def _(t):
     s = scoring.filter_scores(t.stored_features, P)
@@ -244,10 +250,13 @@ def _(t):
     return s.select("market", "i", r("p_z").alias("p_z"), r("p_v").alias("p_v"), r("x_mean").alias("x_mean"))
 
 
-@query("sco2_log_marginals", sql("SELECT 0 AS pset, market, round(sum(ev), 4) AS log_marginal FROM g WHERE i >= 0 GROUP BY market", "features", g=FILTER_SQL))
+OTHER = ModelParams(sigma2_0=1e-5, sigma2_1=1e-3, tau2_0=2.0, tau2_1=0.1)
+
+
+@query("sco2_log_marginals", sql("""SELECT 0 AS pset, market, round(sum(ev), 4) AS log_marginal FROM g WHERE i >= 0 GROUP BY market
+UNION ALL SELECT 1, market, round(sum(ev), 4) FROM g1 WHERE i >= 0 GROUP BY market""", "features", g=FILTER_SQL, g1=filter_sql(OTHER).replace("FROM g JOIN", "FROM g1 g JOIN")))
 def _(t):
-    sets = [P, ModelParams(sigma2_0=1e-5, sigma2_1=1e-3, tau2_0=2.0, tau2_1=0.1)]
-    return scoring.log_marginals(t.stored_features, sets).where("pset = 0").select("pset", "market", r("log_marginal", 4).alias("log_marginal"))
+    return scoring.log_marginals(t.stored_features, [P, OTHER]).select("pset", "market", r("log_marginal", 4).alias("log_marginal"))
 
 
 @query("sco3_heldout", sql("""SELECT market, count(*) AS n, round(sum(ev), 4) AS log_lik FROM (SELECT *, count(*) OVER (PARTITION BY market) AS n FROM g WHERE i >= 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fillwatch.config import ModelParams
 from fillwatch.functions.labels import parse_iso
-from fillwatch.operators.clean import keep_first
+from fillwatch.operators.clean import keep_first, parse_end_date
 from fillwatch.schemas import CAPTURE_DDL, MANIFEST_DDL, REPLICATE_DDL, SCORES_DDL
 from fillwatch.session import scalar_row, scratch_path  # noqa: F401
 
@@ -141,10 +141,18 @@ def _pick(keys, value: str = "value"):
     return [F.nullif(F.get_json_object(value, f"$.{k}"), F.lit("")) for k in keys]
 
 
+def _end_seconds(key: str):
+    """A JSON number as it is, a JSON text by the layouts that the pre-resolution filter knows; anything else is no time."""
+    found = F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "variant")
+    kind = F.schema_of_variant(found)
+    return F.when(kind == "STRING", parse_end_date(F.try_variant_get(found, "$", "string"))) \
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(found, "$", "double"))
+
+
 def resolutions(records: DataFrame) -> DataFrame:
-    """Close time per market: the first present field wins; plain numbers are accepted as they are."""
+    """Close time per market: the first present field wins; numbers are accepted as they are."""
     plain = F.col("value").try_cast("double")
-    close = F.coalesce(plain, *[parse_iso(c) for c in _pick(CLOSE_KEYS)])
+    close = F.coalesce(plain, *[_end_seconds(k) for k in CLOSE_KEYS])
     market = F.when(plain.isNotNull(), F.col("key")).otherwise(F.coalesce(*_pick(MARKET_KEYS), F.col("key")))
     return records.select(market.alias("market"), close.alias("close_ts")).where("close_ts IS NOT NULL")
 
@@ -189,7 +197,9 @@ def load_replicates(spark: SparkSession, path: str, schema_version: int = 1) ->
     """Replicate rows, first per seed; a foreign version or a missing seed is refused."""
     df = spark.read.schema(REPLICATE_DDL).option("mode", "FAILFAST").json(path)
     check_replicates(df, schema_version)
-    return keep_first(df.withColumn("_t", F.to_json(F.struct(*df.columns))), "seed", ["_t"]).drop("_t")
+    # place in the store: file, split of the file, line of the split
+    placed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_l"))
+    return keep_first(placed, "seed", ["_f", "_b", "_l"]).drop("_f", "_b", "_l")
 
 
 def check_replicates(df: DataFrame, schema_version: int = 1) -> None:
