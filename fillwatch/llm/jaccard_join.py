@@ -30,6 +30,7 @@ WORDS = 4
 FAMILIES = 8
 SMALL = 8  # buckets of so many members are paired by a join, larger ones in blocks
 BLOCK = 1024
+PIVOTS = 3  # members of each bucket that all others are compared with first
 _find = re.compile(rb"[^ \t-\r]+").findall
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -218,7 +219,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
     that links reach from it. Two rows link when 100 * |intersection| >= percent * |union|.
 
     Rows with equal sets are one vertex, so copies are never paired. The vertices that share a signature are first compared
-    with one of them each; in buckets whose members are still in different components after that, all pairs of different
+    with a few of them each, drawn anew for every signature; in buckets whose members are still in different components after that, all pairs of different
     components are compared, by size and sketch first. Links are judged on the texts. Null, empty and word-less texts have an empty
     set, size 0, and are linked with nothing: ``component_id`` is their own id. Rows with a null id have sizes but take no part
     in links and get a null component. Repeated rows have one component. Other columns are not read.
@@ -235,7 +236,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
     whole = Window.partitionBy("sig")
     members = stored(
         live.select("h", F.explode("sigs").alias("sig")).repartition("sig").groupBy("sig", "h").agg(F.lit(1).alias("one"))
-        .select("sig", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo < hi").select("sig", "h", "lo"), "jaccard-members")
+        .select("sig", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo < hi").select("sig", "h"), "jaccard-members")
     label = None
     if not members.isEmpty():
         shared = stored(members.select("h").distinct(), "jaccard-shared")
@@ -244,14 +245,18 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
                           .groupBy("h").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-vertices")
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("h", "text")
         texts = stored(_of_set(found, width, salt), "jaccard-texts")
-        stars = members.where("lo <> h").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct()
-        links = stored(_linked(stored(_possible(stars, vertices, percent), "jaccard-pairs"), texts, percent, width), "jaccard-links")
-        known = members.select("sig", "h").join(components(links).withColumnRenamed("v", "h"), "h", "left").select("sig", "h", F.coalesce("c", "h").alias("c"))
+        links, known = None, members.select("sig", "h", F.col("h").alias("c"))
+        for k in range(PIVOTS):
+            pivot = F.min(F.struct(F.xxhash64("h", "sig", F.lit(k)).alias("u"), "h", "c")).over(whole)
+            stars = known.withColumn("p", pivot).where("c <> p.c").select(F.least("h", "p.h").alias("a"), F.greatest("h", "p.h").alias("b")).distinct()
+            new = stored(_linked(stored(_possible(stars, vertices, percent), "jaccard-pairs"), texts, percent, width), "jaccard-links")
+            links = new if links is None else links.unionByName(new)
+            known = members.select("sig", "h").join(components(links).withColumnRenamed("v", "h"), "h", "left").select("sig", "h", F.coalesce("c", "h").alias("c"))
         spread = known.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi"), F.count(F.lit(1)).over(whole).alias("m"))
         still = stored(spread.where("lo < hi and m > 2").select("sig", "h", "c", "m", F.row_number().over(whole.orderBy("h")).alias("r")), "jaccard-open")
         small = still.where(F.col("m") <= SMALL)
         other = small.select("sig", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("r").alias("ra"))
-        few = small.join(other, "sig").where("r > ra and ra > 1 and c <> ca").select("a", F.col("h").alias("b")).distinct()
+        few = small.join(other, "sig").where("r > ra and c <> ca").select("a", F.col("h").alias("b")).distinct()
         many = _blocks(still.where(F.col("m") > SMALL), vertices, percent)
         pairs = stored(_possible(few, vertices, percent).unionByName(many).distinct(), "jaccard-pairs")
         label = components(links.unionByName(stored(_linked(pairs, texts, percent, width), "jaccard-links")))
