@@ -120,7 +120,8 @@ def judged(docs: DataFrame, *, lanes=LANES) -> DataFrame:
     todo = _led(base.select("row_id", "doc_id").join(fingerprints(texts, lanes), "row_id"), "exact")
     settled = None
     while not todo.isEmpty():
-        parts = stored(_parts(texts.join(todo.select("row_id", "lead"), "row_id")), "exact-parts")
+        # What is to be compared grows with the data, so it is never broadcast: one plan at every size.
+        parts = stored(_parts(texts.hint("merge").join(todo.select("row_id", "lead"), "row_id")), "exact-parts")
         first = parts.where("row_id = lead").select("lead", "chunk", F.col("part").alias("first"))
         same = parts.where("row_id <> lead").join(first, ["lead", "chunk"], "left").select(
             "row_id", F.coalesce(F.col("part") == F.col("first"), F.lit(False)).alias("same"))
