@@ -158,14 +158,27 @@ def resolutions(records: DataFrame) -> DataFrame:
 
 
 def verdict_value(text):
-    """Settled payout of one field: a yes/no word, or exactly 0 or 1; a price settles nothing."""
+    """Settled payout of a text: a yes/no word; a price settles nothing."""
     t = F.lower(F.trim(text))
-    return F.when(t.isin("yes", "y", "true", "1", "up", "1.0"), 1.0).when(t.isin("no", "n", "false", "0", "down", "0.0"), 0.0)
+    return F.when(t.isin("yes", "y", "true", "1", "up"), 1.0).when(t.isin("no", "n", "false", "0", "down"), 0.0)
+
+
+def _exact(number):
+    return F.when(number.isin(0.0, 1.0), number)
+
+
+def _settled(key: str):
+    """Payout of a record's field by its JSON type: a text or a truth value by its word, a number if exactly 0 or 1."""
+    found = F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "variant")
+    word = F.schema_of_variant(found).isin("STRING", "BOOLEAN")
+    return F.when(word, verdict_value(F.try_variant_get(found, "$", "string"))).otherwise(_exact(F.try_variant_get(found, "$", "double")))
 
 
 def outcomes(records: DataFrame) -> DataFrame:
+    """Settled payout per market. A record that is no object has lost its JSON type, so there 1.0 settles as a number would."""
     is_obj = F.ltrim("value").startswith("{")
-    settled = F.when(is_obj, F.coalesce(*[verdict_value(c) for c in _pick(OUTCOME_KEYS)])).otherwise(verdict_value(F.col("value")))
+    bare = F.coalesce(verdict_value(F.col("value")), _exact(F.col("value").try_cast("double")))
+    settled = F.when(is_obj, F.coalesce(*[_settled(k) for k in OUTCOME_KEYS])).otherwise(bare)
     market = F.when(is_obj, F.coalesce(*_pick(MARKET_KEYS), F.col("key"))).otherwise(F.col("key"))
     return records.select(market.alias("market"), settled.alias("outcome")).where("outcome IS NOT NULL")
 

@@ -109,6 +109,13 @@ def test_metadata_shapes(spark, tmp_path):
     assert {(r.market, r.outcome) for r in files.outcomes(arr).collect()} == {("s", 1.0)}
 
 
+def test_outcome_types(spark):
+    """The text "1.0" settles nothing, the number does."""
+    values = {"a": '{"outcome": "1.0"}', "b": '{"outcome": 1.0}', "c": '{"outcome": "1.0", "result": "no"}', "d": '{"outcome": 0}', "e": "1.0", "f": '{"outcome": 0.5}', "g": '{"outcome": "1"}'}
+    rec = spark.createDataFrame(list(values.items()), "key STRING, value STRING")
+    assert {r.market: r.outcome for r in files.outcomes(rec).collect()} == {"b": 1.0, "c": 0.0, "d": 0.0, "e": 1.0, "g": 1.0}
+
+
 def test_outcome_words(spark):
     words = {"YES": 1.0, " up ": 1.0, "True": 1.0, "no": 0.0, "0": 0.0, "0.97": None, "unsettled": None}
     df = spark.createDataFrame([(w,) for w in words], "w STRING").select("w", files.verdict_value(F.col("w")).alias("v"))
