@@ -11,7 +11,8 @@ sorted in one task. Adjacent suffixes are compared phrase by phrase, which gives
 
 Bytes. A window inside a shared phrase prefix is repeated; one whose anchor's gram occurs once is not. What is left are windows
 that reach over the edge of a repeat. They are compared, with all windows at the same distance from an anchor with the same
-gram, first by the bytes that a block of neighbouring windows has in common, then by two 64-bit hashes of the window.
+gram, first by the bytes that a block of neighbouring windows has in common and by those it covers, then, one block for all
+that cover the same bytes, by two 64-bit hashes of the window.
 """
 
 from __future__ import annotations
@@ -280,39 +281,37 @@ def _asked(state: tuple, asked: list) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def open_cores(texts: DataFrame, salt: int) -> DataFrame:
-    """``d, th, k, t, h``: hash of the bytes that the open windows of a block (``BLOCK`` distances from one anchor) have in common.
-    None of them is repeated unless these are."""
+    """``d, th, start, wide, h, c, c2``: the open windows of a block (``BLOCK`` distances from one anchor), the hash of the bytes they
+    have in common, and two hashes of the bytes they cover. None of them is repeated unless ``h`` is; all are if ``c, c2`` are."""
+    names = ["d", "th", "start", "wide", "h", "c", "c2"]
+
     def run(batch: pa.RecordBatch) -> pa.Table:
         out = []
         for d, th, data, asked, *state in _columns(batch, "d", "th", "text", "asked", *_MARKED):
             at, own, block, p = _asked(state, asked)
             if len(at):
                 first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (block[1:] != block[:-1])]))
-                own, block = own[first], block[first]
-                start = p[own] - BLOCK * block
-                h = Hasher(data, salt).ranges(start, start + LENGTH - BLOCK + 1)
-                out.append(pa.table([pa.array(np.full(len(own), d)), pa.array(np.full(len(own), th)), pa.array(own), pa.array(block), _long(h)],
-                                    ["d", "th", "k", "t", "h"]))
-        kinds = pa.schema([(c, pa.int64()) for c in ("d", "th", "k", "t", "h")])
+                wide = np.diff(first, append=len(at))
+                core, start = p[own[first]] - BLOCK * block[first], at[first]
+                hasher = Hasher(data, salt)
+                out.append(pa.table([pa.array(np.full(len(first), d)), pa.array(np.full(len(first), th)), pa.array(start), pa.array(wide),
+                                     _long(hasher.ranges(core, core + LENGTH - BLOCK + 1)), *[_long(hasher.ranges(start, start + wide - 1 + LENGTH, k)) for k in (0, 1)]], names))
+        kinds = pa.schema([(c, pa.int64()) for c in names])
         return pa.concat_tables(out).cast(kinds) if out else kinds.empty_table()
 
-    return map_rows(texts, run, "d long, th long, k long, t long, h long")
+    return map_rows(texts, run, ", ".join(f"{c} long" for c in names))
 
 
 def open_windows(texts: DataFrame, salt: int) -> DataFrame:
-    """``d, th, start, h, h2`` of the open windows in blocks whose common bytes are repeated."""
+    """``d, th, start, h, h2`` of the windows in ``blocks`` of (start, wide)."""
     def run(batch: pa.RecordBatch) -> pa.Table:
         out = []
-        for d, th, data, asked, blocks, *state in _columns(batch, "d", "th", "text", "asked", "blocks", *_MARKED):
-            at, own, block, _ = _asked(state, asked)
-            wide = LENGTH // BLOCK + 1
-            at = at[np.isin(own * wide + block, [x["k"] * wide + x["t"] for x in blocks])]
-            if len(at):
-                h = Hasher(data, salt)
-                out.append(pa.table([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), th)), pa.array(at), _long(h.ranges(at, at + LENGTH)), _long(h.ranges(at, at + LENGTH, 1))],
-                                    ["d", "th", "start", "h", "h2"]))
-        kinds = pa.schema([(c, pa.int64()) for c in ("d", "th", "start", "h", "h2")])
-        return pa.concat_tables(out).cast(kinds) if out else kinds.empty_table()
+        for d, th, data, blocks in _columns(batch, "d", "th", "text", "blocks"):
+            at = np.concatenate([np.arange(x["start"], x["start"] + x["wide"]) for x in blocks])
+            h = Hasher(data, salt)
+            out.append(pa.table([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), th)), pa.array(at), _long(h.ranges(at, at + LENGTH)), _long(h.ranges(at, at + LENGTH, 1))],
+                                ["d", "th", "start", "h", "h2"]))
+        return pa.concat_tables(out)
 
     return map_rows(texts, run, "d long, th long, start long, h long, h2 long")
 
@@ -347,11 +346,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = keyed.select("d", "th", "text").join(stored(marked.join(asked, ["d", "th"]).select("d", "th", "asked", *_MARKED), "suffix-asked"), ["d", "th"])
     texts = stored(texts.dropDuplicates(["d", "th"]) if several else texts, "suffix-texts")
     cores = stored(open_cores(texts, salt), "suffix-cores")
-    shared = stored(cores.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "suffix-shared-cores")
-    blocks = cores.join(shared, "h").groupBy("d", "th").agg(F.collect_list(F.struct("k", "t")).alias("blocks"))
-    windows = stored(open_windows(texts.join(blocks, ["d", "th"]), salt), "suffix-windows")
-    again = stored(windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "h2"), "suffix-again")
-    starts = windows.join(again, ["h", "h2"]).groupBy("d", "th").agg(F.collect_list("start").alias("starts"))
+    # Blocks that cover the same bytes are repeated whole, and one of them stands for all where other bytes surround the same core.
+    covers = stored(cores.groupBy("h", "c", "c2").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("d", "th", "start", "wide")]), "suffix-covers")
+    mixed = covers.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    blocks = covers.join(mixed, "h").groupBy("d", "th").agg(F.collect_list(F.struct("start", "wide")).alias("blocks"))
+    windows = stored(open_windows(texts.select("d", "th", "text").join(blocks, ["d", "th"]), salt), "suffix-windows")
+    again = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "h2")
+    known = cores.join(covers.where("m > 1").select("h", "c", "c2"), ["h", "c", "c2"]).select("d", "th", "start", "wide").unionByName(
+        windows.join(again, ["h", "h2"]).select("d", "th", "start", F.lit(1).cast("long").alias("wide")))
+    starts = known.groupBy("d", "th").agg(F.collect_list(F.struct("start", "wide")).alias("starts"))
     found = stored(marked.select("d", "th", *_MARKED).join(starts, ["d", "th"], "left"), "suffix-found")
     rows = keyed.join(found, ["d", "th"], "left").join(twice, ["d", "th"], "left")
 
@@ -363,9 +366,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 mark[0], mark[-1] = 1, -1
             elif state[0] is not None:
                 inside = _states(*state)[2]
-                at = np.unique(np.concatenate([np.flatnonzero(inside), np.array(starts or [], np.int64)]))
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + LENGTH, -1)
+                at, more = np.flatnonzero(inside), starts or ()
+                first = np.concatenate([at, np.array([x["start"] for x in more], np.int64)])
+                past = np.concatenate([at + 1, np.array([x["start"] + x["wide"] for x in more], np.int64)])
+                np.add.at(mark, first, 1)
+                np.add.at(mark, past + LENGTH - 1, -1)
             out = np.cumsum(mark)[:-1] > 0
             edge = np.flatnonzero(np.diff(out.astype(np.int8), prepend=0, append=0))
             size.append(len(data))
