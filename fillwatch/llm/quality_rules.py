@@ -1,6 +1,7 @@
 """Quality rules with robust multivariate outliers.
 
-Minimum-covariance-determinant estimates per language and source: concentration steps take the ``share`` of a group's
+Minimum-covariance-determinant estimates per language and source, or of the next coarser level that has rows enough (the
+language, then all rows): concentration steps take the ``share`` of a group's
 rows with the smallest Mahalanobis distances and re-estimate centre and scatter from them, all groups side by side.
 A row whose transformed statistics lie beyond a chi-square quantile of its group is rejected.
 """
@@ -25,6 +26,7 @@ find_capitals = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de\u0391-\u03a9\u0410-\u
 #: is zero in nearly all texts of a group still needs ten percent and more to stand out.
 FLOORS = (0.08, 0.45, 0.8, 0.8, 0.45)
 P = len(FLOORS)
+EVERYTHING = "[]"  # the group of all rows
 
 
 def text_statistics(text: str | None) -> tuple:
@@ -62,11 +64,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         got = [text_statistics(t) for t in batch.column(2).to_pylist()]
         cols = [pa.array([x[k] for x in got], pa.int64()) for k in range(5)] + [pa.array([x[5] for x in got], pa.list_(pa.float64()))]
         return pa.record_batch([batch.column(0), batch.column(1), *cols],
-                               ["doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "x"])
+                               ["doc_id", "levels", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "x"])
 
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.to_json(F.array(F.col("lang").cast("string"), F.col("source").cast("string"))).alias("grp"), "text")
-    return map_rows(rows, run, "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                       F.array(F.to_json(F.array(lang, source)), F.to_json(F.array(lang)), F.lit(EVERYTHING)).alias("levels"), "text")
+    return map_rows(rows, run, "doc_id long, levels array<string>, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                                "n_repeat_words long, x array<double>")
 
 
@@ -161,15 +164,21 @@ def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat: int = 50,
 
     Base rules fail a text of fewer than ``min_words`` words, or with more than ``max_repeat`` percent of its words in
     repeated windows of three. Estimates use the rows of a (language, source) group that pass them; null languages and
-    sources form groups of their own. A passing row is kept if its squared distance is at most the chi-square ``quantile``;
-    groups of fewer than ``min_group`` passing rows have no estimate, and their rows are kept with a null distance.
+    sources form groups of their own. Rows of a group of fewer than ``min_group`` passing rows are measured by the estimate
+    over all passing rows of their language, or over all passing rows if those are fewer too, however few there are. A passing
+    row is kept if its squared distance, which is never null, is at most the chi-square ``quantile``.
     Null and empty texts have no words. Repeated rows stay, an empty table gives an empty result, other columns are not read.
     """
     rows = stored(statistics(docs), "quality-statistics").withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
-    passing = rows.where("not base_failed").select("grp", "x")
-    large = stored(passing.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_group).select("grp"), "quality-groups")
-    estimates = robust_estimates(passing.join(large, "grp"), share=share, max_steps=max_steps)
-    judged = rows.join(estimates, "grp", "left").withColumn("distance2", F.when(~F.col("base_failed"), distance2(F.col("x"), F.col("mean"), F.col("inverse"))))
+    passing = rows.where("not base_failed").select("levels", "x")
+    members = stored(passing.groupBy("levels").agg(F.count(F.lit(1)).alias("m")).select("m", F.posexplode("levels").alias("level", "grp"),
+                                                                                        F.col("levels")[0].alias("own")), "quality-groups")
+    large = members.groupBy("grp").agg(F.sum("m").alias("m")).where((F.col("m") >= min_group) | (F.col("grp") == EVERYTHING)).select("grp")
+    used = stored(members.join(large, "grp").groupBy("own").agg(F.min_by("grp", "level").alias("grp")), "quality-levels")
+    samples = stored(passing.select(F.explode("levels").alias("grp"), "x").join(used.select("grp").distinct(), "grp"), "quality-samples")
+    estimates = robust_estimates(samples, share=share, max_steps=max_steps)
+    judged = rows.withColumn("own", F.col("levels")[0]).join(used.join(estimates, "grp").drop("grp"), "own", "left")
+    judged = judged.withColumn("distance2", F.when(~F.col("base_failed"), distance2(F.col("x"), F.col("mean"), F.col("inverse"))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2",
-                         (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= chi2_quantile(quantile, P))).alias("kept"))
+                         (~F.col("base_failed") & (F.col("distance2") <= chi2_quantile(quantile, P))).alias("kept"))

@@ -108,6 +108,25 @@ def test_robust_estimates_resist_outliers(spark):
     assert abs(quality_rules.chi2_cdf(2.0, 2) - (1 - np.exp(-1))) < 1e-12
 
 
+def ordinary_text(rng, n=200):
+    """Lines of ten words each, none of which recurs, with few capitals."""
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 7))) + str(k) for k in range(n)]
+    return "\n".join(" ".join(words[k:k + 10]).capitalize() for k in range(0, n, 10))
+
+
+def test_quality_rules_judge_small_groups(spark):
+    """Rows without neighbours in their language and source are measured against their language, or against all rows."""
+    rng = random.Random(4)
+    texts = [(k, ordinary_text(rng), "en", f"s{k % 12}") for k in range(60)] + [(60 + k, ordinary_text(rng), None, f"s{k}") for k in range(3)]
+    junk = ordinary_text(rng).replace(" ", " ### ")
+    planted = [(70, junk, "en", "s3"), (71, junk, "fr", "s0"), (72, junk, None, None)]
+    got = by_id(quality_rules.quality_rules(frame(spark, texts + planted)))
+    assert all(r["distance2"] is not None and not r["base_failed"] for r in got.values())
+    assert [d for d in sorted(got) if not got[d]["kept"]] == [70, 71, 72]
+    alone = quality_rules.quality_rules(frame(spark, texts[:1])).collect()
+    assert [(r["distance2"], r["kept"]) for r in alone] == [(0.0, True)]
+
+
 def test_mixing(docs, rows, nothing):
     got = mixing.mix_sources(docs, block_words=500, shard_bits=2).collect()
     size = Counter()
