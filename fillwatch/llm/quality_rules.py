@@ -23,8 +23,8 @@ from fillwatch.llm.common import find_words, map_rows, stored
 SYMBOLS = "#*$%&|<>"
 find_capitals = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de\u0391-\u03a9\u0410-\u042f]").findall
 #: Smallest standard deviation that each transformed statistic is given. Shares are log1p of percent, so a statistic that
-#: is zero in nearly all texts of a group still needs ten percent and more to stand out.
-FLOORS = (0.08, 0.45, 0.8, 0.8, 0.45)
+#: is zero in nearly all texts of a group still needs fourteen percent and more to stand out alone.
+FLOORS = (0.08, 0.45, 0.45, 0.45, 0.45)
 P = len(FLOORS)
 EVERYTHING = "[]"  # the group of all rows
 

@@ -127,6 +127,26 @@ def test_quality_rules_judge_small_groups(spark):
     assert [(r["distance2"], r["kept"]) for r in alone] == [(0.0, True)]
 
 
+def test_each_statistic_rejects_alone(spark):
+    """One outlier for each of the five statistics, the others as in the group."""
+    rng = random.Random(12)
+    texts = [(k, ordinary_text(rng), "en", "a") for k in range(80)]
+    lines = ordinary_text(rng).split("\n")
+    planted = {100: "\n".join(" ".join(w * 2 for w in line.split(" ")) for line in lines),  # long words
+               101: ordinary_text(rng).translate({ord(c): "#" for c in "eta"}),  # symbols
+               102: "\n".join(f"{line}\nunrelated" for line in lines),  # equal lines of one word, so that no three words recur
+               103: ordinary_text(rng, 130) + "".join(f"\ncarrying remarks together onwards{k}" for k in range(20)),  # no line twice
+               104: ordinary_text(rng).upper()}
+    got = by_id(quality_rules.quality_rules(frame(spark, texts + [(d, t, "en", "a") for d, t in planted.items()])))
+    assert not any(r["base_failed"] for r in got.values())
+    assert [d for d in sorted(got) if not got[d]["kept"]] == sorted(planted)
+    x = {d: quality_rules.text_statistics(t)[5] for d, t, *_ in texts} | {d: quality_rules.text_statistics(t)[5] for d, t in planted.items()}
+    usual = np.median([x[k] for k in range(80)], 0)
+    for k, d in enumerate(planted):  # nearly all of the distance is the planted statistic's
+        part = ((np.array(x[d]) - usual) / quality_rules.FLOORS) ** 2
+        assert part.argmax() == k and part.sum() - part[k] < 20
+
+
 def test_mixing(docs, rows, nothing):
     got = mixing.mix_sources(docs, block_words=500, shard_bits=2).collect()
     size = Counter()
