@@ -338,6 +338,25 @@ def test_markov_ratio_finds_random_strings(spark):
     assert [(s["start"], s["end"], s["kind"]) for s in got[9000]["spans"]] == [(10, 50, 3)] and got[9001]["spans"] == []
 
 
+def test_markov_stretches_inside_runs(spark):
+    """Keys after ordinary characters, beside base spans, two in a run, and of an alphabet that the labelled strings (all hex) lack."""
+    rng = random.Random(7)
+    path = "the-ordinary/path-of-some/document-in-the-archive/"
+    texts = [(r["doc_id"], f"{r['text']} {path} token = {rng.getrandbits(160):040x}") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    k = ["".join(rng.choice(letters) for _ in range(n)) for n in (24, 24, 40, 24, 24, 24, 16)]
+    planted = {"alone": (k[0], [k[0]]), "path": ("see hooks/services/" + k[1] + " there", [k[1]]), "name": ("AWS_SECRET_ACCESS_KEY=" + k[2], [k[2]]),
+               "long": (path + k[3], [k[3]]), "two": (path + k[4] + "/" + path + k[5], [k[4], k[5]]), "short": (k[6], [k[6]]),
+               "beside": ("0123456789abcdef01234567/" + k[0], [k[0]]), "ordinary": (path * 40, [])}
+    planted = {9000 + i: x for i, x in enumerate(planted.values())}
+    got = by_id(secret_scan.scan(spark.createDataFrame(texts + [(d, t) for d, (t, _) in planted.items()], "doc_id long, text string")))
+    for d, (t, keys) in planted.items():
+        spans = [s for s in got[d]["spans"] if s["kind"] == 3]
+        assert len(spans) == len(keys), (t, spans)
+        for s, key in zip(spans, keys):  # the key is covered, and at most a name before it
+            assert t[s["start"]:s["end"]] == s["value"] and key in s["value"] and len(s["value"]) <= len(key) + 22
+
+
 def test_packing(docs, rows, nothing):
     got = packing.pack(docs, TOKENIZER, group_rows=30).collect()
     by = defaultdict(list)
