@@ -100,13 +100,49 @@ def _block(blocks: Column, seed: int) -> Column:
     return F.floor(unit_hash(F.lit(seed), F.col("doc_id")) * blocks).cast("long")
 
 
+def _running(blocks: DataFrame) -> DataFrame:
+    """``blocks(key, block, words, ...)`` with ``upto``, the words of the source's blocks up to each."""
+    blocks = blocks.withColumn("super", F.shiftright("block", SUPER_BITS))
+    supers = blocks.groupBy("key", "super").agg(F.sum("words").alias("n")).select(
+        "key", "super", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("super").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("key", "super").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return blocks.join(supers, ["key", "super"]).withColumn("upto", F.col("base") + F.sum("words").over(inside))
+
+
+def fill(items: DataFrame, gaps: DataFrame, seed: int) -> DataFrame:
+    """``key, chosen``: the ids of the ``items(key, block, doc_id, words)`` that fill the ``gaps(key, gap)`` until none left fits.
+
+    Each round drops the items longer than their source's gap and takes the others in the order of their blocks, within a
+    block at random, each that still fits, up to the first block that does not fit whole; the next round starts behind it.
+    What such a block leaves the gap with is less than any document left in it, so a few rounds settle all sources. One
+    row of a round holds a gap's documents and one block's."""
+    gaps, chosen = stored(gaps.withColumn("done", F.lit(-1).cast("long")), "mix-gaps"), None
+    while True:
+        open_items = items.join(gaps, "key").where((F.col("block") > F.col("done")) & (F.col("words") <= F.col("gap")))
+        blocks = stored(open_items.groupBy("key", "block").agg(F.sum("words").alias("words"), F.first("gap").alias("gap")), "mix-fill-blocks")
+        if blocks.isEmpty():
+            break
+        last = _running(blocks).groupBy("key").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("gap"), F.col("block"))), F.max("block")).alias("last"))
+        order = F.sort_array(F.collect_list(F.struct("block", unit_hash(F.lit(seed), F.lit("fill"), F.col("doc_id")).alias("u"), "words", "doc_id")))
+        took = F.aggregate(
+            order, F.struct(F.max("gap").alias("room"), F.array().cast("array<long>").alias("ids")),
+            lambda s, x: F.when(x["words"] <= s["room"], F.struct((s["room"] - x["words"]).alias("room"), F.concat(s["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(s))
+        picked = stored(open_items.join(last, "key").where("block <= last").groupBy("key").agg(took.alias("took"), F.max("last").alias("done"))
+                        .select("key", F.col("took.room").alias("gap"), "done", F.col("took.ids").alias("ids")), "mix-picked")
+        chosen = picked.select("key", "ids") if chosen is None else chosen.unionByName(picked.select("key", "ids"))
+        gaps = picked.select("key", "gap", "done").where("gap > 0")
+    if chosen is None:
+        return gaps.select("key", F.array().cast("array<long>").alias("chosen")).limit(0)
+    return chosen.groupBy("key").agg(F.flatten(F.collect_list("ids")).alias("chosen"))
+
+
 def mixing_plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, shard_bits: int = 6, seed: int = 1, weights=WEIGHTS,
                 share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """One row per source: targets, blocks, quotas and the shards' ranges, from ``sized(doc_id, source, size)``.
 
-    A source gives ``full`` whole passes over its blocks, then its first ``whole`` blocks once more, and of the next one the
-    documents ``chosen``: taken in a random order, each that still fits, so that what is missing to the target is less
-    than any document left in the block. Rows that repeat a document id are taken together."""
+    A source gives ``full`` whole passes over its blocks, then its first ``whole`` blocks once more, and of the others the
+    documents ``chosen`` (see ``fill``), so that what is missing to the target is less than any document left in the source.
+    Rows that repeat a document id are taken together."""
     keyed = sized.select("doc_id", _key().alias("key"), "size")
     sizes = stored(keyed.groupBy("key").agg(F.sum("size").alias("size")), "mix-sources")
     target = source_targets(sizes, weights=weights, share=share, limit=limit)
@@ -115,24 +151,16 @@ def mixing_plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, shard_bits:
         F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long").alias("full"))
         .withColumn("rest", F.floor(F.col("target") - F.col("full") * F.col("size")).cast("long")), "mix-targets")
     blocks = stored(keyed.withColumnRenamed("size", "words").join(info, "key").withColumn("block", _block(F.col("blocks"), seed))
-                    .groupBy("key", "block").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"))
-                    .withColumn("super", F.shiftright("block", SUPER_BITS)), "mix-blocks")
-    supers = blocks.groupBy("key", "super").agg(F.sum("words").alias("n")).select(
-        "key", "super", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("super").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("key", "super").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = blocks.join(supers, ["key", "super"]).withColumn("upto", F.col("base") + F.sum("words").over(inside))
+                    .groupBy("key", "block").agg(F.sum("words").alias("words"), F.first("rest").alias("rest")), "mix-blocks")
+    running = _running(blocks)
     whole = running.groupBy("key").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("block") + 1)).alias("whole"),
                                        F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("given"))
     info = stored(info.join(whole, "key", "left").withColumn("whole", F.coalesce("whole", F.lit(0))).withColumn(
         "gap", F.col("rest") - F.coalesce("given", F.lit(0))).drop("given"), "mix-passes")
-    items = keyed.withColumnRenamed("size", "words").join(info.where("gap > 0 and whole < blocks"), "key").where(
-        (_block(F.col("blocks"), seed) == F.col("whole")) & (F.col("words") > 0)).groupBy("key", "doc_id").agg(
-        F.sum("words").alias("words"), F.first("gap").alias("gap"))
-    fits = F.aggregate(
-        F.sort_array(F.collect_list(F.struct(unit_hash(F.lit(seed), F.lit("fill"), F.col("doc_id")).alias("u"), "words", "doc_id"))),
-        F.struct(F.max("gap").alias("room"), F.array().cast("array<long>").alias("ids")),
-        lambda s, x: F.when(x["words"] <= s["room"], F.struct((s["room"] - x["words"]).alias("room"), F.concat(s["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(s))
-    chosen = items.groupBy("key").agg(fits["ids"].alias("chosen"))
+    items = keyed.withColumnRenamed("size", "words").join(info.where("gap > 0"), "key").withColumn("block", _block(F.col("blocks"), seed)).where(
+        (F.col("block") >= F.col("whole")) & (F.col("words") > 0)).groupBy("key", "block", "doc_id").agg(
+        F.sum("words").alias("words"), F.first("gap").alias("gap")).where("words <= gap")
+    chosen = fill(stored(items.drop("gap"), "mix-items"), info.where("gap > 0").select("key", "gap"), seed)
     info = stored(info.join(chosen, "key", "left").withColumn("chosen", F.coalesce("chosen", F.array().cast("array<long>"))).withColumn(
         "quota", F.col("full") * F.col("blocks") + F.col("whole") + (F.size("chosen") > 0).cast("long")), "mix-quotas")
     leaves = split_quotas(info.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quota")), shard_bits, seed)
@@ -150,10 +178,10 @@ def mix(docs: DataFrame, plan: DataFrame, *, seed: int = 1) -> DataFrame:
     broadcast."""
     rows = docs.drop("source_size", "target", "copies", "shards").withColumn("key", _key()).join(plan, "key")
     rows = rows.withColumn("block", _block(F.col("blocks"), seed))
-    more = (F.col("block") < F.col("whole")) | ((F.col("block") == F.col("whole")) & F.coalesce(F.array_contains("chosen", F.col("doc_id")), F.lit(False)))
+    more = (F.col("block") < F.col("whole")) | F.exists("chosen", lambda x: x.eqNullSafe(F.col("doc_id").cast("long")))
     rows = rows.withColumn("copies", (F.col("full") + more.cast("long")).cast("int"))
     place = F.transform(F.slice(F.sequence(F.lit(0), F.greatest("copies", F.lit(1))), F.lit(1), F.col("copies")), lambda p: F.size(
-        F.filter("ends", lambda e: e <= p * F.col("blocks") + F.col("block"))))
+        F.filter("ends", lambda e: e <= F.least(p * F.col("blocks") + F.col("block"), F.col("full") * F.col("blocks") + F.col("whole")))))
     return rows.withColumn("shards", place).drop("key", "blocks", "full", "whole", "chosen", "ends", "block")
 
 

@@ -166,6 +166,21 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_mixing_fills_past_a_long_document(spark):
+    """One document is a fifth of its source; what is missing in the end is less than any document that was left."""
+    rng = random.Random(13)
+    sizes = [4000] + [rng.randint(20, 60) for _ in range(400)]
+    table = [(k, "w " * n, "en", "a") for k, n in enumerate(sizes)] + [(1000 + k, "w " * 100, "en", "b") for k in range(200)] + [(None, "w " * 30, "en", "a")]
+    for seed in (0, 2):
+        got = mixing.mix_sources(frame(spark, table), block_words=500, shard_bits=2, seed=seed, share=0.4).collect()
+        for source in ("a", "b"):
+            mine = [r for r in got if (r["doc_id"] or 0) // 1000 == (source == "b")]
+            gap, most = mine[0]["target"] - sum(r["taken"] for r in mine), max(r["copies"] for r in mine)
+            left = [r["size"] for r in mine if r["copies"] < most]
+            assert gap >= 0 and (not left or gap < min(left) + 1), (seed, source, gap)
+            assert all(len(r["shards"]) == r["copies"] and all(0 <= x < 4 for x in r["shards"]) for r in mine)
+
+
 def test_splitting_tree(spark):
     quotas = [1000, 0, 37, 3, 500]
     leaves = mixing.split_quotas(spark.createDataFrame([(quotas,)], "quota array<long>"), 3, 9).collect()
