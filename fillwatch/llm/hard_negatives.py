@@ -120,14 +120,17 @@ def _dealt(anchors: DataFrame, rows: DataFrame, blocks: int, lanes: int) -> Data
 
 def _runs(batches: Iterator[pa.RecordBatch], start, add) -> Iterator[pa.RecordBatch]:
     """``start(anchors, windows)`` at the head of a run, ``add(anchors, state, block)`` for each of its row blocks, its pairs at the end."""
-    anchors, state = None, None
+    run, anchors, state = None, None, None
     for batch in batches:
-        for k in range(batch.num_rows):
+        for k, (a, block, lane) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "block", "lane")))):
+            head = block < 0
+            if not head and run != (a, lane):  # no anchors here, or none with a positive
+                continue
             block = Block(batch.column("items")[k].values)
-            if batch.column("block")[k].as_py() < 0:
+            if head:
                 if anchors is not None:
                     yield _pairs(anchors, state[0])
-                anchors, state = block, start(block, batch.column("windows")[k].values)
+                run, anchors, state = (a, lane), block, start(block, batch.column("windows")[k].values)
             else:
                 for i in range(0, len(anchors.pos), SLICE):
                     add(anchors, state, block, slice(i, i + SLICE))
