@@ -5,32 +5,39 @@ task, markets are cut into segments of bounded row count that run in parallel
 from guessed start states. The end state of a segment is the start state of the
 next; segments whose start state moved are run again until none moves. The filter
 forgets its start quickly, so a couple of rounds settle it, and the rounds go on
-for as long as it takes: after k rounds the first k segments are exact.
+for as long as it takes: after k rounds the first k segments are exact. A task runs its
+segments in lock-step (``lockstep``), for any number of parameter sets at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillwatch.config import CHUNK_SECONDS, ModelParams, OnlineConfig, Prior
 from fillwatch.functions.mathx import logit
+from fillwatch.operators import lockstep
 from fillwatch.operators.features import ORDER, causal_features
-from fillwatch.operators.kernel import FilterState, OnlineState, known_path_step, step
-from fillwatch.session import cut, scalar_row, scratch_path, width
+from fillwatch.operators.kernel import OnlineState
+from fillwatch.session import cut, scalar_row, scratch_path, stored, width
 
 SEGMENT_ROWS = 100_000
-STATE_DDL = "pset INT, market STRING, seg BIGINT, mu DOUBLE, var DOUBLE, v1 DOUBLE, z1 DOUBLE, log_marginal DOUBLE"
-SCORE_DDL = ("pset INT, market STRING, i BIGINT, ts DOUBLE, tx_hash STRING, wallet STRING, y DOUBLE, delta DOUBLE, "
+#: Rows that a task filters together; a segment that is not complete waits for the rest.
+GROUP_ROWS = 200_000
+KEYS = ["market", "seg"]
+STATE = lockstep.STATE
+_STATES = ", ".join(f"{c} ARRAY<DOUBLE>" for c in STATE)
+STATE_DDL = f"market STRING, seg BIGINT, {_STATES}, log_marginal ARRAY<DOUBLE>"
+SCORE_DDL = ("market STRING, i BIGINT, ts DOUBLE, tx_hash STRING, wallet STRING, y DOUBLE, delta DOUBLE, "
              "log_size_ratio DOUBLE, q00 DOUBLE, q01 DOUBLE, q10 DOUBLE, q11 DOUBLE, p_z DOUBLE, p_v DOUBLE, x_mean DOUBLE, "
              "x_var DOUBLE, log_evidence DOUBLE, prev_mu DOUBLE, prev_var DOUBLE, prev_v1 DOUBLE, prev_z1 DOUBLE")
-_IN = ["pset", "market", "seg", "i", "ts", "tx_hash", "wallet", "y", "delta", "log_size_ratio", "level",
-       "in_mu", "in_var", "in_v1", "in_z1"]
-_PASS = ["pset", "market", "i", "ts", "tx_hash", "wallet", "y", "delta", "log_size_ratio"]
+_PASS = ["market", "i", "ts", "tx_hash", "wallet", "y", "delta", "log_size_ratio"]
 _MADE = ["q00", "q01", "q10", "q11", "p_z", "p_v", "x_mean", "x_var", "log_evidence", "prev_mu", "prev_var", "prev_v1", "prev_z1"]
 
 
@@ -45,54 +52,101 @@ def with_level(features: DataFrame, params: ModelParams, theta: DataFrame | None
         "level", logit(F.coalesce("_th", F.lit(params.prior_mean)))).drop("_th")
 
 
-def _run(batches: Iterator[pd.DataFrame], params: Sequence[ModelParams], const, rows: bool) -> Iterator[pd.DataFrame]:
-    """Filter a stream of rows sorted by (pset, market, seg, i); emit scores or end states."""
-    key, st, p, total = None, None, None, 0.0
-    names = [c.split()[0] for c in STATE_DDL.split(", ")]
-    m_s, s_s, m_z = const
-    nan = float("nan")
-    for pdf in batches:
-        out, ends = [], []
-        cols = [pdf[c].tolist() for c in ("pset", "market", "seg", "y", "delta", "log_size_ratio", "level",
-                                          "in_mu", "in_var", "in_v1", "in_z1")]
-        for ps, mk, sg, y, dl, ls, lv, imu, ivar, iv1, iz1 in zip(*cols):
-            if key is None or mk != key[1] or sg != key[2] or ps != key[0]:
-                if key is not None and not rows:
-                    ends.append((*key, st.mu, st.var, st.v1, st.z1, total))
-                key, p, total = (ps, mk, sg), params[ps], 0.0
-                st = FilterState(p)
-                if sg > 0:
-                    st.load(imu, ivar, iv1, iz1)
+def _segmented(features: DataFrame, theta: DataFrame | None, segment_rows: int, *extra: str) -> DataFrame:
+    rows = features.select("market", "i", F.col("ts").cast("double").alias("ts"), "tx_hash", "wallet", "y", "delta", "log_size_ratio",
+                           F.expr(f"i div {segment_rows}").alias("seg"), *extra)
+    if theta is None:
+        return rows.withColumn("theta", F.lit(None).cast("double"))
+    return rows.join(theta.select("wallet", "theta"), "wallet", "left")
+
+
+def doubles(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """NaN where null."""
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+
+
+def whole_segments(batches: Iterator[pa.RecordBatch], rows: int = GROUP_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete segments of a stream sorted by (market, seg, i), with the number of rows of each segment."""
+    held, n = [], 0
+
+    def starts(table: pa.Table) -> np.ndarray:
+        market, seg = (table.column(c).combine_chunks() for c in KEYS)
+        new = pc.or_(pc.not_equal(market[1:], market[:-1]), pc.not_equal(seg[1:], seg[:-1])) if len(market) > 1 else None
+        return np.concatenate([[0], np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1]) if new is not None else np.array([0])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = starts(table)
+            if len(at) > 1:
+                yield table.slice(0, at[-1]), np.diff(at)
+                table = table.slice(at[-1])
+            held, n = table.to_batches(), table.num_rows
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.diff(np.concatenate([starts(table), [table.num_rows]]))
+
+
+def init_states(table: pa.Table, at: np.ndarray, sets: int) -> np.ndarray:
+    """Start states (4, sets, segments) from the ``in_`` columns of the segments' first rows; zeros where null."""
+    out = np.zeros((len(STATE), sets, len(at)))
+    for j, c in enumerate(STATE):
+        for g, x in enumerate(table.column(f"in_{c}").take(pa.array(at)).to_pylist()):
+            if x is not None:
+                out[j, :, g] = x
+    return out
+
+
+def _run(params: Sequence[ModelParams], const, rows: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Filter a stream of rows sorted by (market, seg, i); emit scores of one set, or end states of every set."""
+    def nullable(x):
+        return pa.array(x, from_pandas=True)
+
+    def go(batches):
+        for table, lengths in whole_segments(batches):
+            at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            seg = table.column("seg").to_numpy()[at]
+            y, delta, lsr, theta = (doubles(table.column(c)).astype(float) for c in ("y", "delta", "log_size_ratio", "theta"))
+            f = lockstep.run(params, const, lengths, seg == 0, y, delta, lsr, lockstep.log_odds(params, theta), init_states(table, at, len(params)))
             if rows:
-                before = (st.mu, st.var, st.v1, st.z1) if st.started else (nan, nan, nan, nan)
-                q0, q1, q2, q3, ev = step(st, p, y, dl, ls, lv, m_s, s_s, m_z)
-                out.append((q0, q1, q2, q3, st.z1, st.v1, st.mu, st.var, ev, *before))
+                made = [*f.q[:, 0], f.p_z[0], f.p_v[0], f.mu[0], f.var[0], f.ev[0], *f.before[:, 0]]
+                yield from pa.Table.from_arrays([*(table.column(c) for c in _PASS), *map(nullable, made)], [*_PASS, *_MADE]).to_batches(50_000)
             else:
-                total += step(st, p, y, dl, ls, lv, m_s, s_s, m_z)[4]
-        if rows:
-            made = pd.DataFrame(np.array(out, dtype=float).reshape(-1, len(_MADE)), columns=_MADE)
-            yield pd.concat([pdf[_PASS].reset_index(drop=True), made], axis=1)
-        else:
-            yield pd.DataFrame(ends, columns=names)
-    if key is not None and not rows:
-        yield pd.DataFrame([(*key, st.mu, st.var, st.v1, st.z1, total)], columns=names)
+                totals = np.add.reduceat(f.ev, at, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [table.column("market").take(pa.array(at)).combine_chunks(), pa.array(seg),
+                     *(pa.array(list(x.T)) for x in f.ends), pa.array(list(totals.T))], ["market", "seg", *STATE, "log_marginal"])
 
+    return go
 
-def _launch(segmented: DataFrame, starts: DataFrame | None, params, const, rows: bool) -> DataFrame:
-    """Attach start states to segment heads, spread segments over tasks, run the filter."""
+
+def headed(segmented: DataFrame, starts: DataFrame | None, order: Sequence[str] = ("i",)) -> DataFrame:
+    """Start states at segment heads; segments spread over tasks, rows in order."""
     if starts is None:
-        fed = segmented.selectExpr("*", *[f"CAST(NULL AS DOUBLE) AS in_{c}" for c in ("mu", "var", "v1", "z1")])
+        fed = segmented.selectExpr("*", *[f"CAST(NULL AS ARRAY<DOUBLE>) AS in_{c}" for c in STATE])
     else:
-        heads = starts.select("pset", "market", "seg", "first_i", *[F.col(c).alias(f"in_{c}") for c in ("mu", "var", "v1", "z1")])
-        fed = segmented.join(heads.withColumnRenamed("first_i", "i"), ["pset", "market", "seg", "i"], "left")
-    ordered = fed.select(*_IN).repartition(width(fed), "pset", "market", "seg").sortWithinPartitions("pset", "market", "seg", "i")
-    return ordered.mapInPandas(lambda b: _run(b, params, const, rows), SCORE_DDL if rows else STATE_DDL)
+        heads = starts.select(*KEYS, F.col("first_i").alias("i"), *[F.col(c).alias(f"in_{c}") for c in STATE])
+        fed = segmented.join(heads, [*KEYS, "i"], "left")
+    return fed.repartition(width(fed), *KEYS).sortWithinPartitions(*KEYS, *order)
+
+
+def _launch(segmented: DataFrame, starts: DataFrame | None, params, const, rows: bool) -> DataFrame:
+    return headed(segmented, starts).mapInArrow(_run(params, const, rows), SCORE_DDL if rows else STATE_DDL)
+
 
+def states_apart(a: Sequence[str] = STATE, b: Sequence[str] = tuple(f"n_{c}" for c in STATE)) -> Column:
+    """Largest difference of two states held as arrays over parameter sets."""
+    return F.greatest(*[F.array_max(F.zip_with(x, y, lambda u, v: F.abs(u - v))) for x, y in zip(a, b)])
 
-def _segment(features: DataFrame, n_sets: int, segment_rows: int) -> DataFrame:
-    sets = F.explode(F.array(*[F.lit(k) for k in range(n_sets)])) if n_sets > 1 else F.lit(0)
-    return features.select("market", "i", F.col("ts").cast("double").alias("ts"), "tx_hash", "wallet", "y", "delta",
-                           "log_size_ratio", "level", F.expr(f"i div {segment_rows}").alias("seg"), sets.alias("pset"))
+
+def first_guess(heads: DataFrame, params: Sequence[ModelParams]) -> DataFrame:
+    """Start states of later segments from their first trades ``(market, seg, first_i, y)``."""
+    per_set = lambda f: F.array(*[F.lit(float(f(p))) for p in params])
+    return heads.select(*KEYS, "first_i", F.array_repeat("y", len(params)).alias("mu"), per_set(lambda p: p.tau2_0).alias("var"),
+                        per_set(lockstep.stationary).alias("v1"), per_set(lambda p: p.prior_mean).alias("z1"))
 
 
 def segment_starts(segmented: DataFrame, params: Sequence[ModelParams], const, segment_rows: int,
@@ -107,57 +161,50 @@ def segment_starts(segmented: DataFrame, params: Sequence[ModelParams], const, s
         single = not scalar_row(segmented.agg(F.max("seg").alias("s")))["s"]
     if single:
         return None
-    state = ("mu", "var", "v1", "z1")
-    if guess is None:
-        p = params[0]
-        share = p.q_01 / (p.q_01 + p.q_10) if p.q_01 + p.q_10 > 0 else 0.5
-        starts = segmented.where((F.col("seg") > 0) & (F.col("i") == F.col("seg") * segment_rows)).select(
-            "pset", "market", "seg", F.col("i").alias("first_i"), F.col("y").alias("mu"), F.lit(p.tau2_0).alias("var"),
-            F.lit(share).alias("v1"), F.lit(p.prior_mean).alias("z1"))
-    else:
-        starts = guess.select("pset", "market", "seg", "first_i", *state)
-    starts = cut(starts)
+    heads = segmented.where((F.col("seg") > 0) & (F.col("i") == F.col("seg") * segment_rows)).withColumn("first_i", F.col("i"))
+    starts = stored(first_guess(heads, params) if guess is None else guess.select(*KEYS, "first_i", *STATE), "segment-starts")
     todo = segmented
     ends = None
     while True:
-        ran = _launch(todo, starts, params, const, rows=False).select("pset", "market", "seg", *state)
+        ran = _launch(todo, starts, params, const, rows=False).select(*KEYS, *STATE)
         if ends is not None:
-            kept = ends.join(ran.select("pset", "market", "seg"), ["pset", "market", "seg"], "left_anti")
+            kept = ends.join(ran.select(*KEYS), KEYS, "left_anti")
             ran = kept.unionByName(ran)
-        ends = cut(ran)
-        nxt = ends.select("pset", "market", (F.col("seg") + 1).alias("seg"), *[F.col(c).alias(f"n_{c}") for c in state])
-        far = F.greatest(*[F.abs(F.col(c) - F.col(f"n_{c}")) for c in state])
-        moved = cut(starts.join(nxt, ["pset", "market", "seg"]).withColumn("moved", far > tol))
-        starts = moved.select("pset", "market", "seg", "first_i", *[F.col(f"n_{c}").alias(c) for c in state])
-        again = moved.where("moved").select("pset", "market", "seg")
+        ends = stored(ran, "segment-ends")
+        nxt = ends.select("market", (F.col("seg") + 1).alias("seg"), *[F.col(c).alias(f"n_{c}") for c in STATE])
+        moved = stored(starts.join(nxt, KEYS).withColumn("moved", states_apart() > tol), "segment-moves")
+        starts = moved.select(*KEYS, "first_i", *[F.col(f"n_{c}").alias(c) for c in STATE])
+        again = moved.where("moved").select(*KEYS)
         if again.isEmpty():
             return starts
-        todo = segmented.join(again, ["pset", "market", "seg"], "left_semi")
+        todo = segmented.join(again, KEYS, "left_semi")
+
+
+def one_segment(features: DataFrame, segment_rows: int) -> bool:
+    return (scalar_row(features.agg(F.max("i").alias("top")))["top"] or 0) < segment_rows
 
 
 def filter_scores(features: DataFrame, params: ModelParams, theta: DataFrame | None = None, *, m_s: float = 0.0,
                   s_s: float = 1.0, m_z: float = 0.0, segment_rows: int = SEGMENT_ROWS, tol: float = 1e-12,
                   guess: DataFrame | None = None, return_starts: bool = False, single: bool | None = None):
     """Filtered P(Z), P(V), E[X], Var[X] and one-step evidence for every trade of ``compute_features`` output."""
-    segmented = _segment(with_level(features, params, theta), 1, segment_rows)
+    single = one_segment(features, segment_rows) if single is None else single
+    segmented = _segmented(features, theta, segment_rows)
     starts = segment_starts(segmented, [params], (m_s, s_s, m_z), segment_rows, guess, tol, single)
     out = _launch(segmented, starts, [params], (m_s, s_s, m_z), rows=True)
-    clean = out.selectExpr(*_PASS[1:], *_MADE[:-4], *[f"nanvl({c}, CAST(NULL AS DOUBLE)) AS {c}" for c in _MADE[-4:]])
-    return (clean, starts) if return_starts else clean
+    return (out, starts) if return_starts else out
 
 
 def log_marginals(features: DataFrame, param_sets: Sequence[ModelParams], theta: DataFrame | None = None, *,
                   m_s: float = 0.0, s_s: float = 1.0, m_z: float = 0.0, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Log marginal likelihood per (parameter set, market); sum over markets for the set total.
 
-    The trades' levels are shared, so sets with other level parameters are refused."""
-    if len({(p.a, p.b, p.alpha, p.anonymous) for p in param_sets}) > 1:
-        raise ValueError("parameter sets differ in a, b, alpha or anonymous: score them in separate calls")
-    segmented = _segment(with_level(features, param_sets[0], theta), len(param_sets), segment_rows)
+    All sets go through one pass: trades are shuffled once, and the filter's state has an axis for the sets. Sets may differ in anything."""
+    segmented = _segmented(features, theta, segment_rows)
     const = (m_s, s_s, m_z)
-    starts = segment_starts(segmented, param_sets, const, segment_rows)
+    starts = segment_starts(segmented, param_sets, const, segment_rows, single=one_segment(features, segment_rows))
     ends = _launch(segmented, starts, param_sets, const, rows=False)
-    return ends.groupBy("pset", "market").agg(F.sum("log_marginal").alias("log_marginal"))
+    return ends.select("market", F.posexplode("log_marginal").alias("pset", "v")).groupBy("pset", "market").agg(F.sum("v").alias("log_marginal"))
 
 
 def heldout_likelihood(scores: DataFrame, split: DataFrame) -> DataFrame:
@@ -174,50 +221,47 @@ def heldout_summary(per_market: DataFrame) -> DataFrame:
 # ---- known path -----------------------------------------------------------------------------------
 
 PATH_DDL = "market STRING, i BIGINT, x_mean DOUBLE, x_var DOUBLE, log_lik DOUBLE"
+PATH_ENDS_DDL = "market STRING, seg BIGINT, mu DOUBLE, var DOUBLE"
+
+
+def _path_run(p: ModelParams, last: bool):
+    def go(batches):
+        for table, lengths in whole_segments(batches):
+            at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            seg = table.column("seg").to_numpy()[at]
+            init = np.stack([np.where(seg > 0, doubles(table.column(c).take(pa.array(at))), start) for c, start in (("in_mu", 0.0), ("in_var", p.s0_2))])
+            y, delta, lsr, v, z = (doubles(table.column(c)).astype(float) for c in ("y", "delta", "log_size_ratio", "v", "z"))
+            mu, var, ll, ends = lockstep.run_known_path(p, lengths, y, delta, lsr, v, z, init)
+            if last:
+                yield pa.RecordBatch.from_arrays([table.column("market").take(pa.array(at)).combine_chunks(), *map(pa.array, (seg, *ends))],
+                                                 [*KEYS, "mu", "var"])
+            else:
+                yield from pa.Table.from_arrays([table.column("market"), table.column("i"), *map(pa.array, (mu, var, ll))],
+                                                ["market", "i", "x_mean", "x_var", "log_lik"]).to_batches(50_000)
 
-
-def _path_run(batches: Iterator[pd.DataFrame], p: ModelParams, last: bool) -> Iterator[pd.DataFrame]:
-    key, mu, var, i0 = None, 0.0, p.s0_2, None
-    for pdf in batches:
-        out = []
-        for mk, sg, i, y, dl, ls, v, z, imu, ivar in zip(*[pdf[c].tolist() for c in (
-                "market", "seg", "i", "y", "delta", "log_size_ratio", "v", "z", "in_mu", "in_var")]):
-            if key != (mk, sg):
-                if last and key is not None:
-                    out.append((key[0], i0, mu, var, float(key[1])))
-                key, mu, var = (mk, sg), (imu if sg > 0 else 0.0), (ivar if sg > 0 else p.s0_2)
-            mu, var, ll = known_path_step(mu, var, p, y, dl, ls, v, z)
-            i0 = i
-            if not last:
-                out.append((mk, i, mu, var, ll))
-        yield pd.DataFrame(out, columns=["market", "i", "x_mean", "x_var", "log_lik"])
-    if last and key is not None:
-        yield pd.DataFrame([(key[0], i0, mu, var, float(key[1]))], columns=["market", "i", "x_mean", "x_var", "log_lik"])
+    return go
 
 
 def known_path_filter(features: DataFrame, params: ModelParams, segment_rows: int = SEGMENT_ROWS,
                       tol: float = 1e-12) -> DataFrame:
     """Kalman filter for given ``v`` and ``z`` columns, with the same segment rounds."""
-    seg = features.withColumn("seg", F.floor(F.col("i") / segment_rows).cast("long"))
-    cols = ["market", "seg", "i", "y", "delta", "log_size_ratio", "v", "z"]
+    rows = features.select("market", F.expr(f"i div {segment_rows}").alias("seg"), "i", "y", "delta", "log_size_ratio", "v", "z")
 
     def launch(starts, last):
         null = F.lit(None).cast("double")
-        fed = seg.select(*cols, null.alias("in_mu"), null.alias("in_var")) if starts is None else \
-            seg.select(*cols).join(starts, ["market", "seg"], "left")
-        return fed.repartition(width(fed), "market", "seg").sortWithinPartitions("market", "seg", "i") \
-                  .mapInPandas(lambda b: _path_run(b, params, last), PATH_DDL)
+        fed = rows.select("*", null.alias("in_mu"), null.alias("in_var")) if starts is None else rows.join(starts, KEYS, "left")
+        return fed.repartition(width(fed), *KEYS).sortWithinPartitions(*KEYS, "i") \
+                  .mapInArrow(_path_run(params, last), PATH_ENDS_DDL if last else PATH_DDL)
 
-    if not scalar_row(seg.agg(F.max("seg").alias("s")))["s"]:
+    if one_segment(features, segment_rows):
         return launch(None, False)
-    starts = cut(seg.where((F.col("seg") > 0) & (F.col("i") == F.col("seg") * segment_rows)).select(
-        "market", "seg", F.col("y").alias("in_mu"), F.lit(params.tau2_0).alias("in_var")))
+    starts = stored(rows.where((F.col("seg") > 0) & (F.col("i") == F.col("seg") * segment_rows)).select(
+        *KEYS, F.col("y").alias("in_mu"), F.lit(params.tau2_0).alias("in_var")), "path-starts")
     while True:
-        ends = launch(starts, True).select("market", (F.col("log_lik").cast("long") + 1).alias("seg"),
-                                           F.col("x_mean").alias("n_mu"), F.col("x_var").alias("n_var"))
-        both = cut(starts.join(ends, ["market", "seg"]))
+        ends = launch(starts, True).select("market", (F.col("seg") + 1).alias("seg"), F.col("mu").alias("n_mu"), F.col("var").alias("n_var"))
+        both = stored(starts.join(ends, KEYS), "path-moves")
         far = F.greatest(F.abs(F.col("in_mu") - F.col("n_mu")), F.abs(F.col("in_var") - F.col("n_var")))
-        starts = both.select("market", "seg", F.col("n_mu").alias("in_mu"), F.col("n_var").alias("in_var"))
+        starts = both.select(*KEYS, F.col("n_mu").alias("in_mu"), F.col("n_var").alias("in_var"))
         if both.where(far > tol).isEmpty():
             return launch(starts, False)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,28 @@ def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared scratch folder and read again: lineage is cut, columns can be pruned, and
+    the planner knows the size. Use ``cut`` instead where row order within partitions matters."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` stored in buckets of ``keys``: joins and groupings on them don't exchange it again.
+
+    The catalog entry is only needed to describe the files and goes at once; the files stay in the scratch folder."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(width(df), *keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved while the entry is there
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder inside the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
