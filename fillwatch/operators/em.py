@@ -311,6 +311,15 @@ def packed_design(summary: DataFrame, pairs: DataFrame, m_s: float, s_s: float,
 
 # ---- the fit --------------------------------------------------------------------------------
 
+def raw_units(beta_s, beta_z, alpha, m_s, s_s, m_z):
+    """Size slope and intercept on the scale of the raw covariates, of numbers or of columns; a constant size keeps its slope."""
+    if isinstance(s_s, Column):
+        slope = F.when(s_s > SIZE_SCALE_FLOOR, beta_s * 0.5 / F.when(s_s > SIZE_SCALE_FLOOR, s_s)).otherwise(beta_s)
+    else:
+        slope = beta_s * 0.5 / s_s if s_s > SIZE_SCALE_FLOOR else beta_s
+    return slope, alpha - slope * m_s - beta_z * m_z
+
+
 @dataclass
 class Fit:
     """A fitted model: driver scalars plus the per-wallet propensity table."""
@@ -334,14 +343,14 @@ class Fit:
 
     @property
     def beta_s_raw(self) -> float:
-        return self.params.beta_S * 0.5 / self.s_s if self.s_s > SIZE_SCALE_FLOOR else self.params.beta_S
+        return raw_units(self.params.beta_S, self.params.beta_Z, self.params.alpha, self.m_s, self.s_s, self.m_z)[0]
 
     @property
     def alpha_raw(self) -> float:
         """Intercept on the raw covariate scale; 0 in wallet mode."""
         if not self.params.anonymous:
             return 0.0
-        return self.params.alpha - self.beta_s_raw * self.m_s - self.params.beta_Z * self.m_z
+        return raw_units(self.params.beta_S, self.params.beta_Z, self.params.alpha, self.m_s, self.s_s, self.m_z)[1]
 
     def scores(self, features: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
         """Per-trade posterior of the last E-step."""

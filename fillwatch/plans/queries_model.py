@@ -216,7 +216,10 @@ LEVEL = "ln(0.05e0 / 0.95e0)"
 # One filter step per recursion: the carried row of every market meets its next trade.
 
 
-def filter_sql(p: ModelParams) -> str:
+def filter_sql(p: ModelParams | None = None, g: str = "g", src: str = "features") -> str:
+    """``p`` None: parameters and the wallet's log odds are columns s0, s1, t0, t1, q01, q10, lev of ``src``."""
+    s0, s1, t0, t1 = ("f.s0", "f.s1", "f.t0", "f.t1") if p is None else (f"{x!r}e0" if "e" not in repr(x) else repr(x) for x in (p.sigma2_0, p.sigma2_1, p.tau2_0, p.tau2_1))
+    q01, q10, lev = ("f.q01", "f.q10", "f.lev") if p is None else (f"{p.q_01!r}e0", f"{p.q_10!r}e0", LEVEL)
     return f"""SELECT market, CAST(-1 AS BIGINT) AS i, 0.0e0 AS mu, 1.0e0 AS var, 0.0e0 AS v1, 0.0e0 AS z1, 0.0e0 AS ev FROM (SELECT DISTINCT market FROM features)
 UNION ALL
 SELECT market, i, mu + s, q0 * (c0 + (d0 - s) * (d0 - s)) + q1 * (c1 + (d1 - s) * (d1 - s)) + q2 * (c2 + (d2 - s) * (d2 - s)) + q3 * (c3 + (d3 - s) * (d3 - s)), q2 + q3, q1 + q3, top + ln(tot)
@@ -228,11 +231,11 @@ FROM (SELECT *, q0 * d0 + q1 * d1 + q2 * d2 + q3 * d3 AS s FROM (
   (1 - w0 / (w0 + r0)) * w0 AS c0, (1 - w0 / (w0 + r1)) * w0 AS c1, (1 - w1 / (w1 + r0)) * w1 AS c2, (1 - w1 / (w1 + r1)) * w1 AS c3,
   lv0 + lz0 + greatest(-0.5 * (ln(2 * pi()) + ln(w0 + r0) + err * err / (w0 + r0)), -500) AS a0, lv0 + lz1 + greatest(-0.5 * (ln(2 * pi()) + ln(w0 + r1) + err * err / (w0 + r1)), -500) AS a1,
   lv1 + lz0 + greatest(-0.5 * (ln(2 * pi()) + ln(w1 + r0) + err * err / (w1 + r0)), -500) AS a2, lv1 + lz1 + greatest(-0.5 * (ln(2 * pi()) + ln(w1 + r1) + err * err / (w1 + r1)), -500) AS a3
- FROM (SELECT f.market, f.i, g.mu, f.y - g.mu AS err, g.var + {p.sigma2_0!r} * f.delta AS w0, g.var + {p.sigma2_1!r} * f.delta AS w1,
-  {p.tau2_0!r}e0 / greatest(1 + f.log_size_ratio, 0.1e0) AS r0, {p.tau2_1!r}e0 / greatest(1 + f.log_size_ratio, 0.1e0) AS r1,
-  ln(greatest(CASE WHEN f.i = 0 THEN 1 - 0.05e0 / 0.55e0 ELSE (1 - g.v1) * 0.95e0 + g.v1 * 0.5e0 END, 1e-300)) AS lv0, ln(greatest(CASE WHEN f.i = 0 THEN 0.05e0 / 0.55e0 ELSE (1 - g.v1) * 0.05e0 + g.v1 * 0.5e0 END, 1e-300)) AS lv1,
-  CASE WHEN f.i = 0 THEN 0 ELSE -ln(1 + exp({LEVEL})) END AS lz0, CASE WHEN f.i = 0 THEN -500 ELSE {LEVEL} - ln(1 + exp({LEVEL})) END AS lz1
- FROM g JOIN features f ON f.market = g.market AND f.i = g.i + 1))))))"""
+ FROM (SELECT f.market, f.i, g.mu, f.y - g.mu AS err, g.var + {s0} * f.delta AS w0, g.var + {s1} * f.delta AS w1,
+  {t0} / greatest(1 + f.log_size_ratio, 0.1e0) AS r0, {t1} / greatest(1 + f.log_size_ratio, 0.1e0) AS r1,
+  ln(greatest(CASE WHEN f.i = 0 THEN 1 - {q01} / ({q01} + {q10}) ELSE (1 - g.v1) * (1 - {q01}) + g.v1 * {q10} END, 1e-300)) AS lv0, ln(greatest(CASE WHEN f.i = 0 THEN {q01} / ({q01} + {q10}) ELSE (1 - g.v1) * {q01} + g.v1 * (1 - {q10}) END, 1e-300)) AS lv1,
+  CASE WHEN f.i = 0 THEN 0 ELSE -ln(1 + exp({lev})) END AS lz0, CASE WHEN f.i = 0 THEN -500 ELSE {lev} - ln(1 + exp({lev})) END AS lz1
+ FROM {g} g JOIN {src} f ON f.market = g.market AND f.i = g.i + 1))))))"""
 
 
 FILTER_SQL = filter_sql(P)
@@ -254,7 +257,7 @@ OTHER = ModelParams(sigma2_0=1e-5, sigma2_1=1e-3, tau2_0=2.0, tau2_1=0.1)
 
 
 @query("sco2_log_marginals", sql("""SELECT 0 AS pset, market, round(sum(ev), 4) AS log_marginal FROM g WHERE i >= 0 GROUP BY market
-UNION ALL SELECT 1, market, round(sum(ev), 4) FROM g1 WHERE i >= 0 GROUP BY market""", "features", g=FILTER_SQL, g1=filter_sql(OTHER).replace("FROM g JOIN", "FROM g1 g JOIN")))
+UNION ALL SELECT 1, market, round(sum(ev), 4) FROM g1 WHERE i >= 0 GROUP BY market""", "features", g=FILTER_SQL, g1=filter_sql(OTHER, "g1")))
 def _(t):
     return scoring.log_marginals(t.stored_features, [P, OTHER]).select("pset", "market", r("log_marginal", 4).alias("log_marginal"))
 
@@ -329,44 +332,117 @@ def _(t):
     return theta_without_slopes(posterior_rows(t)).select("wallet", r("theta", 9).alias("theta"))
 
 
-@query("fit1_em_trace")
+EM_ROUNDS = 40
+
+
+def em_sql(body: str) -> str:
+    """The fit written out: filter, statistics and parameters of each round as views of the one before; ``stop`` is the round it ends with."""
+    extra = {"p0": "SELECT 0.1e0 * v AS s0, v AS s1, v AS t0, 0.01e0 * v AS t1, 0.05e0 AS q01, 0.5e0 AS q10 FROM (SELECT var_pop(y) AS v FROM features)"}
+    for k in range(EM_ROUNDS):
+        lev = "ln(0.05e0 / 0.95e0)" if not k else "ln(th.theta / (1 - th.theta))"
+        extra[f"f{k}"] = f"SELECT f.*, p.*, {lev} AS lev FROM features f" + (f" JOIN th{k} th USING (wallet)" if k else "") + f", p{k} p"
+        extra[f"g{k}"] = filter_sql(None, f"g{k}", f"f{k}")
+        extra[f"po{k}"] = f"""SELECT f.wallet, f.i, f.y, f.delta, f.log_size_ratio, g.mu AS x, g.var, g.v1, g.z1, g.ev, lag(g.mu) OVER w AS px, lag(g.var) OVER w AS pvar,
+          lag(g.v1) OVER w AS pv, lag(g.z1) OVER w AS pz FROM g{k} g JOIN features f ON f.market = g.market AND f.i = g.i WINDOW w AS (PARTITION BY f.market ORDER BY f.i)"""
+        extra[f"ss{k}"] = STAT_SQL.replace("avg(pz) AS m_z FROM po", f"sum(ev) AS lm FROM po{k}").replace("WHERE delta > 0", "WHERE delta > 0 AND px IS NOT NULL")
+        extra[f"th{k + 1}"] = f"""SELECT wallet, (1 + coalesce(sum(z1) FILTER (WHERE i >= 1), 0)) / (20 + count(*) FILTER (WHERE i >= 1)) AS theta,
+          20 + count(*) FILTER (WHERE i >= 1) AS d FROM po{k} GROUP BY wallet"""
+        extra[f"p{k + 1}"] = f"""SELECT s0, greatest(s1, s0) AS s1, t0, least(t1, t0) AS t1, least(greatest(q01, 1e-6), 1 - 1e-6) AS q01, least(greatest(q10, 1e-6), 1 - 1e-6) AS q10 FROM (
+          SELECT (1 + n_01) / (2 + n_01 + n_00) AS q01, (1 + n_10) / (2 + n_10 + n_11) AS q10, greatest((1 + ss_v0 / 2) / (3 + n_v0 / 2), 1e-6) AS s0,
+          greatest((1 + ss_v1 / 2) / (3 + n_v1 / 2), 1e-6) AS s1, greatest((ss_z0 + 2e-9) / (n_z0 + 2e-9), 1e-6) AS t0, greatest((ss_z1 + 2e-9) / (n_z1 + 2e-9), 1e-6) AS t1 FROM ss{k})"""
+    rounds = range(EM_ROUNDS)
+    extra["trace"] = " UNION ALL ".join(f"SELECT {k} AS it, lm FROM ss{k}" for k in rounds)
+    extra["stop"] = """SELECT coalesce(min(it) FILTER (WHERE abs(lm - was) / greatest(abs(was), 1) < 1e-3), max(it)) AS it FROM (SELECT *, lag(lm) OVER (ORDER BY it) AS was FROM trace)"""
+    extra["thetas"] = " UNION ALL ".join(f"SELECT {k} AS it, * FROM th{k}" for k in range(1, EM_ROUNDS))
+    extra["filtered"] = " UNION ALL ".join(f"SELECT {k} AS it, market, i, z1, ev FROM g{k}" for k in rounds)
+    text = sql(body, "features", **extra)
+    for k in rounds:
+        for v in ("f", "po", "ss", "th", "p"):
+            text = text.replace(f"\n{v}{k} AS (", f"\n{v}{k} AS MATERIALIZED (")
+    return text.replace("\nfeatures AS (", "\nfeatures AS MATERIALIZED (")
+
+
+@query("fit1_em_trace", em_sql("SELECT CAST(it AS INTEGER) AS it, round(lm, 3) AS log_marginal FROM trace WHERE it <= (SELECT it FROM stop)"))
 def _(t):
-    fit = em.fit_em(t.stored_features, n_iter=4)
-    return t.spark.createDataFrame(list(enumerate(fit.trace)), "it INT, log_marginal DOUBLE")
+    fit = em.fit_em(t.stored_features)
+    return t.spark.createDataFrame(list(enumerate(fit.trace)), "it INT, log_marginal DOUBLE").withColumn("log_marginal", r("log_marginal", 3))
 
 
-@query("fit1_em_theta")
+@query("fit1_em_theta", em_sql("""SELECT wallet, round(theta, 6) AS theta, round(ln(theta / (1 - theta)), 6) AS logit_mean, round(1 / (d * theta * (1 - theta)), 6) AS logit_var
+FROM thetas WHERE it = (SELECT it FROM stop)"""))
 def _(t):
-    return em.fit_em(t.stored_features, n_iter=3).theta
+    return em.fit_em(t.stored_features).theta.select("wallet", *[r(c, 6).alias(c) for c in ("theta", "logit_mean", "logit_var")])
 
 
-@query("fit1_em_scores")
+@query("fit1_em_scores", em_sql("""SELECT market, count(*) AS n, round(avg(z1), 6) AS mean_p_z, round(sum(ev), 3) AS log_marginal FROM filtered
+WHERE i >= 0 AND it = (SELECT it FROM stop) GROUP BY market"""))
 def _(t):
     f = t.stored_features
-    return em.fit_em(f, n_iter=3).scores(f).groupBy("market").agg(F.count("*").alias("n"), F.avg("p_z").alias("mean_p_z"), F.sum("log_evidence").alias("log_marginal"))
+    return em.fit_em(f).scores(f).groupBy("market").agg(F.count("*").alias("n"), r(F.avg("p_z")).alias("mean_p_z"), r(F.sum("log_evidence"), 3).alias("log_marginal"))
 
 
-@query("fit2_theta_newton")
+def newton_sql(rounds: int = 30) -> str:
+    """Each wallet's penalized level by plain Newton steps, written out."""
+    extra = {"po": POST_SQL, "rows": "SELECT wallet, 0.5e0 * log_size_ratio * 0.5e0 - 0.3e0 * pz AS off, z1 AS target FROM po WHERE i >= 1",
+             "n0": "SELECT wallet, ln(0.05e0 / 0.95e0) AS phi FROM (SELECT DISTINCT wallet FROM trades)"}
+    for k in range(rounds):
+        extra[f"n{k + 1}"] = f"""SELECT n.wallet, n.phi + greatest(least((coalesce(sum(target - 1 / (1 + exp(-off - phi))), 0) + 1 - 20 / (1 + exp(-any_value(phi))))
+          / (coalesce(sum(1 / (1 + exp(-off - phi)) * (1 - 1 / (1 + exp(-off - phi)))), 0) + 20 / (1 + exp(-any_value(phi))) * (1 - 1 / (1 + exp(-any_value(phi))))), 1), -1) AS phi
+          FROM n{k} n LEFT JOIN rows r ON r.wallet = n.wallet GROUP BY n.wallet, n.phi"""
+    text = sql(f"""SELECT wallet, round(1 / (1 + exp(-phi)), 6) AS theta, round(phi, 6) AS logit_mean, round(1 / h, 6) AS logit_var FROM (
+      SELECT n.wallet, n.phi, coalesce(sum(1 / (1 + exp(-off - phi)) * (1 - 1 / (1 + exp(-off - phi)))), 0) + 20 / (1 + exp(-phi)) * (1 - 1 / (1 + exp(-phi))) AS h
+      FROM n{rounds} n LEFT JOIN rows r ON r.wallet = n.wallet GROUP BY n.wallet, n.phi)""", "features", "trades", **extra)
+    for k in range(rounds + 1):
+        text = text.replace(f"\nn{k} AS (", f"\nn{k} AS MATERIALIZED (")
+    return text.replace("\nrows AS (", "\nrows AS MATERIALIZED (")
+
+
+@query("fit2_theta_newton", newton_sql())
 def _(t):
     rows = em.design_rows(posterior_rows(t), 0.0, 1.0, 0.0)
     p = ModelParams(beta_S=0.5, beta_Z=-0.3)
     w = t.trades.select("wallet").distinct().withColumn("theta", F.lit(p.prior_mean))
-    return em.theta_newton(rows, w, p)
-
-
-@query("fit3_slopes")
+    return em.theta_newton(rows, w, p).select("wallet", *[r(c, 6).alias(c) for c in ("theta", "logit_mean", "logit_var")])
+
+
+def slopes_sql(rounds: int = 25) -> str:
+    """Pooled intercept and slopes by Newton steps, each a three by three system solved by Cramer's rule."""
+    mu = "1 / (1 + exp(-b0 - b1 * c1 - b2 * c2))"
+    local = f"""SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+      sum(target - {mu}) - 2 * any_value(b0) / (100 + any_value(b0) ** 2) AS g0, sum(c1 * (target - {mu})) - 2 * any_value(b1) / (6.25 + any_value(b1) ** 2) AS g1,
+      sum(c2 * (target - {mu})) - 2 * any_value(b2) / (6.25 + any_value(b2) ** 2) AS g2,
+      sum({mu} * (1 - {mu})) + 2 / (100 + any_value(b0) ** 2) AS h00, sum(c1 * {mu} * (1 - {mu})) AS h01, sum(c2 * {mu} * (1 - {mu})) AS h02,
+      sum(c1 * c1 * {mu} * (1 - {mu})) + 2 / (6.25 + any_value(b1) ** 2) AS h11, sum(c1 * c2 * {mu} * (1 - {mu})) AS h12,
+      sum(c2 * c2 * {mu} * (1 - {mu})) + 2 / (6.25 + any_value(b2) ** 2) AS h22 FROM rows, """
+    extra = {"po": POST_SQL, "rows": "SELECT log_size_ratio * 0.5e0 AS c1, pz AS c2, z1 AS target FROM po WHERE i >= 1",
+             "b0": "SELECT -1.0e0 AS b0, 0.0e0 AS b1, 0.0e0 AS b2"}
+    for k in range(rounds):
+        extra[f"l{k}"] = f"{local} b{k}"
+        extra[f"b{k + 1}"] = f"""SELECT b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d AS b0,
+          b1 + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d AS b1,
+          b2 + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d AS b2
+          FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d FROM l{k})"""
+    extra["last"] = f"{local} b{rounds}"
+    text = sql("""SELECT 'alpha' AS name, round(b0, 5) AS value, round(h00, 2) AS information FROM last
+      UNION ALL SELECT 'beta_S', round(b1, 5), round(h11, 2) FROM last UNION ALL SELECT 'beta_Z', round(b2, 5), round(h22, 2) FROM last""", "features", **extra)
+    for k in range(rounds + 1):
+        text = text.replace(f"\nb{k} AS (", f"\nb{k} AS MATERIALIZED (").replace(f"\nl{k} AS (", f"\nl{k} AS MATERIALIZED (")
+    return text.replace("\nrows AS (", "\nrows AS MATERIALIZED (")
+
+
+@query("fit3_slopes", slopes_sql())
 def _(t):
     p, info = em.slope_irls(em.design_rows(posterior_rows(t), 0.0, 1.0, 0.0), None, ModelParams(anonymous=True, alpha=-1.0))
-    stds = [float(info[k][k]) for k in range(3)]
-    return t.spark.createDataFrame([("alpha", p.alpha, stds[0]), ("beta_S", p.beta_S, stds[1]), ("beta_Z", p.beta_Z, stds[2])], "name STRING, value DOUBLE, information DOUBLE")
+    rows = [(n, getattr(p, n), float(info[k][k])) for k, n in enumerate(("alpha", "beta_S", "beta_Z"))]
+    return t.spark.createDataFrame(rows, "name STRING, value DOUBLE, information DOUBLE").select("name", r("value", 5).alias("value"), r("information", 2).alias("information"))
 
 
 @query("fit4_raw_units", """SELECT o_orderkey, round(b * 0.5e0 / s, 9) AS beta_s_raw, round(a - b * 0.5e0 / s * 0.3e0 - 0.2e0 * 0.1e0, 9) AS alpha_raw FROM (SELECT o_orderkey, o_orderkey % 7 / 10.0e0 AS b, (o_custkey % 5 + 1) / 2.0e0 AS s, o_orderkey % 3 - 1 AS a FROM orders)""")
 def _(t):
     k = F.col("o_orderkey")
     b, s, a = k % 7 / F.lit(10.0), (F.col("o_custkey") % 5 + 1) / F.lit(2.0), k % 3 - 1
-    raw = b * 0.5 / s
-    return t.read("orders").select("o_orderkey", r(raw, 9).alias("beta_s_raw"), r(a - raw * 0.3 - 0.2 * 0.1, 9).alias("alpha_raw"))
+    slope, level = em.raw_units(b, F.lit(0.2), a, F.lit(0.3), s, F.lit(0.1))
+    return t.read("orders").select("o_orderkey", r(slope, 9).alias("beta_s_raw"), r(level, 9).alias("alpha_raw"))
 
 
 @query("fit5_anonymous_level", sql("SELECT market, count(*) AS n, round(sum(ev), 4) AS log_lik FROM g WHERE i >= 0 GROUP BY market", "features", g=FILTER_SQL))
@@ -382,14 +458,31 @@ def _(t):
 def _(t):
     ids = features.wallet_ids(t.trades)
     insiders = t.trades.where(F.col("wallet").cast("long") < 5).select("wallet").distinct()
-    return em.shortlist_fit(t.stored_features, ids, insiders, n_iter=2)[1]
+    return em.shortlist_fit(t.stored_features, ids, insiders)[1]
+
+
+LAPLACE_SQL = """SELECT name, mean_u, pr AS precision, least(var, 16) AS var_u, bad OR var > 16 AS fallback FROM (
+  SELECT *, CASE WHEN bad THEN 1 / greatest(abs(pr), 1e-8) ELSE 1 / pr END AS var FROM (SELECT *, pr <= 0 AS bad FROM (
+  SELECT 'sigma2_0' AS name, (0.5 * ss_v0 + 1) / 0.1 AS pr, ln(0.1e0) AS mean_u FROM ss UNION ALL SELECT 'sigma2_1', (0.5 * ss_v1 + 1) / 1.0, ln(1.0e0) FROM ss
+  UNION ALL SELECT 'q_01', (n_01 + n_00) * 0.05 * 0.95, ln(0.05e0 / 0.95e0) FROM ss UNION ALL SELECT 'q_10', (n_10 + n_11) * 0.25, ln(0.5e0 / 0.5e0) FROM ss
+  UNION ALL SELECT 'tau2_0', 0.5 * ss_z0 + 1e-9, ln(1.0e0) FROM ss UNION ALL SELECT 'tau2_1', (0.5 * ss_z1 + 1e-9) / 0.01, ln(0.01e0) FROM ss)))"""
 
 
-@query("fit7_laplace", sql("""SELECT name, round(pr, 4) AS precision FROM (SELECT 'sigma2_0' AS name, (0.5 * ss_v0 + 1) / 0.1 AS pr FROM ss UNION ALL SELECT 'sigma2_1', (0.5 * ss_v1 + 1) / 1.0 FROM ss
-UNION ALL SELECT 'q_01', (n_01 + n_00) * 0.05 * 0.95 FROM ss UNION ALL SELECT 'q_10', (n_10 + n_11) * 0.25 FROM ss UNION ALL SELECT 'tau2_0', 0.5 * ss_z0 + 1e-9 FROM ss UNION ALL SELECT 'tau2_1', (0.5 * ss_z1 + 1e-9) / 0.01 FROM ss)""", "features", po=POST_SQL, ss=STAT_SQL))
+@query("fit7_laplace", sql("SELECT name, round(mean_u, 9) AS mean_u, round(precision, 4) AS precision, round(var_u, 12) AS var_u, fallback FROM lp", "features", po=POST_SQL, ss=STAT_SQL, lp=LAPLACE_SQL))
 def _(t):
     s = em.sufficient_statistics(em.wallet_summary(posterior_rows(t)))
-    return em.laplace_rows(s, ModelParams()).select("name", r("precision", 4).alias("precision"))
+    return em.laplace_rows(s, ModelParams()).select("name", r("mean_u", 9).alias("mean_u"), r("precision", 4).alias("precision"), r("var_u", 12).alias("var_u"), "fallback")
+
+
+@query("fit7_logpdf", sql("""SELECT draw, round(sum(-0.5 * (ln(2 * pi()) + ln(var_u) + (u - mean_u) * (u - mean_u) / var_u) + jac), 3) AS log_pdf FROM (
+  SELECT draw, lp.*, CASE WHEN name LIKE 'q%' THEN ln(x / (1 - x)) ELSE ln(x) END AS u, CASE WHEN name LIKE 'q%' THEN -ln(x) - ln(1 - x) ELSE -ln(x) END AS jac
+  FROM (SELECT o_orderkey AS draw, (o_orderkey % 97 + 1) / 100.0e0 AS x FROM orders), lp) GROUP BY draw""", "features", po=POST_SQL, ss=STAT_SQL, lp=LAPLACE_SQL))
+def _(t):
+    """Density of draws of all six parameters, one draw per order."""
+    post = cut(em.laplace_rows(em.sufficient_statistics(em.wallet_summary(posterior_rows(t))), ModelParams()))
+    names = F.explode(F.array(*[F.lit(n) for n in ("sigma2_0", "sigma2_1", "q_01", "q_10", "tau2_0", "tau2_1")]))
+    draws = t.read("orders").select(F.col("o_orderkey").alias("draw"), names.alias("name"), ((F.col("o_orderkey") % 97 + 1) / F.lit(100.0)).alias("value"))
+    return em.laplace_logpdf(draws, post).select("draw", r("log_pdf", 3).alias("log_pdf"))
 
 
 # ---- streaming: the stream reads files that Spark wrote from the given tables -----------------------------
