@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwatch.session import prepare, scratch_path
+from fillwatch.session import prepare, stored  # noqa: F401
 
 #: A word, and the six characters that end one, in Python's and in Spark's pattern language.
 WORD = r"[^ \t-\r]+"
@@ -30,20 +30,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared scratch folder and read again: cut lineage,
-    pruned columns, and a size that the planner knows."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def in_slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most about ``max_bytes``; a row that is larger comes alone."""
+    at, n = 0, batch.num_rows
+    while at < n:
+        size = n - at
+        while size > 1 and batch.slice(at, size).nbytes > max_bytes:
+            size = (size + 1) // 2
+        yield batch.slice(at, size)
+        at += size
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; a batch without rows gives none."""
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, max_bytes: int | None = None) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch, or to slices of it of at most about ``max_bytes``; a batch without rows gives none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for part in in_slices(batch, max_bytes or 1 << 62):
+                out = fn(part)
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
                 else:
@@ -52,6 +55,13 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.T
     return df.mapInArrow(run, schema)
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all but the ``used`` columns under names that no operator has, and the way back to the old names."""
+    names = [c if c in used else f"carried_{k}" for k, c in enumerate(docs.columns)]
+    quoted = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*[c.alias(n) for c, n in zip(quoted, names)]), lambda df: df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
 def bucket_of(col: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``: the split rule of the labelled tasks."""
     return F.crc32(col.cast("string").cast("binary")) % modulus

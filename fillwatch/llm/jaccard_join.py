@@ -5,11 +5,14 @@ hash and subsets of the partitions are enumerated such that two similar sets of
 of them entirely; the hash of that content is a signature that both have.
 
 For an instance with largest size R two similar sets differ in at most k = 2 R (1 - g) / (1 + g) elements. Of
-n1 = k // 2 + 1 + spare first-level partitions at least 1 + spare hold at most one difference, and of the two halves of
-such a partition at least one (the subsets of size n2 - k2 = 1 of n2 = 2) holds none. A half that is empty says nothing;
-a set with an empty half in more than ``spare`` partitions is "bare" and is cut again by another hash. Two bare sets meet
-there; if one of two similar sets is not bare, they agree on a half with content. No signature of an empty half is needed,
+n1 = k // 2 + 1 + spare first-level partitions at least 1 + spare hold at most one difference, and of the n2 = ``PARTS`` parts of
+such a partition all but one (the subsets of size n2 - k2 with k2 = 1) hold none together. A subset that is empty says nothing;
+a set with an empty subset in more than ``spare`` partitions is "bare" and is cut again by another hash. Two bare sets meet
+there; if one of two similar sets is not bare, they agree on a subset with content. No signature of an empty subset is needed,
 except at the last of ``FAMILIES`` hashes, where bare sets give them all.
+
+``PARTS`` trades signatures against chance: with three parts a signature stands for two thirds of some twelve shingles, and texts that
+share a passage of half their shingles agree on one in 300 of them; with two parts it is one in 70, for two thirds of the signatures.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fillwatch.llm.common import map_rows, stored
@@ -28,6 +31,8 @@ from fillwatch.llm.components import components
 
 WORDS = 4
 FAMILIES = 8
+PARTS = 3
+SLICE_BYTES = 4 << 20  # of texts whose words are held at once
 SMALL = 8  # buckets of so many members are paired by a join, larger ones in blocks
 BLOCK = 1024
 PIVOTS = 3  # members of each bucket that all others are compared with first
@@ -78,19 +83,23 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         for family in range(FAMILIES):
             salt = np.uint64((i * FAMILIES + family + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             h = _mix(s ^ salt)
-            half = (h % np.uint64(2 * n1)).astype(np.int64)
-            order = np.argsort(half, kind="stable")
-            half, h = half[order], _mix(h[order] + _A)
-            first = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
-            content = np.add.reduceat(h, first)
-            filled = half[first]
-            bare = n1 - int((np.bincount(filled >> 1, minlength=n1) == 2).sum()) > spare
-            sigs.append(_mix((content ^ salt) + filled.astype(np.uint64) * _A))
-            if not bare:
+            part = (h % np.uint64(PARTS * n1)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, h = part[order], _mix(h[order] + _A)
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            content = np.zeros(PARTS * n1, np.uint64)
+            content[part[first]] = np.add.reduceat(h, first)
+            content = content.reshape(n1, PARTS)
+            count = np.bincount(part, minlength=PARTS * n1).reshape(n1, PARTS)
+            # a subset is all parts of a partition but one
+            rest = (content.sum(1, dtype=np.uint64)[:, None] - content).ravel()
+            full = (count.sum(1)[:, None] > count).ravel()
+            name = np.arange(PARTS * n1, dtype=np.uint64) * _A
+            sigs.append(_mix((rest[full] ^ salt) + name[full]))
+            if int((~full.reshape(n1, PARTS)).any(1).sum()) <= spare:
                 break
             if family == FAMILIES - 1:
-                empty = np.setdiff1d(np.arange(2 * n1), filled).astype(np.uint64)
-                sigs.append(_mix(salt + empty * _A))
+                sigs.append(_mix(salt + name[~full]))
     return np.unique(np.concatenate(sigs)) if sigs else np.zeros(0, np.uint64)
 
 
@@ -142,7 +151,7 @@ def signed_sets(docs: DataFrame, *, percent: int, width: int, salt: int = 0) ->
                                 pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h", "h2", "sigs", "text_hash", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return map_rows(rows, run, "doc_id long, n_shingles long, h long, h2 long, sigs array<long>, text_hash long, sketch array<long>")
+    return map_rows(rows, run, "doc_id long, n_shingles long, h long, h2 long, sigs array<long>, text_hash long, sketch array<long>", SLICE_BYTES)
 
 
 def _of_set(rows: DataFrame, width: int, salt: int) -> DataFrame:
@@ -151,11 +160,29 @@ def _of_set(rows: DataFrame, width: int, salt: int) -> DataFrame:
         own = fingerprint(batch_sets(batch.column(1).to_pylist(), width, salt)).view(np.int64)
         return batch.filter(pa.array(own == batch.column(0).to_numpy()))
 
-    return map_rows(rows, check, "h long, text string")
+    return map_rows(rows, check, "h long, text string", SLICE_BYTES)
+
+
+def _near(na, nb, percent: int):
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
+def _short(name: str) -> list:
+    """A sketch folded to two words, and whether it had just one."""
+    odd = lambda k: F.aggregate(F.filter(name, lambda x, i: i % 2 == k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    return [odd(0).alias("s0"), odd(1).alias("s1"), (F.size(name) == 1).alias("one")]
+
+
+def _may_link(percent: int, other: str = "p"):
+    """Whether sizes and folded sketches of a member and of its partner (columns of the struct ``other``) leave a pair possible."""
+    o = lambda c: F.col(f"{other}.{c}")
+    x0, x1 = F.col("s0").bitwiseXOR(o("s0")), F.col("s1").bitwiseXOR(o("s1"))
+    differ = F.when(F.col("one") | o("one"), F.bit_count(x0.bitwiseXOR(x1))).otherwise(F.bit_count(x0) + F.bit_count(x1))
+    return _near(F.col("n"), o("n"), percent) & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + o("n")))
 
 
 def _possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` that neither their sizes nor their sketches rule out."""
+    """Pairs ``a, b`` that their whole sketches don't rule out either."""
     one = vertices.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = vertices.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
@@ -164,7 +191,7 @@ def _possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
         return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(own))
 
     differ = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = pairs.join(one, "a").join(two, "b").where(_near(F.col("na"), F.col("nb"), percent))
     return near.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
@@ -176,7 +203,9 @@ def _blocks(members: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
         sketch = np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in rows["sketch"]])
         n, c, h, block = (rows[k].to_numpy() for k in ("n", "c", "h", "block"))
         left, right = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
+        if not len(left) or not len(right):
+            return pd.DataFrame(out[0], columns=["a", "b"])
         for k in range(0, len(left), 32):
             p = left[k:k + 32]
             differ = np.bitwise_count(sketch[p][:, None, :] ^ sketch[right][None, :, :]).sum(-1, dtype=np.int64)
@@ -189,8 +218,9 @@ def _blocks(members: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
             out.append(np.stack([h[p][x], h[right][y]], axis=1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
-    rows = members.withColumn("block", F.floor((F.col("r") - 1) / BLOCK).cast("int")).withColumn("last", F.floor((F.col("m") - 1) / BLOCK).cast("int"))
-    rows = rows.join(vertices.select("h", "n", "sketch"), "h").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("k"))
+    rows = members.withColumn("last", F.floor((F.col("m") - 1) / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("h", "sig"), F.col("last") + 1).cast("int"))
+    rows = rows.select("sig", "h", "c", "block", "last").join(vertices.select("h", "n", "sketch"), "h").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("k"))
     rows = rows.select("sig", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "h", "c", "n", "sketch")
     found = rows.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -211,7 +241,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Dat
 
     left = texts.select(F.col("h").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("h").alias("b"), F.col("text").alias("y"))
-    return map_rows(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), check, "a long, b long")
+    return map_rows(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), check, "a long, b long", SLICE_BYTES)
 
 
 def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS) -> DataFrame:
@@ -233,30 +263,33 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
         if heads.where("lo <> hi").isEmpty():
             break
         salt += 1
-    whole = Window.partitionBy("sig")
-    members = stored(
-        live.select("h", F.explode("sigs").alias("sig")).repartition("sig").groupBy("sig", "h").agg(F.lit(1).alias("one"))
-        .select("sig", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo < hi").select("sig", "h"), "jaccard-members")
+    signed = live.select("h", F.explode("sigs").alias("sig"))
+    shared_sigs = signed.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("sig")
+    members = stored(signed.join(shared_sigs, "sig").distinct(), "jaccard-members")
     label = None
     if not members.isEmpty():
         shared = stored(members.select("h").distinct(), "jaccard-shared")
         wanted = heads.select("h", "doc_id").join(shared, "h")
         vertices = stored(live.select("h", "doc_id", F.col("n_shingles").alias("n"), "sketch").join(wanted, ["h", "doc_id"])
                           .groupBy("h").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-vertices")
+        members = stored(members.join(vertices.select("h", "n", *_short("sketch")), "h"), "jaccard-sized-members")
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("h", "text")
         texts = stored(_of_set(found, width, salt), "jaccard-texts")
-        links, known = None, members.select("sig", "h", F.col("h").alias("c"))
+        links, known = None, members.withColumn("c", F.col("h"))
+        facts = ("h", "n", "s0", "s1", "one")
         for k in range(PIVOTS):
-            pivot = F.min(F.struct(F.xxhash64("h", "sig", F.lit(k)).alias("u"), "h", "c")).over(whole)
-            stars = known.withColumn("p", pivot).where("c <> p.c").select(F.least("h", "p.h").alias("a"), F.greatest("h", "p.h").alias("b")).distinct()
+            pivots = known.groupBy("sig").agg(F.min(F.struct(F.xxhash64("h", "sig", F.lit(k)).alias("u"), "c", *facts)).alias("p"))
+            stars = known.join(pivots, "sig").where((F.col("c") != F.col("p.c")) & _may_link(percent)).select(
+                F.least("h", "p.h").alias("a"), F.greatest("h", "p.h").alias("b")).distinct()
             new = stored(_linked(stored(_possible(stars, vertices, percent), "jaccard-pairs"), texts, percent, width), "jaccard-links")
             links = new if links is None else links.unionByName(new)
-            known = members.select("sig", "h").join(components(links).withColumnRenamed("v", "h"), "h", "left").select("sig", "h", F.coalesce("c", "h").alias("c"))
-        spread = known.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi"), F.count(F.lit(1)).over(whole).alias("m"))
-        still = stored(spread.where("lo < hi and m > 2").select("sig", "h", "c", "m", F.row_number().over(whole.orderBy("h")).alias("r")), "jaccard-open")
+            known = stored(members.join(components(links).withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h")), "jaccard-known")
+        spread = known.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2")
+        still = stored(known.join(spread.select("sig", "m"), "sig"), "jaccard-open")
         small = still.where(F.col("m") <= SMALL)
-        other = small.select("sig", F.col("h").alias("a"), F.col("c").alias("ca"), F.col("r").alias("ra"))
-        few = small.join(other, "sig").where("r > ra and c <> ca").select("a", F.col("h").alias("b")).distinct()
+        other = small.select("sig", F.struct("c", *facts).alias("p"))
+        few = small.join(other, "sig").where((F.col("h") > F.col("p.h")) & (F.col("c") != F.col("p.c")) & _may_link(percent)).select(
+            F.col("p.h").alias("a"), F.col("h").alias("b")).distinct()
         many = _blocks(still.where(F.col("m") > SMALL), vertices, percent)
         pairs = stored(_possible(few, vertices, percent).unionByName(many).distinct(), "jaccard-pairs")
         label = components(links.unionByName(stored(_linked(pairs, texts, percent, width), "jaccard-links")))

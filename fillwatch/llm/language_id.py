@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillwatch.llm.common import find_words, map_rows, unit_hash
@@ -29,6 +29,7 @@ SCRIPT_NAMES = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "ara
 SCRIPTS = sorted(set(SCRIPT_NAMES))
 _RANGE_SCRIPT = np.array([SCRIPTS.index(n) for n in SCRIPT_NAMES])
 LOW, HIGH = 1, 4
+SLICE_BYTES = 4 << 20
 UNDETERMINED = "und"
 
 
@@ -189,3 +190,18 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", spans
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double" \
         + ", spans array<struct<first:long,last:long,lang:string>>" * spans
     return map_rows(kept, label, schema)
+
+
+def labels(docs: DataFrame, model: LanguageModel) -> Column:
+    """``lang_pred`` and ``score`` of the texts of ``docs`` as one struct column. Only texts reach the Python workers, at most about
+    ``SLICE_BYTES`` of them at once; the other columns stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(texts: pd.Series) -> pd.DataFrame:
+        size, rows = texts.str.len().fillna(0).cumsum().to_numpy(), texts.tolist()
+        cuts = np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1
+        got = [x[:2] for part in np.split(np.arange(len(rows)), cuts) for x in label_batch(shared.value, [rows[k] for k in part])]
+        return pd.DataFrame(got, columns=["lang_pred", "score"])
+
+    return label("text")
