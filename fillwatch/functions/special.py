@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 def _upper_gamma_ratio(a: float, x: float) -> float:
     """Regularized upper incomplete gamma function Q(a, x)."""
+    if math.isnan(a) or math.isnan(x):
+        return math.nan
     if x <= 0.0:
         return 1.0
+    if math.isinf(x) or math.isinf(a):
+        return 0.0 if math.isinf(x) else 1.0
     front = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1.0:
         term = total = 1.0 / a
@@ -41,6 +45,8 @@ def _upper_gamma_ratio(a: float, x: float) -> float:
 
 def _beta_ratio(a: float, b: float, x: float) -> float:
     """Regularized incomplete beta function."""
+    if any(map(math.isnan, (a, b, x))) or math.isinf(a) or math.isinf(b):
+        return math.nan
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
     if x > (a + 1.0) / (a + b + 2.0):
@@ -94,7 +100,7 @@ def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def t_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(k) or k <= 0 else _t_quantile(a, k)
+    return pd.Series([None if pd.isna(a) or pd.isna(k) or k <= 0 or math.isinf(k) or not 0 < a < 1 else _t_quantile(a, k)
                       for a, k in zip(p, dof)], dtype="float64")
 
 
