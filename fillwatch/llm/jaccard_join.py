@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillwatch.llm.common import map_rows, stored
@@ -263,9 +263,11 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
         if heads.where("lo <> hi").isEmpty():
             break
         salt += 1
-    signed = live.select("h", F.explode("sigs").alias("sig"))
-    shared_sigs = signed.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("sig")
-    members = stored(signed.join(shared_sigs, "sig").distinct(), "jaccard-members")
+    # One exchange of all signatures; a window streams through them, and what is not shared goes before anything is written.
+    whole = Window.partitionBy("sig")
+    members = stored(
+        live.select("h", F.explode("sigs").alias("sig")).repartition("sig").groupBy("sig", "h").agg(F.lit(1).alias("one"))
+        .select("sig", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo < hi").select("sig", "h"), "jaccard-members")
     label = None
     if not members.isEmpty():
         shared = stored(members.select("h").distinct(), "jaccard-shared")
