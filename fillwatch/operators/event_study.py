@@ -10,11 +10,20 @@ from fillwatch.functions.labels import uniform01
 from fillwatch.functions.mathx import chi2_sf_even
 from fillwatch.operators.ordered import chunk_id, global_position
 
+#: Scores are added up as decimals, so sums are exact in any order and the same trades have the same mean wherever they are met.
+EXACT = "decimal(28,18)"
+#: Picks that one row is unfolded into at a time.
+PICKS = 4096
 #: Reasons in the order they are tested.
 REASONS = ("no_resolution", "no_trades_before_close", "empty_window", "history_too_short", "too_few_null")
 MIN_NULL_DRAWS = 30
 
 
+def _exact_mean(score, n):
+    """Mean of exact sums: one division of two numbers that don't depend on the order of rows."""
+    return F.when(n > 0, F.sum(score.cast(EXACT)).cast("double") / n)
+
+
 def window_stats(scores: DataFrame, closes: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Counts, window mean and max, baseline and reason per market with scores. One partial aggregation."""
     joined = scores.join(closes.select("market", "close_ts"), "market", "left")
@@ -23,7 +32,7 @@ def window_stats(scores: DataFrame, closes: DataFrame, spec: WindowSpec = Window
     win = F.when(inside, F.col("p_z"))
     agg = joined.groupBy("market").agg(
         F.max("close_ts").alias("close_ts"), F.count(p).alias("n_trades"), F.count(win).alias("n_window"),
-        F.avg(win).alias("window_mean"), F.max(win).alias("window_max"), F.avg(p).alias("baseline_mean"),
+        _exact_mean(win, F.count(win)).alias("window_mean"), F.max(win).alias("window_max"), _exact_mean(p, F.count(p)).alias("baseline_mean"),
         F.min(F.when(p.isNotNull(), ts)).alias("first_ts"))
     room = F.col("close_ts") - spec.before - F.col("first_ts")
     reason = (F.when(F.col("close_ts").isNull(), REASONS[0]).when(F.col("n_trades") == 0, REASONS[1])
@@ -33,25 +42,14 @@ def window_stats(scores: DataFrame, closes: DataFrame, spec: WindowSpec = Window
                       room.alias("max_offset"), reason.alias("reason"))
 
 
-def _edge(rows: DataFrame, last: bool) -> DataFrame:
-    """``x_mean`` of each market's last (first) row: find the second, then break ties by hash."""
-    pick = F.max if last else F.min
-    at = rows.groupBy("market").agg(pick("ts").alias("ts"))
-    near = rows.join(at, ["market", "ts"])
-    by = F.max_by if last else F.min_by
-    return near.groupBy("market").agg(by("x_mean", "tx_hash").alias("x"))
-
-
 def terminal_move(scores: DataFrame, closes: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
-    """Filtered price change over the embargo, anchored at the last score before it."""
+    """Filtered price change over the embargo, anchored at the last score before it. One partial aggregation."""
     j = scores.join(closes.where("close_ts IS NOT NULL").select("market", "close_ts"), "market") \
               .where(F.col("ts") <= F.col("close_ts"))
-    lo = F.col("close_ts") - spec.embargo
-    late, early = j.where(F.col("ts") >= lo), j.where(F.col("ts") < lo)
-    n = j.groupBy("market").agg(F.count(F.when(F.col("ts") >= lo, 1)).alias("n_terminal"))
-    out = n.join(_edge(late, True).withColumnRenamed("x", "_end"), "market", "left") \
-           .join(_edge(early, True).withColumnRenamed("x", "_anchor"), "market", "left") \
-           .join(_edge(late, False).withColumnRenamed("x", "_first"), "market", "left")
+    late, at = F.col("ts") >= F.col("close_ts") - spec.embargo, F.struct("ts", "tx_hash")
+    out = j.groupBy("market").agg(
+        F.count(F.when(late, 1)).alias("n_terminal"), F.max_by("x_mean", F.when(late, at)).alias("_end"),
+        F.max_by("x_mean", F.when(~late, at)).alias("_anchor"), F.min_by("x_mean", F.when(late, at)).alias("_first"))
     move = F.col("_end") - F.coalesce("_anchor", "_first")
     return out.select("market", F.coalesce(move, F.lit(0.0)).alias("terminal_move"), "n_terminal")
 
@@ -68,10 +66,11 @@ def shifted_windows(scores: DataFrame, offsets: DataFrame, spec: WindowSpec = Wi
     """Count, mean and max of ``p_z`` in every shifted window, without joining windows to trades.
 
     Both ends of a window become marker rows sorted in among the trades of their
-    time chunk. Running totals give counts and sums by difference; the maximum is
+    time chunk. Running totals give counts and sums by difference, which is exact for decimals; the maximum is
     the suffix maximum of the first chunk, the prefix maximum of the last and the
     chunk maxima between.
     """
+    none = F.lit(0).cast("decimal(38,18)")
     length = spec.before - spec.embargo
     width = min(float(CHUNK_SECONDS), length / 2.0)
     lo = F.col("close_ts") - spec.before - F.col("offset")
@@ -83,20 +82,20 @@ def shifted_windows(scores: DataFrame, offsets: DataFrame, spec: WindowSpec = Wi
     kept = scores.join(last, "market").where(F.col("ts") <= F.col("_close")).select(
         "market", F.lit(None).cast("int").alias("draw"), "ts", F.lit(None).cast("string").alias("end"),
         F.lit(1).alias("kind"), "p_z")
-    u = kept.unionByName(marks).withColumn("chunk", chunk_id("ts", width))
+    u = kept.unionByName(marks).withColumn("chunk", chunk_id("ts", width)).withColumn("x", F.col("p_z").cast(EXACT))
     before = Window.partitionBy("market").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = u.groupBy("market", "chunk").agg(F.sum("kind").alias("n"), F.coalesce(F.sum("p_z"), F.lit(0.0)).alias("s"),
+    chunks = u.groupBy("market", "chunk").agg(F.sum("kind").alias("n"), F.coalesce(F.sum("x"), none).alias("s"),
                                               F.max("p_z").alias("top"))
     carry = chunks.select("market", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-                          F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"))
+                          F.coalesce(F.sum("s").over(before).cast("decimal(38,18)"), none).alias("s0"))
     inside = Window.partitionBy("market", "chunk").orderBy("ts", "kind")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    m = u.select("*", F.sum("kind").over(upto).alias("rn"), F.coalesce(F.sum("p_z").over(upto), F.lit(0.0)).alias("rs"),
+    m = u.select("*", F.sum("kind").over(upto).alias("rn"), F.coalesce(F.sum("x").over(upto), none).alias("rs"),
                  F.max("p_z").over(upto).alias("pre"), F.max("p_z").over(onward).alias("suf")).where("kind = 0")
     m = m.join(carry, ["market", "chunk"]).select("market", "draw", "end", "chunk", "pre", "suf",
                                                   (F.col("n0") + F.col("rn")).alias("n"),
-                                                  (F.col("s0") + F.col("rs")).alias("s"))
+                                                  (F.col("s0") + F.col("rs")).cast("decimal(38,18)").alias("s"))
 
     def at(end, col):
         return F.max(F.when(F.col("end") == end, F.col(col)))
@@ -110,7 +109,7 @@ def shifted_windows(scores: DataFrame, offsets: DataFrame, spec: WindowSpec = Wi
                   .groupBy("market", "draw").agg(F.max("top").alias("mid"))
     return w.join(middle, ["market", "draw"], "left").select(
         "market", "draw", "n_win",
-        F.when(F.col("n_win") > 0, F.col("sum_win") / F.col("n_win")).alias("null_mean"),
+        F.when(F.col("n_win") > 0, F.col("sum_win").cast("double") / F.col("n_win")).alias("null_mean"),
         F.when(F.col("n_win") > 0, F.greatest("head", "mid", "foot")).alias("null_max"))
 
 
@@ -119,8 +118,7 @@ def market_results(scores: DataFrame, closes: DataFrame, *, spec: WindowSpec = W
     """Primary test per market: statistics, null summary, add-one p-values and the exclusion reason."""
     stats = window_stats(scores, closes, spec)
     null = shifted_windows(scores, null_offsets(stats, n, seed, scheme), spec)
-    # guard against the last-bit noise of running-sum differences when a shifted window equals the observed one
-    beats = F.col("null_mean") >= F.col("window_mean") - 1e-12
+    beats = F.col("null_mean") >= F.col("window_mean")
     per = null.join(stats.select("market", "window_mean", "window_max"), "market").groupBy("market").agg(
         F.count("null_mean").alias("n_null"), F.count(F.when(F.col("n_win") == 0, 1)).alias("n_null_empty"),
         F.avg("null_mean").alias("_nm"), F.stddev_samp("null_mean").alias("_nsd"),
@@ -141,12 +139,13 @@ def market_results(scores: DataFrame, closes: DataFrame, *, spec: WindowSpec = W
         "terminal_move", "n_terminal")
 
 
-def cross_market_p(scores: DataFrame, results: DataFrame, n: int = 199, seed: int = 0) -> DataFrame:
+def cross_market_p(scores: DataFrame, results: DataFrame, n: int = 199, seed: int = 0, scheme: str = "random") -> DataFrame:
     """Robustness p-value: window means against draws from every other analysed market.
 
     Scores of analysed markets get global positions ordered by market, so "all
     other markets" is the position range with the market's own block cut out, and
-    drawing is an equi-join on positions.
+    drawing is an equi-join on positions. A market's picks are unfolded ``PICKS`` at a time, so no row holds a whole window.
+    ``stratified`` takes the picks of all draws at equal steps of the golden ratio instead of at random.
     """
     analysed = results.where("reason IS NULL").select("market", "n_window", "window_mean")
     pool = global_position(scores.join(analysed.select("market"), "market", "left_semi")
@@ -157,12 +156,15 @@ def cross_market_p(scores: DataFrame, results: DataFrame, n: int = 199, seed: in
     others = F.col("total") - F.col("own")
     picks = plan.where(others > 0).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).select(
-        "*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_window"))).alias("k"))
-    spot = F.floor(uniform01(seed, 2, "market", "draw", "k") * others).cast("long")
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_window") - 1) / PICKS))).alias("part")).select(
+        "*", F.explode(F.sequence(F.col("part") * PICKS + 1, F.least((F.col("part") + 1) * PICKS, F.col("n_window")))).alias("k"))
+    turn = (F.col("draw") * F.col("n_window") + F.col("k")) * F.lit(0.6180339887498949)
+    u = turn - F.floor(turn) if scheme == "stratified" else uniform01(seed, 2, "market", "draw", "k")
+    spot = F.floor(u * others).cast("long")
     picks = picks.withColumn("spot", spot).withColumn(
         "pos", F.when(F.col("spot") >= F.col("start"), F.col("spot") + F.col("own")).otherwise(F.col("spot")))
     means = picks.select("market", "draw", "pos", "window_mean").join(pool.select("pos", "p_z"), "pos") \
-        .groupBy("market", "draw", "window_mean").agg(F.avg("p_z").alias("m"))
+        .groupBy("market", "draw", "window_mean").agg(_exact_mean(F.col("p_z"), F.count("p_z")).alias("m"))
     p = means.groupBy("market").agg(
         ((1 + F.count(F.when(F.col("m") >= F.col("window_mean"), 1))) / (1 + F.count(F.lit(1)))).alias("p_value_cross"))
     return analysed.select("market").join(p, "market", "left")

@@ -308,9 +308,9 @@ REASON_SQL = """CASE WHEN close_ts IS NULL THEN 'no_resolution' WHEN n_trades =
 STATS_SQL = f"""SELECT *, {REASON_SQL} AS reason, close_ts - 432000 - first_ts AS max_offset FROM (
   SELECT s.market, max(close_ts) AS close_ts, count(*) FILTER (WHERE ts <= close_ts) AS n_trades,
     count(*) FILTER (WHERE ts >= close_ts - 432000 AND ts < close_ts - 86400) AS n_window,
-    avg(p_z) FILTER (WHERE ts >= close_ts - 432000 AND ts < close_ts - 86400) AS window_mean,
+    CAST(sum(CAST(CAST(p_z AS VARCHAR) AS DECIMAL(38,18))) FILTER (WHERE ts >= close_ts - 432000 AND ts < close_ts - 86400) AS DOUBLE) / nullif(count(p_z) FILTER (WHERE ts >= close_ts - 432000 AND ts < close_ts - 86400), 0) AS window_mean,
     max(p_z) FILTER (WHERE ts >= close_ts - 432000 AND ts < close_ts - 86400) AS window_max,
-    avg(p_z) FILTER (WHERE ts <= close_ts) AS baseline_mean, min(ts) FILTER (WHERE ts <= close_ts) AS first_ts
+    CAST(sum(CAST(CAST(p_z AS VARCHAR) AS DECIMAL(38,18))) FILTER (WHERE ts <= close_ts) AS DOUBLE) / nullif(count(p_z) FILTER (WHERE ts <= close_ts), 0) AS baseline_mean, min(ts) FILTER (WHERE ts <= close_ts) AS first_ts
   FROM scores s LEFT JOIN markets m ON m.market = s.market GROUP BY s.market)"""
 
 
@@ -338,8 +338,8 @@ def _(t):
     return event_study.terminal_move(t.scores, t.markets).select("market", "n_terminal", r("terminal_move", 9).alias("terminal_move"))
 
 
-N_NULL = 99
-NULL_SQL = f"""SELECT d.market, d.draw, count(s.p_z) AS n_win, avg(s.p_z) AS null_mean, max(s.p_z) AS null_max FROM (
+N_NULL = 999
+NULL_SQL = f"""SELECT d.market, d.draw, count(s.p_z) AS n_win, CAST(sum(CAST(CAST(s.p_z AS VARCHAR) AS DECIMAL(38,18)))  AS DOUBLE) / nullif(count(s.p_z) , 0) AS null_mean, max(s.p_z) AS null_max FROM (
   SELECT market, close_ts, draw, (draw + 0.5) / {N_NULL}.0 * max_offset AS o FROM st, (SELECT unnest(range({N_NULL})) AS draw) WHERE reason IS NULL) d
 LEFT JOIN scores s ON s.market = d.market AND s.ts >= close_ts - 432000 - o AND s.ts < close_ts - 86400 - o GROUP BY d.market, d.draw"""
 
@@ -351,7 +351,7 @@ def _(t):
     return w.select("market", "draw", "n_win", r("null_mean", 9).alias("null_mean"), "null_max")
 
 
-P_SQL = """SELECT st.market, st.reason, (1 + count(*) FILTER (WHERE null_mean >= window_mean - 1e-12)) / (1 + count(null_mean)) AS p_value,
+P_SQL = """SELECT st.market, st.reason, (1 + count(*) FILTER (WHERE null_mean >= window_mean)) / (1 + count(null_mean)) AS p_value,
 (1 + count(*) FILTER (WHERE null_max >= window_max)) / (1 + count(null_mean)) AS p_value_max, avg(null_mean) - max(baseline_mean) AS null_mean,
 stddev_samp(null_mean) AS null_sd, (max(window_mean) - avg(null_mean)) / stddev_samp(null_mean) AS z_score, count(null_mean) AS n_null
 FROM st JOIN nul ON nul.market = st.market GROUP BY st.market, st.reason"""
@@ -366,12 +366,24 @@ def _(t):
 
 @query("evt4_random_null")
 def _(t):
-    return event_study.market_results(t.scores, t.markets, n=199, seed=7)
+    return event_study.market_results(t.scores, t.markets, seed=7)
 
 
-@query("evt6_cross_market")
+CROSS_SQL = """SELECT x.market, draw, window_mean, CAST(sum(CAST(CAST(p.p_z AS VARCHAR) AS DECIMAL(38,18)))  AS DOUBLE) / nullif(count(p.p_z) , 0) AS m FROM (
+  SELECT market, draw, window_mean, CASE WHEN spot >= start THEN spot + own ELSE spot END AS pos FROM (
+    SELECT *, CAST(floor((turn - floor(turn)) * (total - own)) AS BIGINT) AS spot FROM (
+      SELECT *, (draw * n_window + k) * 0.6180339887498949e0 AS turn FROM (
+        SELECT st.market, st.window_mean, st.n_window, b.start, b.own, (SELECT count(*) FROM pool) AS total, d.draw, unnest(range(1, st.n_window + 1)) AS k
+        FROM st JOIN (SELECT market, min(pos) AS start, count(*) AS own FROM pool GROUP BY market) b ON b.market = st.market,
+          (SELECT unnest(range(199)) AS draw) d WHERE st.reason IS NULL) WHERE total > own))) x JOIN pool p USING (pos) GROUP BY x.market, draw, window_mean"""
+
+
+@query("evt6_cross_market", sql("""SELECT st.market, round((1 + count(*) FILTER (WHERE m >= c.window_mean)) / (1 + count(m)), 9) AS p_value_cross
+FROM st LEFT JOIN cr c ON c.market = st.market WHERE st.reason IS NULL GROUP BY st.market""", "scores", "markets", st=STATS_SQL,
+    pool="SELECT s.market, s.tx_hash, s.p_z, row_number() OVER (ORDER BY s.market, s.tx_hash) - 1 AS pos FROM scores s JOIN st ON st.market = s.market AND st.reason IS NULL", cr=CROSS_SQL))
 def _(t):
-    return event_study.cross_market_p(t.scores, event_study.window_stats(t.scores, t.markets), n=49, seed=7)
+    x = event_study.cross_market_p(t.scores, event_study.window_stats(t.scores, t.markets), scheme="stratified")
+    return x.withColumn("p_value_cross", r("p_value_cross", 9))
 
 
 @query("evt7_exclusions", sql("SELECT reason, count(*) AS n FROM st WHERE reason IS NOT NULL GROUP BY reason", "scores", "markets", st=STATS_SQL))
