@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fillwatch.functions.mathx import norm_ppf, sigmoid
 from fillwatch.operators.ordered import global_position, global_prefix, group_quantiles
-from fillwatch.session import cut, scalar_row
+from fillwatch.session import cut, scalar_row, stored
 
 
 def trade_posteriors(latent: DataFrame, burnin: int = 0) -> DataFrame:
@@ -73,30 +76,73 @@ def rhat(draws: DataFrame) -> DataFrame:
         "name", "n_chains", F.when(F.col("n_chains") > 1, F.greatest("_b", "_t")).alias("rhat"))
 
 
-def bulk_ess(draws: DataFrame, lags_per_round: int = 16) -> DataFrame:
+#: Draws of one chain in a packed row; lags of the first round (each round has twice as many).
+CHAIN_CHUNK, FIRST_LAGS = 4096, 64
+
+
+def _pack_chains(centred: DataFrame, chunk: int) -> DataFrame:
+    """``name, sub, chunk, c``: runs of ``chunk`` places of a chain as dense arrays, 0 where there is no draw."""
+    def dense(batches):
+        for batch in batches:
+            size, at = (pc.list_value_length(batch.column("s")).to_numpy(), batch.column("s").flatten())
+            row = np.repeat(np.arange(len(size)), size)
+            out = np.zeros((len(size), chunk))
+            out[row, at.field("p").to_numpy()] = at.field("c").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "sub", "chunk")), pa.array(list(out))], ["name", "sub", "chunk", "c"])
+
+    places = centred.groupBy("name", "sub", F.expr(f"CAST(j AS BIGINT) div {chunk}").alias("chunk")).agg(
+        F.collect_list(F.struct((F.col("j") % chunk).cast("int").alias("p"), "c")).alias("s"))
+    return stored(places.mapInArrow(dense, "name STRING, sub STRING, chunk BIGINT, c ARRAY<DOUBLE>"), "ess-chains")
+
+
+def _lag_sums(packed: DataFrame, first: int, lags: int, chunk: int) -> DataFrame:
+    """``name, sub, lag, a``: sums of products of draws ``lag`` apart, for ``lags`` lags from ``first``.
+
+    A packed row meets the two or more packed rows that lie so far ahead: an equi-join of packed rows, no draw is unfolded."""
+    steps = range(first // chunk, (first + lags - 1 + chunk - 1) // chunk + 1)
+
+    def products(batches):
+        for batch in batches:
+            own, other = (batch.column(c).flatten().to_numpy().reshape(-1, chunk) for c in ("c", "ahead"))
+            step = batch.column("step").to_numpy()
+            out = np.zeros((len(step), lags))
+            for k in range(lags):
+                shift = first + k - step * chunk  # place p meets place p + shift of the row ahead
+                for d in np.unique(shift[np.abs(shift) < chunk]):
+                    at = shift == d
+                    a, b = (own[at, :chunk - d], other[at, d:]) if d >= 0 else (own[at, -d:], other[at, :chunk + d])
+                    out[at, k] = np.einsum("ij,ij->i", a, b)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("sub"), pa.array(list(out))], ["name", "sub", "a"])
+
+    ahead = packed.select("name", "sub", F.col("c").alias("ahead"), F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"),
+                          F.col("chunk").alias("at")).withColumn("chunk", F.col("at") - F.col("step"))
+    met = packed.join(ahead, ["name", "sub", "chunk"]).select("name", "sub", "c", "ahead", "step")
+    return met.mapInArrow(products, "name STRING, sub STRING, a ARRAY<DOUBLE>").select("name", "sub", F.posexplode("a").alias("k", "x")) \
+              .groupBy("name", "sub", (F.col("k") + first).alias("lag")).agg(F.sum("x").alias("a"))
+
+
+def bulk_ess(draws: DataFrame, first_lags: int = FIRST_LAGS, chunk: int = CHAIN_CHUNK) -> DataFrame:
     """Effective sample size of the rank-normalized split chains.
 
-    Autocovariances are lagged equi-joins inside a chain, computed a block of lags
-    at a time until the initial-positive rule has stopped for every quantity, so
+    Chains are packed in bounded runs, and the autocovariances of a round's lags are sums of products of runs. Rounds of
+    doubling size go on until the initial-positive rule has stopped for every quantity, so
     no chain is gathered into one task and no lag limit is imposed.
     """
     z = _rank_normal(cut(_halves(draws)), "value").select("name", "sub", "j", "zs")
     per = z.groupBy("name", "sub").agg(F.count(F.lit(1)).alias("n"), F.avg("zs").alias("m"))
-    c = cut(z.join(per, ["name", "sub"]).select("name", "sub", "j", "n", (F.col("zs") - F.col("m")).alias("c")))
+    packed = _pack_chains(z.join(per, ["name", "sub"]).select("name", "sub", "j", (F.col("zs") - F.col("m")).alias("c")), chunk)
+    per = stored(per, "ess-shape")
     shape = per.groupBy("name").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k"),
                                     F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between"))
-    acov, start = None, 0
+    acov, start, lags = None, 0, first_lags
     while True:
-        lag = F.sequence(F.lit(start), F.lit(start + lags_per_round - 1))
-        ahead = c.select("name", "sub", F.explode(lag).alias("lag"), F.col("c").alias("c0"), F.col("j").alias("j0")) \
-                 .select("name", "sub", "lag", "c0", (F.col("j0") + F.col("lag")).alias("j"))
-        block = ahead.join(c, ["name", "sub", "j"]).groupBy("name", "sub", "lag").agg(
-            (F.sum(F.col("c0") * F.col("c")) / F.max("n")).alias("a")).groupBy("name", "lag").agg(F.avg("a").alias("a"))
-        acov = cut(block if acov is None else acov.unionByName(block))
-        start += lags_per_round
-        if scalar_row(_ess_from_lags(acov, shape, start).agg(
-                F.coalesce(F.min(F.col("done").cast("int")), F.lit(1)).alias("ok")))["ok"]:
-            return _ess_from_lags(acov, shape, start).select("name", "ess")
+        block = _lag_sums(packed, start, lags, chunk).join(per.select("name", "sub", "n"), ["name", "sub"]) \
+            .groupBy("name", "lag").agg(F.avg(F.col("a") / F.col("n")).alias("a"))
+        acov = stored(block if acov is None else acov.unionByName(block), "ess-lags")
+        start, lags = start + lags, 2 * lags
+        ess = stored(_ess_from_lags(acov, shape, start), "ess")
+        if scalar_row(ess.agg(F.coalesce(F.min(F.col("done").cast("int")), F.lit(1)).alias("ok")))["ok"]:
+            return ess.select("name", "ess")
 
 
 def _ess_from_lags(acov: DataFrame, shape: DataFrame, lags: int) -> DataFrame:

@@ -844,20 +844,48 @@ def _(t):
     return posterior.rhat(chains(t)).withColumn("rhat", r("rhat"))
 
 
-@query("pst5_bulk_ess")
+def ess_views(src: str) -> dict[str, str]:
+    """Views that end in ``ess(name, ess)`` and ``rh(name, rhat)`` for draws ``src(name, chain, it, value)``."""
+    z = sql_ppf("p")
+    return {"half": f"""SELECT name, sub, j, value FROM (SELECT name, chain || '-' || CASE WHEN it < h THEN 0 WHEN it >= n - h THEN 1 END AS sub, CASE WHEN it < h THEN it ELSE it - n + h END AS j, value FROM (
+           SELECT *, n // 2 AS h FROM (SELECT *, max(it) OVER (PARTITION BY name, chain) + 1 AS n FROM {src}))) WHERE sub IS NOT NULL""",
+         "zz": f"""SELECT name, sub, j, {z} AS zs FROM (SELECT name, sub, j, (rank() OVER (PARTITION BY name ORDER BY value) + (count(*) OVER (PARTITION BY name, value) - 1) / 2.0 - 0.375)
+           / (count(*) OVER (PARTITION BY name) + 0.25) AS p FROM half)""",
+         "cz": "SELECT *, zs - avg(zs) OVER (PARTITION BY name, sub) AS c, count(*) OVER (PARTITION BY name, sub) AS n FROM zz",
+         "pr": "SELECT a.name, a.sub, b.j - a.j AS lag, sum(a.c * b.c) AS s FROM cz a JOIN cz b ON a.name = b.name AND a.sub = b.sub AND b.j >= a.j GROUP BY 1, 2, 3",
+         "ac": """SELECT g.name, g.lag, avg(coalesce(s, 0) / g.n) AS a FROM (SELECT DISTINCT name, sub, n, unnest(range(2 * n)) AS lag FROM cz) g LEFT JOIN pr USING (name, sub, lag) GROUP BY g.name, g.lag""",
+         "sh": "SELECT name, min(n) AS n, count(*) AS k, coalesce(var_samp(m), 0) AS between_ FROM (SELECT name, sub, count(*) AS n, avg(zs) AS m FROM zz GROUP BY name, sub) GROUP BY name",
+         "rho": """SELECT ac.name, lag, n, k, CASE WHEN lag = 0 THEN 1 ELSE 1 - (mv - a) / (mv * (n - 1.0) / n + between_) END AS r
+           FROM ac JOIN (SELECT sh.*, a * n / (n - 1.0) AS mv FROM sh JOIN ac ON ac.name = sh.name AND ac.lag = 0) m ON m.name = ac.name""",
+         "gy": """SELECT *, max(CASE WHEN p <= 0 THEN 1 ELSE 0 END) OVER w AS stopped, min(p) OVER w AS low FROM (
+           SELECT name, any_value(n) AS n, any_value(k) AS k, lag // 2 AS m, sum(r) AS p FROM rho GROUP BY name, lag // 2) WINDOW w AS (PARTITION BY name ORDER BY m)""",
+         "ess": """SELECT name, any_value(n) * any_value(k) / greatest(-1 + 2 * coalesce(sum(low) FILTER (WHERE stopped = 0), 0), 1 / log10(any_value(n) * any_value(k))) AS ess FROM gy GROUP BY name""",
+         "fold": "SELECT name, sub, abs(value - quantile_cont(value, 0.5) OVER (PARTITION BY name)) AS far FROM half",
+         "bulk": rhat_sql("half", "value"), "tail": rhat_sql("fold", "far"), "rh": "SELECT b.name, greatest(b.rh, t.rh) AS rhat FROM bulk b JOIN tail t ON t.name = b.name"}
+
+
+CHAIN_SQL = "SELECT name, iter % 4 AS chain, iter // 4 AS it, value FROM draws"
+
+
+@query("pst5_bulk_ess", sql("SELECT name, round(ess, 4) AS ess FROM ess", "draws", ch=CHAIN_SQL, **ess_views("ch")))
 def _(t):
-    return posterior.bulk_ess(chains(t))
+    return posterior.bulk_ess(chains(t)).withColumn("ess", r("ess", 4))
 
 
-@query("pst3_parameter_summary")
+@query("pst3_parameter_summary", sql("""SELECT k.name, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd, round(quantile_cont(value, 0.025), 9) AS lo,
+round(quantile_cont(value, 0.975), 9) AS hi, round(any_value(ess), 4) AS ess, round(any_value(rhat), 6) AS rhat FROM ch k JOIN ess USING (name) JOIN rh USING (name) GROUP BY k.name""",
+    "draws", ch=f"SELECT name, chain, it - 5 AS it, value FROM ({CHAIN_SQL}) WHERE it >= 5", **ess_views("ch")))
 def _(t):
-    return posterior.parameter_summary(chains(t), 5)
+    s = posterior.parameter_summary(chains(t), 5)
+    return s.select("name", *[r(c, 9).alias(c) for c in ("mean", "sd", "lo", "hi")], r("ess", 4).alias("ess"), r("rhat").alias("rhat"))
 
 
-@query("pst6_diagnose")
+@query("pst6_diagnose", sql("SELECT round(max(rhat), 6) AS worst_rhat, round(min(ess), 4) AS min_ess, count(*) FILTER (WHERE rhat > 1.01) AS n_flagged FROM ess JOIN rh USING (name)",
+                            "draws", ch=CHAIN_SQL, **ess_views("ch")))
 def _(t):
     c = chains(t)
-    return posterior.diagnose(posterior.bulk_ess(c).join(posterior.rhat(c), "name"))
+    d = posterior.diagnose(posterior.bulk_ess(c).join(posterior.rhat(c), "name"))
+    return d.select(r("worst_rhat").alias("worst_rhat"), r("min_ess", 4).alias("min_ess"), "n_flagged")
 
 
 @query("pst7_degeneracy", "SELECT o_orderpriority, round(avg(CASE WHEN o_totalprice < 0.25 * 400000 THEN 1.0 ELSE 0.0 END), 9) AS degenerate_share FROM orders GROUP BY o_orderpriority")
