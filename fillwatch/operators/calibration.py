@@ -15,10 +15,12 @@ from fillwatch.functions.special import binom_quantile, chi2_sf
 from fillwatch.operators.ordered import group_quantiles
 from fillwatch.session import scalar_row
 
+# Fixed values of the calibration report.
 NOMINAL = 0.90
 BAND = (0.85, 0.95)
 MAX_BINS = 20
 MIN_EXPECTED = 5
+MAX_FAILURE_RATE = 0.05
 
 
 # ---- selection -------------------------------------------------------------------------------
@@ -189,18 +191,52 @@ def distinct_sizes(rows: DataFrame) -> DataFrame:
                        F.coalesce("size.n_wallets", z).alias("n_wallets")).distinct()
 
 
-def coverage_power(table: DataFrame) -> DataFrame:
+def coverage_power(table: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """How much of a coverage table is conclusive: counts per verdict, names of the underpowered rows, smallest ``n``, level of a row."""
+    weak = F.col("in_range") & ~F.col("conclusive")
     return table.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("conclusive"), 1)).alias("n_conclusive"),
-                     F.count(F.when(F.col("in_range") & ~F.col("conclusive"), 1)).alias("n_underpowered"),
-                     F.count(F.when(~F.col("in_range"), 1)).alias("n_failed"))
+                     F.count(F.when(weak, 1)).alias("n_underpowered"), F.count(F.when(~F.col("in_range"), 1)).alias("n_failed"),
+                     F.sort_array(F.collect_list(F.when(weak, F.col("component")))).alias("underpowered"),
+                     F.coalesce(F.min("n"), F.lit(0)).alias("min_n"), (F.lit(alpha) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("row_alpha"))
 
 
-def flag_list(uniformity: DataFrame, cov: DataFrame) -> DataFrame:
-    """Names of every check that did not pass."""
+def flag_list(uniformity: DataFrame, cov: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Names of every check that did not pass; too many failed replicates are a flag of no component."""
     a = uniformity.where("rejected").select(F.lit("rank").alias("check"), "component")
     b = uniformity.where("band_violation AND NOT rejected").select(F.lit("band").alias("check"), "component")
     c = cov.where("NOT in_range").select(F.lit("coverage").alias("check"), "component")
-    return a.unionByName(b).unionByName(c)
+    out = a.unionByName(b).unionByName(c)
+    if failures is None:
+        return out
+    return out.unionByName(failures.where(F.col("failure_rate") > MAX_FAILURE_RATE).select(F.lit("failure_rate").alias("check"), F.lit("").alias("component")))
+
+
+def store_regimes(rows: DataFrame) -> DataFrame:
+    """One row: how many replicates, different draw counts and different priors a store has. A missing prior is an empty one."""
+    prior = F.array_sort(F.map_entries(F.coalesce("prior", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("L").alias("n_sizes"), F.count_distinct(F.to_json(prior)).alias("n_priors"),
+                    F.max("L").alias("L"))
+
+
+def one_regime(rows: DataFrame) -> int:
+    """The common number of draws; a store without replicates, with several draw counts or with several priors is refused,
+    because its ranks can't be pooled."""
+    row = scalar_row(store_regimes(rows))
+    if not row["n"]:
+        raise ValueError("no replicates to analyse")
+    if row["n_sizes"] > 1:
+        raise ValueError(f"replicates disagree on the number of draws: {row['n_sizes']} values")
+    if row["n_priors"] > 1:
+        raise ValueError(f"replicates disagree on the prior: {row['n_priors']} priors")
+    return row["L"]
+
+
+def store_flags(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Flags of a whole replicate store: refused if it mixes regimes, then ranks, coverage and failures of its usable rows."""
+    good = usable(rows)
+    size = one_regime(good)
+    ranks = long_ranks(good)
+    return flag_list(rank_uniformity(ranks, size, alpha=alpha), coverage_with_wallets(good, alpha=alpha), failure_accounting(rows))
 
 
 def degenerate_sensitivity(rows: DataFrame, **kw) -> DataFrame:

@@ -179,19 +179,29 @@ def spread(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) ->
         F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("spread"))
 
 
+def run_patterns(members: DataFrame) -> DataFrame:
+    """``runs, n``: wallets merged by the set of runs that list them."""
+    sets = members.select("run_id", "wallet").distinct().groupBy("wallet").agg(
+        F.sort_array(F.collect_set("run_id")).alias("runs"))
+    return sets.groupBy("runs").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_counts(patterns: DataFrame) -> DataFrame:
+    """``ra, rb, both``: wallets that two runs have in common, ``ra`` before ``rb``."""
+    return patterns.select(F.explode("runs").alias("ra"), "runs", "n") \
+        .select("ra", F.explode("runs").alias("rb"), "n").where("ra < rb") \
+        .groupBy("ra", "rb").agg(F.sum("n").alias("both"))
+
+
 def pairwise_jaccard(members: DataFrame, runs: DataFrame) -> DataFrame:
     """Mean Jaccard overlap over pairs of runs; two empty sets agree, one run gives NULL.
 
     Wallets are first merged by the set of runs that list them, so pairs are
     formed between runs, never between wallets.
     """
-    sets = members.select("run_id", "wallet").distinct().groupBy("wallet").agg(
-        F.sort_array(F.collect_set("run_id")).alias("runs"))
-    patterns = sets.groupBy("runs").agg(F.count(F.lit(1)).alias("n"))
+    patterns = run_patterns(members)
     sizes = patterns.select(F.explode("runs").alias("run_id"), "n").groupBy("run_id").agg(F.sum("n").alias("size"))
-    shared = patterns.select(F.explode("runs").alias("ra"), "runs", "n") \
-        .select("ra", F.explode("runs").alias("rb"), "n").where("ra < rb") \
-        .groupBy("ra", "rb").agg(F.sum("n").alias("both"))
+    shared = shared_counts(patterns)
     named = runs.select("run_id").distinct().join(sizes, "run_id", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     left = named.select(F.col("run_id").alias("ra"), F.col("size").alias("sa"))
     right = named.select(F.col("run_id").alias("rb"), F.col("size").alias("sb"))

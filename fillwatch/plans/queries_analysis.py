@@ -13,6 +13,7 @@ from fillwatch.operators import (backtest, calibration, case_study, clean, event
 from fillwatch.plans.queries_core import RHO_SQL, r, sql_cdf, sql_horner
 from fillwatch.plans.registry import query
 from fillwatch.plans.views import sql
+from fillwatch.sources import files
 
 # ---- scalar functions ------------------------------------------------------------------------
 
@@ -251,9 +252,7 @@ def _(t):
 @query("set3_set_sizes", sql("""SELECT p.run_id AS ra, q.run_id AS rb, count(*) AS n_shared
 FROM sets p JOIN sets q ON p.wallet = q.wallet AND p.run_id < q.run_id GROUP BY 1, 2""", sets=SETS_SQL))
 def _(t):
-    s = restart_sets(t).groupBy("wallet").agg(F.sort_array(F.collect_set("run_id")).alias("runs")).groupBy("runs").agg(F.count("*").alias("n"))
-    return s.select("runs", "n", F.explode("runs").alias("ra")).select("ra", F.explode("runs").alias("rb"), "n").where("ra < rb") \
-        .groupBy("ra", "rb").agg(F.sum("n").alias("n_shared"))
+    return metrics.shared_counts(metrics.run_patterns(restart_sets(t))).withColumnRenamed("both", "n_shared")
 
 
 RECORD_SQL = "SELECT cv.*, (length(run_id) + CAST(substr(run_id, 2) AS INTEGER)) / 100.0 + 0.8 AS pooled_auc FROM cv"
@@ -632,7 +631,9 @@ def _(t):
 @query("src15_cluster_scores", sql("SELECT market, wallet, count(*) AS n, round(avg(p_z), 9) AS m FROM scores WHERE market IN ('click', 'error') GROUP BY market, wallet", "scores"))
 def _(t):
     listed = t.spark.createDataFrame([(m,) for m in LISTED], "market STRING")
-    return t.scores.join(F.broadcast(listed), "market", "left_semi").groupBy("market", "wallet").agg(F.count("*").alias("n"), r(F.avg("p_z"), 9).alias("m"))
+    path = files.scratch_path(t.spark, "cluster-scores")
+    files.write_scores(t.scores, path, "replay", "events")
+    return files.load_cluster_scores(t.spark, path, listed).groupBy("market", "wallet").agg(F.count("*").alias("n"), r(F.avg("p_z"), 9).alias("m"))
 
 
 # ---- calibration --------------------------------------------------------------------------------
@@ -669,9 +670,18 @@ def _(t):
     return p.select("component", "n", *[r(c, d).alias(c) for c, d in (("ks_stat", 9), ("mean_pit", 9), ("var_pit", 9), ("band_half_width", 9), ("bias_z", 6), ("dispersion_z", 6))], "band_violation")
 
 
-@query("cal5_bin_bands")
+def binom_sql(q: str, n: str, p: str) -> str:
+    """Smallest k whose cumulative binomial probability reaches q."""
+    return f"""(SELECT min(k) FROM (SELECT k, sum(exp(lgamma({n} + 1.0) - lgamma(k + 1.0) - lgamma({n} - k + 1.0) + k * ln({p}) + ({n} - k) * ln(1 - {p}))) OVER (ORDER BY k) AS c
+      FROM (SELECT unnest(range({n} + 1)) AS k)) WHERE c >= {q} * (1 - 1e-12))"""
+
+
+@query("cal5_bin_bands", sql(f"""SELECT component, bin, n, round(expected, 6) AS expected, CAST({binom_sql('0.0125e0 / 7 / 2', 'total', 'prob')} AS DOUBLE) AS band_lo,
+CAST({binom_sql('(1 - 0.0125e0 / 7 / 2)', 'total', 'prob')} AS DOUBLE) AS band_hi FROM (SELECT *, CAST(round(sum(n) OVER (PARTITION BY component)) AS BIGINT) AS total,
+  expected / sum(n) OVER (PARTITION BY component) AS prob FROM h)""", "replicate_ranks", h=HIST_SQL))
 def _(t):
-    return calibration.bin_bands(calibration.rank_histogram(t.replicate_ranks, 99, 7), 7, 0.0125)
+    b = calibration.bin_bands(calibration.rank_histogram(t.replicate_ranks, 99, 7), 7, 0.0125)
+    return b.select("component", "bin", "n", r("expected").alias("expected"), "band_lo", "band_hi")
 
 
 @query("cal6_shape_hint", """SELECT o_orderkey, CASE WHEN abs(b) < 2.5 AND abs(d) < 2.5 THEN 'none' WHEN abs(d) >= abs(b) AND d > 0 THEN 'too narrow' WHEN abs(d) >= abs(b) THEN 'too wide'
@@ -689,9 +699,26 @@ def _(t):
     return calibration.holm(p).select("component", r("p_value_adj", 9).alias("p_value_adj"))
 
 
-@query("cal8_rank_uniformity")
+def chi2_tail_sql(x: str, dof: str, steps: int = 4000) -> str:
+    """Upper chi-square tail by Simpson's rule on the density up to x."""
+    return f"""(SELECT greatest(0, 1 - sum(CASE WHEN j = 0 OR j = {steps} THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * CASE WHEN j = 0 THEN 0
+      ELSE exp(({dof} / 2.0 - 1) * ln({x} * j / {steps}) - {x} * j / {steps} / 2 - {dof} / 2.0 * ln(2) - lgamma({dof} / 2.0)) END) * {x} / {steps} / 3)
+      FROM (SELECT unnest(range({steps} + 1)) AS j))"""
+
+
+UNIFORM_SQL = f"""SELECT component, chi2_stat, dof, p_value, max(least(1.0, (m - i) * p_value)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS p_value_adj FROM (
+  SELECT *, row_number() OVER (ORDER BY p_value, component) - 1 AS i, count(*) OVER () AS m FROM (SELECT *, {chi2_tail_sql('chi2_stat', 'dof')} AS p_value FROM (
+    SELECT component, sum((n - expected) * (n - expected) / expected) AS chi2_stat, count(*) - 1 AS dof FROM h20 GROUP BY component)))"""
+HIST20_SQL = HIST_SQL.replace("j * 100 / 7.0", "j * 100 / 20.0").replace("(j + 1) * 100 / 7.0", "(j + 1) * 100 / 20.0").replace("range(7)", "range(20)")
+
+
+@query("cal8_rank_uniformity", sql(f"""SELECT u.component, round(chi2_stat, 6) AS chi2_stat, dof, round(p_value, 6) AS p_value, round(p_value_adj, 6) AS p_value_adj, p_value_adj < 0.05 AS rejected,
+round(ks_stat, 9) AS ks_stat, ks_stat > sqrt(ln(2 / (0.05 / 3)) / (2.0 * n)) AS band_violation FROM u JOIN pit USING (component)""",
+    "replicate_ranks", h20=HIST20_SQL, u=UNIFORM_SQL, pit=PIT_SQL))
 def _(t):
-    return calibration.rank_uniformity(t.replicate_ranks, 99)
+    u = calibration.rank_uniformity(t.replicate_ranks, 99)
+    return u.select("component", r("chi2_stat").alias("chi2_stat"), "dof", r("p_value").alias("p_value"), r("p_value_adj").alias("p_value_adj"), "rejected",
+                    r("ks_stat", 9).alias("ks_stat"), "band_violation")
 
 
 def wilson_sql(h: str, n: str, z: str) -> str:
@@ -768,10 +795,51 @@ def _(t):
     return calibration.distinct_sizes(replicate_store(t))
 
 
-@query("cal13_flags")
+def skewed_store(t):
+    """Replicates of which one component's ranks are too low and its intervals too narrow, and a ninth of which failed."""
+    x, low = replicate_store(t), F.map_contains_key("hits90", F.lit("P"))
+    return x.select("seed", "L", F.when(low, F.transform_values("ranks", lambda k, v: F.floor(v / 2).cast("int"))).otherwise(F.col("ranks")).alias("ranks"),
+                    F.when(low, F.transform_values("hits90", lambda k, v: v & (F.col("seed") % 10 < 7))).otherwise(F.col("hits90")).alias("hits90"),
+                    F.array().cast("array<boolean>").alias("theta_hits90"), "flags", F.create_map(F.lit("a"), F.lit(1.0)).alias("prior"))
+
+
+SKEW_SQL = f"""SELECT component, CASE WHEN component = 'P' THEN rank // 2 ELSE rank END AS rank, CASE WHEN component = 'P' THEN hit AND seed % 10 < 7 ELSE hit END AS hit
+FROM ({STORE_SQL}) WHERE NOT failed AND NOT degenerate"""
+SKEW_HIST_SQL = HIST20_SQL.replace("replicate_ranks", "skew")
+SKEW_COVER_SQL = f"""SELECT component FROM (SELECT component, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS h,
+  -{sql_ppf('(0.05 / 3 / 2)')} AS z FROM skew GROUP BY component) WHERE NOT ({W_LO} <= 0.9 AND {W_HI} >= 0.9)"""
+
+
+@query("cal13_flags", sql(f"""SELECT 'rank' AS "check", component FROM u WHERE p_value_adj < 0.05
+UNION ALL SELECT 'band', component FROM u JOIN pit USING (component) WHERE p_value_adj >= 0.05 AND ks_stat > sqrt(ln(2 / (0.05 / 3)) / (2.0 * n))
+UNION ALL SELECT 'coverage', component FROM ({SKEW_COVER_SQL})
+UNION ALL SELECT 'failure_rate', '' FROM (SELECT avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END) AS fr FROM ({STORE_SQL})) WHERE fr > 0.05""",
+    "replicate_ranks", skew=SKEW_SQL, h20=SKEW_HIST_SQL, u=UNIFORM_SQL, pit=PIT_SQL.replace("replicate_ranks", "skew")))
 def _(t):
-    x = t.replicate_ranks
-    return calibration.flag_list(calibration.rank_uniformity(x, 99), calibration.coverage(x))
+    return calibration.store_flags(skewed_store(t))
+
+
+@query("cal13_power", sql(f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE verdict = 2) AS n_conclusive, count(*) FILTER (WHERE verdict = 1) AS n_underpowered, count(*) FILTER (WHERE verdict = 0) AS n_failed,
+coalesce(string_agg(component, ',' ORDER BY component) FILTER (WHERE verdict = 1), '') AS underpowered, CAST(min(n) AS BIGINT) AS min_n, round(0.05 / count(*), 9) AS row_alpha FROM (
+  SELECT component, n, CASE WHEN NOT ({W_LO} <= 0.9 AND {W_HI} >= 0.9) THEN 0 WHEN {W_LO} >= 0.85 AND {W_HI} <= 0.95 THEN 2 ELSE 1 END AS verdict FROM (
+  SELECT component || (seed % 40) AS component, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS h, -{sql_ppf('(0.05 / 120 / 2)')} AS z FROM replicate_ranks GROUP BY 1))""", "replicate_ranks"))
+def _(t):
+    x = t.replicate_ranks.withColumn("component", F.concat("component", (F.col("seed") % 40).cast("string")))
+    w = calibration.coverage_power(calibration.coverage(x, n_rows=120))
+    return w.withColumn("underpowered", F.array_join("underpowered", ",")).withColumn("row_alpha", r("row_alpha", 9))
+
+
+@query("cal11_pooled_auc", sql("SELECT count(a) AS n, round(avg(a), 9) AS mean, round(stddev_samp(a), 9) AS sd FROM (SELECT CASE WHEN seed % 4 <> 0 THEN rank / 100.0 END AS a FROM replicate_ranks)", "replicate_ranks"))
+def _(t):
+    x = calibration.pooled_value(t.replicate_ranks.select(F.when(F.col("seed") % 4 != 0, F.col("rank") / F.lit(100.0)).alias("z_auc")), "z_auc")
+    return x.select("n", r("mean", 9).alias("mean"), r("sd", 9).alias("sd"))
+
+
+@query("flt18_store_regimes", sql("SELECT count(*) AS n, 1 AS n_sizes, count(DISTINCT seed % 3) AS n_priors, 99 AS L FROM replicate_ranks", "replicate_ranks"))
+def _(t):
+    """Stores whose replicates have several priors are told apart by the whole map."""
+    x = replicate_store(t).withColumn("prior", F.when(F.col("seed") % 3 != 0, F.create_map(F.lit("a"), (F.col("seed") % 3).cast("double"), F.lit("b"), F.lit(1.0))))
+    return calibration.store_regimes(x)
 
 
 QUANT = "quantile_cont(value, {q})"

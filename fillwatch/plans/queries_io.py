@@ -17,7 +17,7 @@ from fillwatch.streaming import jobs
 @query("src3_tail_capture", sql("SELECT market, count(*) AS n, round(sum(price), 6) AS p FROM raw_trades GROUP BY market", "raw_trades"))
 def _(t):
     base = files.scratch_path(t.spark, "tail")
-    files.write_capture(t.raw, f"{base}/in", partitions=3)
+    files.write_capture(t.raw, f"{base}/in")
     tail = jobs.read_capture_stream(t.spark, f"{base}/in", files_per_trigger=1)
     jobs.sink(tail, f"{base}/out", f"{base}/chk", "parquet").awaitTermination()
     return t.spark.read.schema(tail.schema).parquet(f"{base}/out").groupBy("market").agg(F.count("*").alias("n"), r(F.sum("price")).alias("p"))
@@ -68,11 +68,11 @@ def _(t):
     return rows.groupBy("failed", "degenerate").agg(F.count("*").alias("n"), F.sum(total).alias("rank_sum"))
 
 
-@query("src22_manifest", sql("SELECT market, slug, question FROM markets WHERE market IN ('click', 'error', 'view')", "markets"))
+@query("src22_manifest", sql("SELECT market, slug, question FROM markets", "markets"))
 def _(t):
     path = files.scratch_path(t.spark, "manifest")
-    listed = F.sort_array(F.collect_list(F.struct(F.col("market").alias("condition_id"), "slug", "question")))  # the three named markets
-    t.markets.where(F.col("market").isin("click", "error", "view")).agg(F.to_json(F.struct(
+    listed = F.sort_array(F.collect_list(F.struct(F.col("market").alias("condition_id"), "slug", "question")))  # a manifest lists a handful
+    t.markets.agg(F.to_json(F.struct(
         F.lit(1).alias("schema_version"), F.lit("events").alias("case"), listed.alias("markets"),
         F.struct(F.lit("2024-01-08T00:00:00Z").alias("start"), F.lit("2024-01-20T00:00:00Z").alias("end")).alias("analysis_window")))).write.text(path)
     return files.manifest_markets(files.load_manifest(t.spark, path))
@@ -90,7 +90,7 @@ def _(t):
 @query("src24_warm_start", sql("SELECT count(DISTINCT wallet) AS n_wallets, count(DISTINCT wallet) AS n_equal FROM trades", "trades"))
 def _(t):
     path = files.scratch_path(t.spark, "artifact")
-    fit = em.fit_em(t.stored_features, n_iter=1)
+    fit = em.fit_em(t.stored_features)
     files.save_warm_start(fit, t.spark, path)
     theta = files.load_warm_start(t.spark, path)[4]
     j = theta.join(fit.theta.select("wallet", F.col("theta").alias("was")), "wallet")
@@ -100,7 +100,7 @@ def _(t):
 @query("snk1_stream_sink", sql("SELECT market, count(*) AS n, max(ts) AS last_ts FROM raw_trades GROUP BY market", "raw_trades"))
 def _(t):
     base = files.scratch_path(t.spark, "sink")
-    files.write_capture(t.raw, f"{base}/in", partitions=2)
+    files.write_capture(t.raw, f"{base}/in")
     jobs.sink_capture(jobs.read_capture_stream(t.spark, f"{base}/in"), f"{base}/out", f"{base}/chk").awaitTermination()
     return files.read_capture(t.spark, f"{base}/out")[0].groupBy("market").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
 
@@ -109,7 +109,7 @@ def _(t):
 def _(t):
     """Every file of the capture is sorted by (ts, hash): no line is older than the line before it."""
     path = files.scratch_path(t.spark, "canonical")
-    files.write_capture(t.raw, path, partitions=8)
+    files.write_capture(t.raw, path)
     lines = t.spark.read.json(path, schema="timestamp LONG, transaction_hash STRING").select(
         F.input_file_name().alias("market"), F.monotonically_increasing_id().alias("seq"), F.col("timestamp").alias("ts"))
     bad = features.backwards_rows(lines, "seq").agg(F.count("*").cast("int").alias("n_out_of_order"))
@@ -147,7 +147,7 @@ def _(t):
 def _(t):
     """Adaptive scores of the stream against the batch rounds over the same trades."""
     from fillwatch.operators.scoring import online_scores
-    live = streamed(t, lambda s: jobs.score_stream(jobs.unique_trades(s, "365 days"), P), "adaptive").where("kind = 'scored'")
+    live = streamed(t, lambda s: jobs.score_stream(jobs.unique_trades(s), P), "adaptive").where("kind = 'scored'")
     batch = online_scores(t.trades, P, segment_rows=700).select("tx_hash", F.col("p_z").alias("b"))
     j = live.join(batch, "tx_hash")
     return j.groupBy("market").agg(F.count("*").alias("n"), F.count(F.when(F.abs(F.col("p_z") - F.col("b")) < 1e-9, 1)).alias("n_equal"))

@@ -487,10 +487,12 @@ def _(t):
 
 # ---- streaming: the stream reads files that Spark wrote from the given tables -----------------------------
 
-def streamed(t, build, name, fmt="parquet"):
+def streamed(t, build, name, fmt="parquet", ended=False):
     """Write the raw trades as a capture, run a stream over it to the end, and read the sink."""
     base = files.scratch_path(t.spark, name)
-    files.write_capture(t.raw, f"{base}/in", partitions=2)
+    files.write_capture(t.raw, f"{base}/in")
+    if ended:
+        jobs.end_capture(t.spark, f"{base}/in")
     stream = build(jobs.read_capture_stream(t.spark, f"{base}/in"))
     q = jobs.sink(stream, f"{base}/out", f"{base}/chk", fmt)
     q.awaitTermination()
@@ -504,14 +506,14 @@ def _(t):
 
 @query("str2_stateful_scores")
 def _(t):
-    return streamed(t, lambda s: jobs.score_stream(jobs.unique_trades(s, "365 days"), P), "scored")
+    return streamed(t, lambda s: jobs.score_stream(jobs.unique_trades(s), P), "scored")
 
 
 @query("str5_frozen_stream", sql("SELECT market, count(*) AS n, count(*) AS n_scored FROM trades GROUP BY market", "trades"))
 def _(t):
     """Frozen stream scores joined with the batch replay of the same trades: every score must agree."""
     frozen = OnlineConfig(forgetting=1.0)
-    live = streamed(t, lambda s: jobs.score_stream(jobs.unique_trades(s, "365 days"), P, frozen), "frozen").where("kind = 'scored'")
+    live = streamed(t, lambda s: jobs.score_stream(jobs.unique_trades(s), P, frozen), "frozen").where("kind = 'scored'")
     batch = scoring.filter_scores(features.causal_features(t.trades), P).select("tx_hash", F.col("p_z").alias("b"))
     j = live.join(batch, "tx_hash")
     same = F.abs(F.col("p_z") - F.col("b")) < 1e-9
@@ -520,7 +522,7 @@ def _(t):
 
 @query("str3_stream_dedupe", sql("SELECT market, count(DISTINCT tx_hash) AS n FROM trades GROUP BY market", "trades"))
 def _(t):
-    out = streamed(t, lambda s: jobs.unique_trades(s.unionByName(s), "365 days"), "dedupe")
+    out = streamed(t, lambda s: jobs.unique_trades(s.unionByName(s)), "dedupe")
     return out.groupBy("market").agg(F.count("*").alias("n"))
 
 
@@ -531,7 +533,7 @@ def _(t):
     """Trades shifted back by a varying lag after the scorer has moved on are set aside as late."""
     base = files.scratch_path(t.spark, "late")
     late = F.col("tx_hash").cast("long") % 10 == 0
-    files.append_capture(t.trades.where(~late).coalesce(1), f"{base}/in")
+    files.append_capture(t.trades.where(~late), f"{base}/in")
     chk, out = f"{base}/chk", f"{base}/out"
 
     def run():
@@ -539,22 +541,29 @@ def _(t):
         jobs.sink(s, out, chk, "parquet").awaitTermination()
 
     run()
-    files.append_capture(t.trades.where(late).coalesce(1), f"{base}/in")
+    files.append_capture(t.trades.where(late), f"{base}/in")
     run()
     return t.spark.read.parquet(out).groupBy("market", "kind").agg(F.count("*").alias("n"), F.max("late_by").alias("max_late"))
 
 
-@query("str6_feed_counts", sql("""SELECT market, ts // 3600 * 3600 AS window_start, count(*) AS n_trades, round(sum(size), 4) AS volume FROM raw_trades
-WHERE (ts // 3600 + 1) * 3600 <= (SELECT max(ts) FROM raw_trades) - 3600 GROUP BY market, ts // 3600""", "raw_trades"))
+@query("str3_trade_routes", sql("""SELECT market, kind, count(*) AS n FROM (
+  SELECT market, CASE WHEN NOT coalesce(size > 0 AND price > 0 AND price < 1 AND tx_hash <> '' AND wallet <> '', false) THEN 'invalid' WHEN c = 1 THEN 'trade' ELSE 'duplicate' END AS kind
+  FROM raw_trades, (SELECT unnest([1, 2]) AS c)) GROUP BY market, kind""", "raw_trades"))
 def _(t):
-    return streamed(t, lambda s: jobs.feed_counts(s), "counts").withColumn("volume", r("volume", 4))
+    """Each trade of the capture comes twice; every row is accounted for."""
+    out = streamed(t, lambda s: jobs.route_trades(s.unionByName(s)).drop("late_by"), "routes", ended=True)
+    return out.groupBy("market", "kind").agg(F.count("*").alias("n"))
+
+
+@query("str6_feed_counts", sql("""SELECT market, ts // 3600 * 3600 AS window_start, count(*) AS n_trades, round(sum(size), 4) AS volume, count(DISTINCT ts) AS n_seconds FROM raw_trades
+GROUP BY market, ts // 3600""", "raw_trades"))
+def _(t):
+    return streamed(t, lambda s: jobs.feed_counts(s), "counts", ended=True).withColumn("volume", r("volume", 4))
 
 
 @query("str6_activity_sessions", sql("""SELECT market, min(ts) AS session_start, max(ts) + 7200 AS session_end, count(*) AS n_trades FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY market ORDER BY ts, tx_hash) AS sid FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY market ORDER BY ts, tx_hash) < 7200 THEN 0 ELSE 1 END AS fresh FROM raw_trades))
-GROUP BY market, sid HAVING max(ts) + 7200 <= (SELECT max(ts) FROM raw_trades) - 3600""", "raw_trades"))
+GROUP BY market, sid""", "raw_trades"))
 def _(t):
-    return streamed(t, lambda s: jobs.activity_sessions(s), "sessions")
-
-
+    return streamed(t, lambda s: jobs.activity_sessions(s), "sessions", ended=True)

@@ -14,7 +14,7 @@ REPLICATE_DDL = (
     "elapsed_s DOUBLE, size STRUCT<K: INT, T: INT, n_wallets: INT>, prior MAP<STRING,DOUBLE>")
 MANIFEST_DDL = (
     "schema_version INT, case STRING, "
-    "markets ARRAY<STRUCT<condition_id: STRING, slug: STRING, question: STRING>>, "
+    "markets ARRAY<STRUCT<condition_id: STRING, slug: STRING, question: STRING, role: STRING>>, "
     "analysis_window STRUCT<start: STRING, `end`: STRING>, "
     "wallet_anchor STRUCT<handle: STRING, address: STRING, address_pattern: STRING>, "
     "doj_timeline ARRAY<STRUCT<ts: STRING, label: STRING, source: STRING>>")

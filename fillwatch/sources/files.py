@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from fillwatch.config import ModelParams
 from fillwatch.functions.labels import parse_iso
 from fillwatch.operators.clean import keep_first, parse_end_date
 from fillwatch.schemas import CAPTURE_DDL, MANIFEST_DDL, REPLICATE_DDL, SCORES_DDL
-from fillwatch.session import scalar_row, scratch_path  # noqa: F401
+from fillwatch.session import scalar_row, scratch_path, width  # noqa: F401
 
 COLD_VARIANCE = 1.0
 
@@ -65,10 +66,11 @@ def compact_capture(spark: SparkSession, source: str, target: str) -> int:
 
 # ---- processed markets ----------------------------------------------------------------------------
 
-def save_processed(features: DataFrame, ids: DataFrame, path: str, hot_splits: int = 8) -> None:
+def save_processed(features: DataFrame, ids: DataFrame, path: str, hot_splits: int | None = None) -> None:
     """Features by market, market statistics and the wallet dimension. Rows of one market are spread
-    over several writers so a large market does not pass through one task."""
-    spread = features.repartition(F.col("market"), F.pmod(F.xxhash64("chunk"), F.lit(hot_splits)))
+    over several writers (as many as there are shuffle partitions), so a large market does not pass through one task."""
+    n = hot_splits or width(features)
+    spread = features.repartition(F.col("market"), F.pmod(F.xxhash64("chunk"), F.lit(n)))
     spread.write.mode("overwrite").partitionBy("market").parquet(f"{path}/features")
     features.groupBy("market").agg(F.count(F.lit(1)).alias("n_trades"), F.max("s_bar").alias("s_bar")) \
             .write.mode("overwrite").parquet(f"{path}/market_stats")
@@ -119,6 +121,7 @@ def replay_provenance(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- metadata ---------------------------------------------------------------------------------------
 
+# Field names in the order of precedence.
 CLOSE_KEYS = ("close_ts", "close_time", "end_date", "endDate")
 MARKET_KEYS = ("market", "condition_id", "ticker", "conditionId", "slug")
 OUTCOME_KEYS = ("outcome", "result", "settlement", "winning_outcome", "resolved_to")
@@ -157,10 +160,14 @@ def resolutions(records: DataFrame) -> DataFrame:
     return records.select(market.alias("market"), close.alias("close_ts")).where("close_ts IS NOT NULL")
 
 
+# The words that settle a market.
+YES_WORDS, NO_WORDS = ("yes", "y", "true", "1", "up"), ("no", "n", "false", "0", "down")
+
+
 def verdict_value(text):
     """Settled payout of a text: a yes/no word; a price settles nothing."""
     t = F.lower(F.trim(text))
-    return F.when(t.isin("yes", "y", "true", "1", "up"), 1.0).when(t.isin("no", "n", "false", "0", "down"), 0.0)
+    return F.when(t.isin(*YES_WORDS), 1.0).when(t.isin(*NO_WORDS), 0.0)
 
 
 def _exact(number):
@@ -183,15 +190,38 @@ def outcomes(records: DataFrame) -> DataFrame:
     return records.select(market.alias("market"), settled.alias("outcome")).where("outcome IS NOT NULL")
 
 
+def manifest_faults(manifest: DataFrame, schema_version: int = 1) -> DataFrame:
+    """``fault`` texts of a manifest row: what is missing or wrong, with the place of the entry where it is one of a list."""
+    def each(column: str, missing, text: str):
+        return F.transform(F.filter(F.transform(F.coalesce(column, F.array()), lambda m, i: F.when(missing(m), i)), lambda i: i.isNotNull()),
+                           lambda i: F.format_string(text, i))
+
+    start, end = parse_iso("analysis_window.start"), parse_iso("analysis_window.end")
+    one = lambda bad, text: F.when(F.coalesce(bad, F.lit(True)), F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    faults = F.concat(
+        one(F.col("schema_version") != schema_version, "unsupported manifest version"), one(blank(F.col("case")), "no case id"),
+        one(F.coalesce(F.size("markets"), F.lit(0)) < 1, "no markets"),
+        each("markets", lambda m: blank(m["slug"]), "markets[%d]: no slug"), each("markets", lambda m: blank(m["condition_id"]), "markets[%d]: no condition id"),
+        one(start.isNull() | end.isNull() | (start > end), "no valid window"),
+        each("doj_timeline", lambda e: parse_iso(e["ts"]).isNull(), "doj_timeline[%d]: no valid time"),
+        each("doj_timeline", lambda e: blank(e["label"]), "doj_timeline[%d]: no label"))
+    return manifest.select(F.explode(faults).alias("fault"))
+
+
 def load_manifest(spark: SparkSession, path: str, schema_version: int = 1) -> DataFrame:
-    """Case manifest as one nested row, refused when the version or a required part is wrong."""
+    """Case manifest as one nested row, refused with all its faults when the version, a key of an entry, a time, the window or the
+    anchor's pattern is wrong. A manifest is one small file by nature."""
     df = spark.read.schema(MANIFEST_DDL).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    row = scalar_row(df.select("schema_version", "case", F.size("markets").alias("n"), parse_iso("analysis_window.start").alias("a"),
-                               parse_iso("analysis_window.end").alias("b")))
-    if row["schema_version"] != schema_version:
-        raise ValueError("unsupported manifest version")
-    if not row["case"] or not row["n"] or row["n"] < 1 or row["a"] is None or row["b"] is None or row["a"] > row["b"]:
-        raise ValueError("manifest lacks a case id, markets or a valid window")
+    faults = sorted(r["fault"] for r in manifest_faults(df, schema_version).collect())
+    pattern = scalar_row(df.select("wallet_anchor.address_pattern"))
+    if pattern is not None and pattern[0] is not None:
+        try:
+            re.compile(pattern[0])
+        except re.error as exc:
+            faults.append(f"anchor pattern is no regular expression ({exc})")
+    if faults:
+        raise ValueError("; ".join(faults))
     return df
 
 

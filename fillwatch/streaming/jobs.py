@@ -44,6 +44,18 @@ def read_frame_stream(spark: SparkSession, folder: str, files_per_trigger: int |
     return decode_frames(reader.load(folder))
 
 
+#: Market of the row that ends a finite capture, and its time (the last second of the year 9999).
+END_MARKET, END_TS = "__end__", 253_402_300_799
+
+
+def end_capture(spark: SparkSession, folder: str) -> None:
+    """Append the end marker to a finite capture. A stream that reads it moves its watermark behind all real trades, so open windows
+    and sessions are closed and come out; later trades would be late, so a capture that goes on must not be ended."""
+    row = spark.createDataFrame([(END_MARKET, END_TS)], "market STRING, ts BIGINT")
+    empty = [F.lit(None).cast("string").alias(c) for c in ("price", "size", "wallet", "side", "tx_hash")]
+    as_capture(row.select("*", *empty)).write.mode("append").json(folder)
+
+
 def sink(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json", available_now: bool = True):
     """Append-only exactly-once file sink."""
     w = stream.writeStream.format(fmt).outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
@@ -62,6 +74,65 @@ def unique_trades(stream: DataFrame, horizon: str = "1 hour") -> DataFrame:
     return ok.withWatermark("event_time", horizon).dropDuplicatesWithinWatermark(["tx_hash"])
 
 
+class TradeRouter(StatefulProcessor):
+    """Sends each trade of a hash bucket one way: ``trade`` (first of its hash), ``duplicate``, ``late`` or ``invalid``."""
+
+    def __init__(self, horizon: float, ttl_seconds: float, columns: list[str]):
+        self.horizon, self.ttl_ms, self.columns = horizon, int(ttl_seconds * 1000), columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "tx_hash STRING", "ts DOUBLE", self.ttl_ms)
+        self.top = handle.getValueState("top", "ts DOUBLE")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.top.get()[0] if self.top.exists() else None
+        top = before
+        for batch in rows:  # slices of the micro-batch; none is held
+            kinds, lates = [], []
+            for ok, tx, ts in zip(batch["ok"], batch["tx_hash"], batch["ts"]):
+                late = None
+                if not ok:
+                    kind = "invalid"
+                elif before is not None and ts < before - self.horizon:
+                    kind, late = "late", before - ts
+                elif self.seen.containsKey((tx,)):
+                    kind = "duplicate"
+                else:
+                    kind = "trade"
+                    self.seen.updateValue((tx,), (float(ts),))
+                    top = float(ts) if top is None else max(top, float(ts))
+                kinds.append(kind)
+                lates.append(late)
+            out = batch[self.columns].copy()
+            out["kind"], out["late_by"] = kinds, pd.Series(lates, dtype="float64", index=out.index)
+            yield out
+        if top is not None and top != before:
+            self.top.update((top,))
+
+    def close(self) -> None:
+        pass
+
+
+def route_trades(stream: DataFrame, horizon: float = 3600.0, ttl_seconds: float = 86_400.0, buckets: int = 64) -> DataFrame:
+    """Every row of the stream once, with ``kind`` and, for late ones, ``late_by``: nothing is dropped uncounted.
+
+    State is kept per bucket of hashes, so no market is one key; a hash is forgotten ``ttl_seconds`` after it was seen. A row is
+    late if it is older by more than ``horizon`` than the newest trade that its bucket had before this micro-batch."""
+    _rocks(stream.sparkSession)
+    names = [c for c in stream.columns if c not in ("ok", "bucket", "kind", "late_by")]
+    fed = stream.select(*names, F.coalesce(valid_trade(), F.lit(False)).alias("ok"),
+                        F.pmod(F.xxhash64(F.coalesce("tx_hash", F.lit(""))), F.lit(buckets)).alias("bucket"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fed.select(*names).schema)
+    return fed.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=TradeRouter(horizon, ttl_seconds, names), outputStructType=f"{ddl}, kind STRING, late_by DOUBLE",
+        outputMode="Append", timeMode="ProcessingTime").where(~F.col("market").eqNullSafe(F.lit(END_MARKET)))
+
+
+def _rocks(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
 class MarketScorer(StatefulProcessor):
     """Scores a market's trades in (ts, hash) order and carries its state between micro-batches."""
 
@@ -109,10 +180,8 @@ def score_stream(trades: DataFrame, params: ModelParams, config: OnlineConfig =
                  theta: DataFrame | None = None, prior: Prior = Prior(), const=(0.0, 1.0, 0.0),
                  late: str = "mark") -> DataFrame:
     """Stateful scores per trade. ``late='fail'`` stops on a trade older than one already scored."""
-    spark = trades.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    fed = trades.select("market", "ts", "tx_hash", F.coalesce("wallet", F.lit("")).alias("wallet"), "price", "size")
+    _rocks(trades.sparkSession)
+    fed = trades.where(F.col("market") != END_MARKET).select("market", "ts", "tx_hash", F.coalesce("wallet", F.lit("")).alias("wallet"), "price", "size")
     if theta is not None:
         fed = fed.join(theta.select("wallet", F.col("theta").alias("warm")), "wallet", "left")
     return fed.groupBy("market").transformWithStateInPandas(
@@ -123,15 +192,17 @@ def score_stream(trades: DataFrame, params: ModelParams, config: OnlineConfig =
 # ---- feed health ---------------------------------------------------------------------------------------
 
 def feed_counts(stream: DataFrame, width: str = "1 hour", horizon: str = "1 hour") -> DataFrame:
-    """Trades, volume and distinct-second count per market and tumbling window."""
+    """Trades, volume and distinct seconds per market and tumbling window. Seconds of a window are a set, bounded by its width.
+    Windows still open at the end of a finite capture come out if it was ended by ``end_capture``."""
     timed = stream.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", horizon)
     return timed.groupBy("market", F.window("event_time", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("volume")).select(
-        "market", F.unix_seconds("w.start").alias("window_start"), "n_trades", "volume")
+        F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("volume"), F.size(F.collect_set("ts")).alias("n_seconds")) \
+        .where(F.col("market") != END_MARKET).select("market", F.unix_seconds("w.start").alias("window_start"), "n_trades", "volume", "n_seconds")
 
 
 def activity_sessions(stream: DataFrame, gap: str = "2 hours", horizon: str = "1 hour") -> DataFrame:
-    """Stretches of activity separated by silence of at least ``gap``."""
+    """Stretches of activity separated by silence of at least ``gap``; for the last one see ``feed_counts``."""
     timed = stream.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", horizon)
-    return timed.groupBy("market", F.session_window("event_time", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_trades")).select(
+    return timed.groupBy("market", F.session_window("event_time", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_trades")) \
+        .where(F.col("market") != END_MARKET).select(
         "market", F.unix_seconds("w.start").alias("session_start"), F.unix_seconds("w.end").alias("session_end"), "n_trades")
