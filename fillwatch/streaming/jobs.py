@@ -77,11 +77,11 @@ def unique_trades(stream: DataFrame, horizon: str = "1 hour") -> DataFrame:
 class TradeRouter(StatefulProcessor):
     """Sends each trade of a hash bucket one way: ``trade`` (first of its hash), ``duplicate``, ``late`` or ``invalid``."""
 
-    def __init__(self, horizon: float, ttl_seconds: float, columns: list[str]):
-        self.horizon, self.ttl_ms, self.columns = horizon, int(ttl_seconds * 1000), columns
+    def __init__(self, horizon: float, columns: list[str]):
+        self.horizon, self.columns = horizon, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "tx_hash STRING", "ts DOUBLE", self.ttl_ms)
+        self.seen = handle.getMapState("seen", "tx_hash STRING", "ts DOUBLE")
         self.top = handle.getValueState("top", "ts DOUBLE")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -108,15 +108,19 @@ class TradeRouter(StatefulProcessor):
             yield out
         if top is not None and top != before:
             self.top.update((top,))
+            if before is not None and top // self.horizon > before // self.horizon:
+                # a copy of what is older than the horizon would be late, so its hash need not be kept; once per horizon
+                for (tx,) in [k for k, v in self.seen.iterator() if v[0] < top - self.horizon]:
+                    self.seen.removeKey((tx,))
 
     def close(self) -> None:
         pass
 
 
-def route_trades(stream: DataFrame, horizon: float = 3600.0, ttl_seconds: float = 86_400.0, buckets: int = 64) -> DataFrame:
+def route_trades(stream: DataFrame, horizon: float = 3600.0, buckets: int = 64) -> DataFrame:
     """Every row of the stream once, with ``kind`` and, for late ones, ``late_by``: nothing is dropped uncounted.
 
-    State is kept per bucket of hashes, so no market is one key; a hash is forgotten ``ttl_seconds`` after it was seen. A row is
+    State is kept per bucket of hashes, so no market is one key; a hash is forgotten when its copies would be late. A row is
     late if it is older by more than ``horizon`` than the newest trade that its bucket had before this micro-batch."""
     _rocks(stream.sparkSession)
     names = [c for c in stream.columns if c not in ("ok", "bucket", "kind", "late_by")]
@@ -124,8 +128,8 @@ def route_trades(stream: DataFrame, horizon: float = 3600.0, ttl_seconds: float
                         F.pmod(F.xxhash64(F.coalesce("tx_hash", F.lit(""))), F.lit(buckets)).alias("bucket"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fed.select(*names).schema)
     return fed.groupBy("bucket").transformWithStateInPandas(
-        statefulProcessor=TradeRouter(horizon, ttl_seconds, names), outputStructType=f"{ddl}, kind STRING, late_by DOUBLE",
-        outputMode="Append", timeMode="ProcessingTime").where(~F.col("market").eqNullSafe(F.lit(END_MARKET)))
+        statefulProcessor=TradeRouter(horizon, names), outputStructType=f"{ddl}, kind STRING, late_by DOUBLE",
+        outputMode="Append", timeMode="None").where(~F.col("market").eqNullSafe(F.lit(END_MARKET)))
 
 
 def _rocks(spark: SparkSession) -> None:
@@ -191,18 +195,23 @@ def score_stream(trades: DataFrame, params: ModelParams, config: OnlineConfig =
 
 # ---- feed health ---------------------------------------------------------------------------------------
 
+def _not_end():
+    """An aggregate, so that the filter on it stays above the watermark that the marker moves."""
+    return (F.max("market") != END_MARKET).alias("real")
+
+
 def feed_counts(stream: DataFrame, width: str = "1 hour", horizon: str = "1 hour") -> DataFrame:
     """Trades, volume and distinct seconds per market and tumbling window. Seconds of a window are a set, bounded by its width.
     Windows still open at the end of a finite capture come out if it was ended by ``end_capture``."""
     timed = stream.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", horizon)
     return timed.groupBy("market", F.window("event_time", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("volume"), F.size(F.collect_set("ts")).alias("n_seconds")) \
-        .where(F.col("market") != END_MARKET).select("market", F.unix_seconds("w.start").alias("window_start"), "n_trades", "volume", "n_seconds")
+        F.count(F.lit(1)).alias("n_trades"), F.sum("size").alias("volume"), F.size(F.collect_set("ts")).alias("n_seconds"), _not_end()) \
+        .where("real").select("market", F.unix_seconds("w.start").alias("window_start"), "n_trades", "volume", "n_seconds")
 
 
 def activity_sessions(stream: DataFrame, gap: str = "2 hours", horizon: str = "1 hour") -> DataFrame:
     """Stretches of activity separated by silence of at least ``gap``; for the last one see ``feed_counts``."""
     timed = stream.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", horizon)
-    return timed.groupBy("market", F.session_window("event_time", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_trades")) \
-        .where(F.col("market") != END_MARKET).select(
+    return timed.groupBy("market", F.session_window("event_time", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_trades"), _not_end()) \
+        .where("real").select(
         "market", F.unix_seconds("w.start").alias("session_start"), F.unix_seconds("w.end").alias("session_end"), "n_trades")

@@ -79,3 +79,26 @@ def test_window_counts(spark, tmp_path):
     drain(jobs.feed_counts(jobs.read_capture_stream(spark, f"{base}/in"), "1 hour", "0 seconds"), base)
     out = spark.read.parquet(f"{base}/out")
     assert out.agg(F.max("n_trades")).first()[0] == 6 and out.agg(F.sum("volume")).first()[0] > 60
+
+
+def test_every_row_is_routed_once(spark, tmp_path):
+    base = str(tmp_path)
+    rs = [("m", "w", T0 + 1000 * k, .5, 1., "BUY", f"h{k}") for k in range(20)]
+    route = lambda: jobs.route_trades(jobs.read_capture_stream(spark, f"{base}/in"), 5000.0, 2)
+    feed(spark, rs[10:] + rs[10:12] + [("m", "w", T0, 0., 1., "BUY", "bad")], f"{base}/in")
+    drain(route(), base)
+    feed(spark, rs[:3] + rs[15:17], f"{base}/in")
+    jobs.end_capture(spark, f"{base}/in")
+    drain(route(), base)
+    got = {r.kind: r.n for r in spark.read.parquet(f"{base}/out").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert got == {"trade": 10, "duplicate": 4, "invalid": 1, "late": 3}
+    assert spark.read.parquet(f"{base}/out").where("kind = 'late' AND late_by <= 5000").count() == 0
+
+
+def test_end_marker_closes_open_windows(spark, tmp_path):
+    base = str(tmp_path)
+    feed(spark, [("m", "w", T0 + k * 600, .5, 2., "BUY", f"{k}") for k in range(40)], f"{base}/in")
+    jobs.end_capture(spark, f"{base}/in")
+    drain(jobs.feed_counts(jobs.read_capture_stream(spark, f"{base}/in")), base)
+    out = spark.read.parquet(f"{base}/out")
+    assert out.agg(F.sum("n_trades")).first()[0] == 40 and out.where("market <> 'm'").count() == 0 and out.agg(F.sum("n_seconds")).first()[0] == 40
