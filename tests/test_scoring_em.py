@@ -178,3 +178,43 @@ def test_level_falls_back_to_prior_mean(spark):
     t = trades(spark, random_trades(1, n=5))
     lev = scoring.with_level(t, ModelParams()).select(F.first("level")).first()[0]
     assert lev == pytest.approx(math.log(1 / 19))
+
+
+def test_no_pass_exchanges_packed_trades(spark):
+    """What lies above the packed segments of an E-step is a join without an exchange on their side."""
+    from fillwatch.operators.packed import pack_segments
+    _, f = rows_and_features(spark, n=60)
+    data = pack_segments(f, 20)
+    theta = spark.createDataFrame([("w1", 0.3)], "wallet STRING, theta DOUBLE")
+    plan = em.e_step(data, P, (0.0, 1.0, 0.0), theta, None)._jdf.queryExecution().executedPlan().toString()
+    trades_side = plan.split("ShuffledHashJoin")[1].split("ObjectHashAggregate")[0]
+    assert "Exchange" not in trades_side and "Bucketed: true" in trades_side
+
+
+def test_parameter_sets_may_differ_in_everything(spark):
+    _, f = rows_and_features(spark)
+    sets = [P, ModelParams(a=2.0, b=5.0, q_01=0.2), ModelParams(anonymous=True, alpha=-1.0)]
+    for n in (30, 100_000):
+        got = {(r.pset, r.market): r.log_marginal for r in scoring.log_marginals(f, sets, segment_rows=n).collect()}
+        for k, p in enumerate(sets):
+            for r in scoring.filter_scores(f, p).groupBy("market").agg(F.sum("log_evidence").alias("s")).collect():
+                assert got[k, r.market] == pytest.approx(r.s, abs=1e-8)
+
+
+def test_few_and_many_segments_walk_alike():
+    """Lock-step and plain floats give the same filter."""
+    from fillwatch.operators import lockstep
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 30, 90)
+    n = int(lengths.sum())
+    y, delta, lsr, theta = rng.normal(size=n), rng.exponential(5, n), rng.normal(size=n), rng.uniform(0.01, 0.6, n)
+    fresh, init = rng.random(90) < 0.5, rng.uniform(0.1, 0.9, (4, 2, 90))
+    sets = [P, ModelParams(q_01=0.3)]
+    before, found = lockstep.FEW, []
+    try:
+        for lockstep.FEW in (0, 10 ** 9):
+            found.append(lockstep.run(sets, (0.1, 1.3, 0.05), lengths, fresh, y, delta, lsr, lockstep.log_odds(sets, theta), init))
+    finally:
+        lockstep.FEW = before
+    for c in ("q", "mu", "var", "ev", "before", "ends"):
+        np.testing.assert_allclose(getattr(found[0], c), getattr(found[1], c), rtol=1e-9, atol=1e-12)
