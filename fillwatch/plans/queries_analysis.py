@@ -60,7 +60,24 @@ def _(t):
     return t.read("orders").select("o_orderkey", r(special.chi2_sf((F.col("o_orderkey") % 500) / F.lit(10.0), F.lit(8.0)), 9).alias("sf"))
 
 
-@query("mth7_quantiles")
+def binom_sql(q: str, n: str, p: str) -> str:
+    """Smallest k whose cumulative binomial probability reaches q."""
+    return f"""(SELECT min(k) FROM (SELECT k, sum(exp(lgamma({n} + 1.0) - lgamma(k + 1.0) - lgamma({n} - k + 1.0) + k * ln({p}) + ({n} - k) * ln(1 - {p}))) OVER (ORDER BY k) AS c
+      FROM (SELECT unnest(range({n} + 1)) AS k)) WHERE c >= {q} * (1 - 1e-12))"""
+
+
+def t_views(dofs: str, p: float = 0.975) -> dict[str, str]:
+    """``tq(dof, t)``: Student quantiles of ``dofs(dof)`` by halving an interval, the distribution function by Simpson's rule."""
+    density = "exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0)) / sqrt(dof * pi()) * pow(1 + pow(mid * j / 400, 2) / dof, -(dof + 1) / 2.0)"
+    below = f"0.5 + mid / 1200 * list_sum([CASE WHEN j = 0 OR j = 400 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * {density} for j in range(401)])"
+    return {"bis": f"""SELECT dof, 0.0e0 AS lo, 16.0e0 AS hi, 0 AS it FROM ({dofs})
+              UNION ALL SELECT dof, CASE WHEN c < {p} THEN mid ELSE lo END, CASE WHEN c < {p} THEN hi ELSE mid END, it + 1 FROM (
+              SELECT *, {below} AS c FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis b WHERE it < 45))""",
+            "tq": "SELECT dof, (lo + hi) / 2 AS t FROM bis WHERE it = 45"}
+
+
+@query("mth7_quantiles", sql(f"""SELECT o.dof, round(t, 6) AS t975, CAST({binom_sql('0.975', 'o.n', '0.1e0')} AS DOUBLE) AS binom975
+FROM (SELECT o_custkey % 50 + 2 AS dof, count(*) AS n FROM orders GROUP BY 1) o JOIN tq ON tq.dof = o.dof""", **t_views("SELECT DISTINCT o_custkey % 50 + 2 AS dof FROM orders")))
 def _(t):
     o = t.read("orders").groupBy((F.col("o_custkey") % 50 + 2).alias("dof")).agg(F.count("*").alias("n"))
     return o.select("dof", r(special.t_quantile(F.lit(0.975), F.col("dof").cast("double"))).alias("t975"),
@@ -285,9 +302,12 @@ def _(t):
     return s.select("o_orderstatus", "metric", r("min").alias("min"), r("max").alias("max"), r("mean", 4).alias("mean"), r("sd", 4).alias("sd"), r("spread", 4).alias("spread"))
 
 
-@query("agg9_mean_interval")
+@query("agg9_mean_interval", sql("""SELECT g.o_orderpriority, g.n, round(g.mean, 6) AS mean, round(tq.t * g.s / sqrt(g.n), 3) AS half_width
+FROM (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS s FROM orders GROUP BY 1) g JOIN tq ON tq.dof = g.n - 1""",
+    **t_views("SELECT DISTINCT count(*) - 1 AS dof FROM orders GROUP BY o_orderpriority")))
 def _(t):
-    return metrics.mean_interval(t.read("orders"), ["o_orderpriority"], "o_totalprice")
+    m = metrics.mean_interval(t.read("orders"), ["o_orderpriority"], "o_totalprice")
+    return m.select("o_orderpriority", "n", r("mean").alias("mean"), r("half_width", 3).alias("half_width"))
 
 
 METHOD_SQL = "SELECT CAST(o_custkey AS VARCHAR) AS label, round(min(o_totalprice), 2) AS seconds, round(max(o_totalprice), 2) AS auc FROM orders GROUP BY 1"
@@ -670,12 +690,6 @@ def _(t):
     return p.select("component", "n", *[r(c, d).alias(c) for c, d in (("ks_stat", 9), ("mean_pit", 9), ("var_pit", 9), ("band_half_width", 9), ("bias_z", 6), ("dispersion_z", 6))], "band_violation")
 
 
-def binom_sql(q: str, n: str, p: str) -> str:
-    """Smallest k whose cumulative binomial probability reaches q."""
-    return f"""(SELECT min(k) FROM (SELECT k, sum(exp(lgamma({n} + 1.0) - lgamma(k + 1.0) - lgamma({n} - k + 1.0) + k * ln({p}) + ({n} - k) * ln(1 - {p}))) OVER (ORDER BY k) AS c
-      FROM (SELECT unnest(range({n} + 1)) AS k)) WHERE c >= {q} * (1 - 1e-12))"""
-
-
 @query("cal5_bin_bands", sql(f"""SELECT component, bin, n, round(expected, 6) AS expected, CAST({binom_sql('0.0125e0 / 7 / 2', 'total', 'prob')} AS DOUBLE) AS band_lo,
 CAST({binom_sql('(1 - 0.0125e0 / 7 / 2)', 'total', 'prob')} AS DOUBLE) AS band_hi FROM (SELECT *, CAST(round(sum(n) OVER (PARTITION BY component)) AS BIGINT) AS total,
   expected / sum(n) OVER (PARTITION BY component) AS prob FROM h)""", "replicate_ranks", h=HIST_SQL))

@@ -59,10 +59,10 @@ def _(t):
                                               F.size("tags").alias("n_tags"), F.element_at("tags", 1).alias("tag"))
 
 
-@query("src6_tags")
+@query("src6_tags", sql("SELECT market || '|politics' AS tags FROM markets", "markets"))
 def _(t):
     m = t.markets.select(F.to_json(F.struct(F.array("market", F.lit("politics")).alias("tags"))).alias("value"))
-    return venues.normalize_markets(m).select("tags")
+    return venues.normalize_markets(m).select(F.array_join("tags", "|").alias("tags"))
 
 
 @query("src7_anonymous_trades", sql("""SELECT market, CAST(NULL AS VARCHAR) AS wallet, ts, CASE k WHEN 0 THEN round(price, 6) WHEN 1 THEN floor(price * 100) / 100 WHEN 2 THEN 1 - round(price, 6) ELSE 1 - floor(price * 100) / 100 END AS price,
