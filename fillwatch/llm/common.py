@@ -62,6 +62,34 @@ def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame],
     return docs.select(*[c.alias(n) for c, n in zip(quoted, names)]), lambda df: df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
+class Scratch:
+    """Tables written to the shared scratch folder that go as soon as their last reader is done."""
+
+    def __init__(self) -> None:
+        self.folders: set[str] = set()
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        return self.own(stored(df, name))
+
+    def own(self, table: DataFrame) -> DataFrame:
+        """``table``, just written to a folder of its own, which ``drop`` may delete."""
+        self.folders |= _folders(table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of ``tables`` that were stored here; nothing that reads them may run afterwards."""
+        for table in tables:
+            spark = table.sparkSession
+            for folder in _folders(table) & self.folders:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.folders.discard(folder)
+
+
+def _folders(table: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+
+
 def bucket_of(col: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``: the split rule of the labelled tasks."""
     return F.crc32(col.cast("string").cast("binary")) % modulus

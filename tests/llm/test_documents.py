@@ -293,6 +293,20 @@ def test_suffix_dedup(spark, rows):
     assert len(got) == len(df.collect()) and suffix_dedup.remove_repeats(df.where("doc_id < 0")).count() == 0
 
 
+def test_suffix_periods(spark):
+    """Periodic stretches of every length around a window, their edges, copies under other ids, and a very long run of one byte."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    edge = noise(300)
+    texts = [noise(200) + "xyz" * k + edge for k in (50, 120, 133, 134, 135, 200)] + ["ab" * 199 + "a", "ab" * 200, "ab" * 200 + "a", noise(90) + "-" * 390 + edge, "-" * 395 + edge]
+    texts += [noise(300) + "ä" * 260 + noise(300), noise(500) + "é" * 150 + texts[0], texts[3], noise(150) + ("q" * 130 + "\n") * 9 + noise(60), ("q" * 130 + "\n") * 3 + "q" * 20]
+    want = brute.repeats(list(enumerate(texts)))
+    df = spark.createDataFrame([*enumerate(texts), (90, "=" * 1_000_000)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got.pop(90)[:3] == (1_000_000, 1_000_000, 1)
+    assert got == want
+
+
 def test_suffix_ranks(spark):
     """Order of all suffixes of strings over few symbols, through several levels of recursion."""
     rng = random.Random(4)
