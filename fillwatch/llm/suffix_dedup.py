@@ -49,14 +49,28 @@ def _tables(base: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _power(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """base^at from a table of base^0..base^STEP."""
-    out = table[at % STEP]
-    high, factor = at // STEP, int(table[STEP])
-    top = int(high.max(initial=0))
-    if top:
-        steps = np.ones(top + 1, np.uint64)
-        steps[1:] = np.uint64(factor)
-        out = out * np.cumprod(steps, dtype=np.uint64)[high]
-    return out
+    if at.max(initial=0) < STEP:
+        return table[at]
+    high = at // STEP
+    return table[at - high * STEP] * _steps(table, int(high.max()) + 1)[high]
+
+
+def _powers(table: np.ndarray, n: int) -> np.ndarray:
+    """base^0, base^1, ... base^(n - 1)."""
+    if n <= STEP:
+        return table[:n]
+    return (_steps(table, -(-n // STEP))[:, None] * table[:STEP]).ravel()[:n]
+
+
+def _steps(table: np.ndarray, n: int) -> np.ndarray:
+    steps = np.ones(n, np.uint64)
+    steps[1:] = table[STEP]
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 class Hasher:
@@ -69,21 +83,23 @@ class Hasher:
     def lane(self, k: int) -> np.ndarray:
         if k not in self.sums:
             byte, up, _ = _tables(BASES[k], self.salt)
-            self.sums[k] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[self.b] * _power(up, np.arange(len(self.b))), dtype=np.uint64)])
+            self.sums[k] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte[self.b] * _powers(up, len(self.b)), dtype=np.uint64)])
         return self.sums[k]
 
     def ranges(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
         g = self.lane(k)
-        h = (g[end] - g[start]) * _power(_tables(BASES[k], self.salt)[2], start) + (end - start).astype(np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+        return _mixed((g[end] - g[start]) * _power(_tables(BASES[k], self.salt)[2], start) + (end - start).astype(np.uint64))
+
+    def everywhere(self, size: int) -> np.ndarray:
+        """Hash of the range of ``size`` bytes at every place, as ``ranges`` gives it."""
+        g = self.lane(0)
+        return _mixed((g[size:] - g[:-size]) * _powers(_tables(BASES[0], self.salt)[2], len(g) - size) + np.uint64(size))
 
 
 def anchors(h: Hasher) -> tuple[np.ndarray, np.ndarray]:
     """Places of the anchors of all windows of a text, ascending, and the first window of each."""
     n = len(h.b)
-    at = np.arange(n - GRAM + 1)
-    key = (h.ranges(at, at + GRAM) & np.uint64(_M - 0xFFFFFFFF)) | at.astype(np.uint64)
+    key = (h.everywhere(GRAM) & np.uint64(_M - 0xFFFFFFFF)) | np.arange(n - GRAM + 1, dtype=np.uint64)
     width, low, span = LENGTH - GRAM + 1, key, 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -352,7 +368,7 @@ def window_states(n: int, pos: np.ndarray, begin: np.ndarray, reach: np.ndarray)
     long = np.flatnonzero(reach >= LENGTH)
     np.add.at(mark, pos[long], 1)
     np.add.at(mark, np.minimum(pos[long] + reach[long] - LENGTH + 1, len(start)), -1)
-    own = np.searchsorted(begin, start, side="right") - 1
+    own = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(start)))
     return own, np.cumsum(mark)[:-1] > 0, reach[own] > 0
 
 
