@@ -134,15 +134,16 @@ def markov_spans(run: Column, table: list[float], least_ratio: float) -> Column:
                                                  F.substring(value, x["begin"] + 1, x["end"] - x["begin"]).alias("value")))
 
 
-def scan(docs: DataFrame, *, sample_rows: int = 5000, least_ratio: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, *, sample_rows: int = 5000, recurring: int = 3, least_ratio: float = 12.0) -> DataFrame:
     """``doc_id, spans`` of each row: ``spans`` is sorted by start, then kind, with ``start``, ``end`` (exclusive, code points),
     ``kind`` and ``value``.
 
     Base kinds are always kept. Of a run of ``LEAST`` or more credential characters, or what base spans leave of it, each stretch
     whose log-likelihood ratio is at least ``least_ratio`` is a ``markov`` span (see ``stretches``), drawn out to the ends
     of the letters and digits around it, as pairs at the edge of a random string may look ordinary. Random strings are labelled by the base patterns over all texts; ordinary identifiers
-    are the other runs of 8 or more characters that occur three times or more in about ``sample_rows`` texts, picked by a hash
-    (random strings hardly recur). Null and empty texts have no spans.
+    are the other runs of 8 or more characters that occur ``recurring`` times or more in about ``sample_rows`` texts, picked by a hash
+    (random strings hardly recur), and all runs there without a letter (numbers are ordinary though each comes once). Null and empty
+    texts have no spans.
     Repeated rows stay, an empty table gives an empty result, other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -152,7 +153,8 @@ def scan(docs: DataFrame, *, sample_rows: int = 5000, least_ratio: float = 12.0)
     n = max(1, found.count())
     sampled = docs.where(unit_hash("doc_id", F.lit("secrets")) * n < sample_rows).select(F.explode(F.regexp_extract_all(
         F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " "), F.lit(IDENTIFIER), F.lit(0))).alias("s"))
-    table = train(random, sampled.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("s"))
+    table = train(random, sampled.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(
+        (F.col("n") >= recurring) | ~F.col("s").rlike("[A-Za-z]")).select("s"))
     base = F.array_sort("base")
     parts = F.filter(F.flatten(F.transform("runs", lambda r: outside(r, base))), lambda r: F.length(r["value"]) >= LEAST)
     flagged = F.flatten(F.transform(parts, lambda r: markov_spans(r, table, least_ratio)))
