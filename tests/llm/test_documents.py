@@ -181,6 +181,39 @@ def test_mixing_fills_past_a_long_document(spark):
             assert all(len(r["shards"]) == r["copies"] and all(0 <= x < 4 for x in r["shards"]) for r in mine)
 
 
+def test_mixing_fills_places_shared_by_repeated_ids(spark):
+    """Rows of one id have one place; the sum taken never passes the target, and what is missing is less than any row left."""
+    rng = random.Random(21)
+    table = [(k // 3, "w " * rng.randint(1, 90), "en", "a") for k in range(600)] + [(None, "w " * 7, "en", "a")] * 2 + [(900, None, "en", "a"), (901, "", "en", "a")]
+    for seed in (1, 5):
+        got = mixing.mix_sources(frame(spark, table), block_words=700, shard_bits=2, seed=seed, share=0.37).collect()
+        assert len(got) == len(table)
+        gap = got[0]["target"] - sum(r["taken"] for r in got)
+        alone = Counter(r["doc_id"] for r in got)
+        left = [r["size"] for r in got if r["copies"] == 0 and r["size"] > 0 and alone[r["doc_id"]] == 1]
+        assert 0 <= gap <= 3 * 90 and (not left or gap < min(left) + 1)
+        assert all(r["taken"] == 0 for r in got if r["size"] == 0 and r["doc_id"] in (900, 901))
+
+
+def test_fill_takes_what_a_plain_walk_takes(spark):
+    """The ranges of ``fill`` against a walk over the places of each source, with long documents in between."""
+    rng = random.Random(22)
+    items = [(key, rng.randrange(40), rng.random(), rng.choice([1, 2, 5, 30, 200, 900])) for key in "abc" for _ in range(500)]
+    gaps = {"a": 1500, "b": 37, "c": 10**6}
+    got = {r["key"]: r["takes"] for r in mixing.fill(
+        spark.createDataFrame(items, "key string, block long, u double, words long"),
+        spark.createDataFrame([(k, g, 3, 0.5) for k, g in gaps.items()], "key string, gap long, block long, u double")).collect()}
+    for key, gap in gaps.items():
+        mine = sorted(x[1:] for x in items if x[0] == key)
+        want, room = [], gap
+        for block, u, words in mine:
+            if (block, u) > (3, 0.5) and words <= room:
+                want.append((block, u, words))
+                room -= words
+        taken = [x for x in mine if any((t["from_block"], t["from_u"]) < x[:2] < (t["to_block"], t["to_u"]) and x[2] <= t["most"] for t in got[key])]
+        assert taken == want, key
+
+
 def test_splitting_tree(spark):
     quotas = [1000, 0, 37, 3, 500]
     leaves = mixing.split_quotas(spark.createDataFrame([(quotas,)], "quota array<long>"), 3, 9).collect()
@@ -325,6 +358,8 @@ def test_language_id(spark, docs, nothing):
     assert all(got[d]["lang_pred"] == "und" and got[d]["score"] == 0 for d in (0, 1, 2))
     assert all(0 <= r["score"] <= 1 and r["h"] == 7 for r in got.values())
     assert language_id.identify(nothing, model).count() == 0
+    few = language_id.fit(docs.select("doc_id", "text", "lang"), max_languages=1)
+    assert len(few.languages) == 1 and len(few.table.shape) == 2 and few.table.shape[1] == 1
     none = language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
@@ -367,6 +402,24 @@ def test_markov_ratio_finds_random_strings(spark):
     assert [(s["start"], s["end"], s["kind"]) for s in got[9000]["spans"]] == [(10, 50, 3)] and got[9001]["spans"] == []
 
 
+def test_markov_leaves_numbers_alone(spark):
+    """No card number, date or account number is a span, and nine of ten planted keys are."""
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts, planted = [], {}
+    for k, r in enumerate(spark.read.parquet(f"{DATA}/documents.parquet").collect()):
+        text = f"{r['text'] or ''}\npaid with {rng.randrange(10**15, 10**16)} on 20240{k % 9 + 1}1{k % 10} under {rng.randrange(10**11, 10**14)} token={rng.getrandbits(160):040x}\n"
+        if k % 5 == 0:
+            n = rng.choice([20, 24, 32, 40])
+            planted[r["doc_id"]] = (len(text), len(text) + n)
+            text += "".join(rng.choice(letters) for _ in range(n))
+        texts.append((r["doc_id"], text))
+    got = secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in got}
+    assert all(any(c.isalpha() for c in s["value"]) for r in got for s in r["spans"] if s["kind"] == 3)
+    assert sum(found[d] == [at] for d, at in planted.items()) >= 0.9 * len(planted)
+
+
 def test_markov_stretches_inside_runs(spark):
     """Keys after ordinary characters, beside base spans, two in a run, and of an alphabet that the labelled strings (all hex) lack."""
     rng = random.Random(7)
