@@ -19,6 +19,8 @@ SHARE = 1.5
 LIMIT = 2
 BLOCK_WORDS = 65_536
 SUPER_BITS = 10  # blocks added up in one window
+SLICES = 1024  # of one block, added up in one window
+_TAKES = "array<struct<from_block:long,from_u:double,to_block:long,to_u:double,most:long>>"
 
 
 def word_count(text: str = "text") -> Column:
@@ -100,6 +102,11 @@ def _block(blocks: Column, seed: int) -> Column:
     return F.floor(unit_hash(F.lit(seed), F.col("doc_id")) * blocks).cast("long")
 
 
+def _place(seed: int) -> Column:
+    """Place of a document within its block, from 0 to below 1."""
+    return unit_hash(F.lit(seed), F.lit("fill"), F.col("doc_id"))
+
+
 def _running(blocks: DataFrame) -> DataFrame:
     """``blocks(key, block, words, ...)`` with ``upto``, the words of the source's blocks up to each."""
     blocks = blocks.withColumn("super", F.shiftright("block", SUPER_BITS))
@@ -109,31 +116,49 @@ def _running(blocks: DataFrame) -> DataFrame:
     return blocks.join(supers, ["key", "super"]).withColumn("upto", F.col("base") + F.sum("words").over(inside))
 
 
-def fill(items: DataFrame, gaps: DataFrame, seed: int) -> DataFrame:
-    """``key, chosen``: the ids of the ``items(key, block, doc_id, words)`` that fill the ``gaps(key, gap)`` until none left fits.
+def _after(block: Column, u: Column) -> Column:
+    """A document's place in its source can be compared with the place at ``block, u``."""
+    return F.struct("block", "u") > F.struct(block, u)
+
+
+def fill(items: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``key, takes``: which of the ``items(key, block, u, words)`` fill the ``gaps(key, gap, block, u)`` behind a place, until none left fits.
+
+    A source's documents are in the order of (block, u). Each round passes over those longer than the gap and takes the others up
+    to the first that does not fit any more; the next round starts behind it with what is left. That is less than the document at which the
+    round ended, so a few rounds settle all sources. A take is a range of places, ends exclusive, and the largest size in it.
 
-    Each round drops the items longer than their source's gap and takes the others in the order of their blocks, within a
-    block at random, each that still fits, up to the first block that does not fit whole; the next round starts behind it.
-    What such a block leaves the gap with is less than any document left in it, so a few rounds settle all sources. One
-    row of a round holds a gap's documents and one block's."""
-    gaps, chosen = stored(gaps.withColumn("done", F.lit(-1).cast("long")), "mix-gaps"), None
+    The end of a round is found by sums over blocks, then over ``SLICES`` slices of one block, then over the rows of one slice; no
+    task folds a source."""
+    takes, gaps = None, stored(gaps.select("key", "gap", F.col("block").alias("from_block"), F.col("u").alias("from_u")), "mix-gaps")
     while True:
-        open_items = items.join(gaps, "key").where((F.col("block") > F.col("done")) & (F.col("words") <= F.col("gap")))
-        blocks = stored(open_items.groupBy("key", "block").agg(F.sum("words").alias("words"), F.first("gap").alias("gap")), "mix-fill-blocks")
-        if blocks.isEmpty():
+        items = stored(items.join(gaps, "key").where(_after(F.col("from_block"), F.col("from_u")) & (F.col("words") <= F.col("gap")))
+                       .select("key", "block", "u", "words"), "mix-open")
+        if items.isEmpty():
             break
-        last = _running(blocks).groupBy("key").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("gap"), F.col("block"))), F.max("block")).alias("last"))
-        order = F.sort_array(F.collect_list(F.struct("block", unit_hash(F.lit(seed), F.lit("fill"), F.col("doc_id")).alias("u"), "words", "doc_id")))
-        took = F.aggregate(
-            order, F.struct(F.max("gap").alias("room"), F.array().cast("array<long>").alias("ids")),
-            lambda s, x: F.when(x["words"] <= s["room"], F.struct((s["room"] - x["words"]).alias("room"), F.concat(s["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(s))
-        picked = stored(open_items.join(last, "key").where("block <= last").groupBy("key").agg(took.alias("took"), F.max("last").alias("done"))
-                        .select("key", F.col("took.room").alias("gap"), "done", F.col("took.ids").alias("ids")), "mix-picked")
-        chosen = picked.select("key", "ids") if chosen is None else chosen.unionByName(picked.select("key", "ids"))
-        gaps = picked.select("key", "gap", "done").where("gap > 0")
-    if chosen is None:
-        return gaps.select("key", F.array().cast("array<long>").alias("chosen")).limit(0)
-    return chosen.groupBy("key").agg(F.flatten(F.collect_list("ids")).alias("chosen"))
+        blocks = stored(items.groupBy("key", "block").agg(F.sum("words").alias("words")), "mix-fill-blocks")
+        over = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("block", (F.col("upto") - F.col("words")).alias("given"))))
+        ends = stored(_running(blocks).join(gaps, "key").groupBy("key", "gap", "from_block", "from_u").agg(over.alias("over"), F.max("upto").alias("all"))
+                      .select("key", "gap", "from_block", "from_u", "all", F.col("over.block").alias("last"), F.col("over.given").alias("given")), "mix-ends")
+        inside = items.join(ends.where("last is not null").select("key", "gap", "last", "given"), "key").where("block = last").withColumn(
+            "slice", F.floor(F.col("u") * SLICES))
+        by_slice = Window.partitionBy("key").orderBy("slice")
+        slices = inside.groupBy("key", "slice", "gap", "given").agg(F.sum("words").alias("words")).withColumn("upto", F.col("given") + F.sum("words").over(by_slice))
+        slices = stored(slices.where("upto > gap").groupBy("key").agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("given"))).alias("s"))
+                        .select("key", "s.slice", F.col("s.given").alias("before")), "mix-slices")
+        by_place = Window.partitionBy("key").orderBy("u")  # rows at one place are taken or left together
+        stops = inside.join(slices, ["key", "slice"]).withColumn("upto", F.col("before") + F.sum("words").over(by_place)).groupBy("key").agg(
+            F.min(F.when(F.col("upto") > F.col("gap"), F.col("u"))).alias("to_u"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.max("before")).alias("taken"))
+        done = stored(ends.join(stops, "key", "left").select(
+            "key", "gap", "from_block", "from_u", F.coalesce("last", F.lit((1 << 63) - 1)).alias("to_block"), F.coalesce("to_u", F.lit(0.0)).alias("to_u"),
+            (F.col("gap") - F.coalesce("taken", "all")).alias("rest")), "mix-takes")
+        own = done.select("key", F.struct("from_block", "from_u", "to_block", "to_u", F.col("gap").alias("most")).alias("take"))
+        takes = own if takes is None else takes.unionByName(own)
+        gaps = stored(done.where("rest > 0").select("key", F.col("rest").alias("gap"), F.col("to_block").alias("from_block"), F.col("to_u").alias("from_u")), "mix-gaps")
+    if takes is None:
+        return gaps.select("key", F.array().cast(_TAKES).alias("takes")).limit(0)
+    return takes.groupBy("key").agg(F.collect_list("take").alias("takes"))
 
 
 def mixing_plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, shard_bits: int = 6, seed: int = 1, weights=WEIGHTS,
@@ -141,8 +166,8 @@ def mixing_plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, shard_bits:
     """One row per source: targets, blocks, quotas and the shards' ranges, from ``sized(doc_id, source, size)``.
 
     A source gives ``full`` whole passes over its blocks, then its first ``whole`` blocks once more, and of the others the
-    documents ``chosen`` (see ``fill``), so that what is missing to the target is less than any document left in the source.
-    Rows that repeat a document id are taken together."""
+    documents that ``takes`` describe (see ``fill``), so that what is missing to the target is less than any document left in the
+    source. Rows that repeat a document id have one place; those of them that fit are taken together."""
     keyed = sized.select("doc_id", _key().alias("key"), "size")
     sizes = stored(keyed.groupBy("key").agg(F.sum("size").alias("size")), "mix-sources")
     target = source_targets(sizes, weights=weights, share=share, limit=limit)
@@ -158,31 +183,34 @@ def mixing_plan(sized: DataFrame, *, block_words: int = BLOCK_WORDS, shard_bits:
     info = stored(info.join(whole, "key", "left").withColumn("whole", F.coalesce("whole", F.lit(0))).withColumn(
         "gap", F.col("rest") - F.coalesce("given", F.lit(0))).drop("given"), "mix-passes")
     items = keyed.withColumnRenamed("size", "words").join(info.where("gap > 0"), "key").withColumn("block", _block(F.col("blocks"), seed)).where(
-        (F.col("block") >= F.col("whole")) & (F.col("words") > 0)).groupBy("key", "block", "doc_id").agg(
-        F.sum("words").alias("words"), F.first("gap").alias("gap")).where("words <= gap")
-    chosen = fill(stored(items.drop("gap"), "mix-items"), info.where("gap > 0").select("key", "gap"), seed)
-    info = stored(info.join(chosen, "key", "left").withColumn("chosen", F.coalesce("chosen", F.array().cast("array<long>"))).withColumn(
-        "quota", F.col("full") * F.col("blocks") + F.col("whole") + (F.size("chosen") > 0).cast("long")), "mix-quotas")
+        (F.col("block") >= F.col("whole")) & (F.col("words") > 0) & (F.col("words") <= F.col("gap"))).select("key", "block", _place(seed).alias("u"), "words")
+    chosen = fill(items, info.where("gap > 0").select("key", "gap", (F.col("whole") - 1).alias("block"), F.lit(1.0).alias("u")))
+    info = stored(info.join(chosen, "key", "left").withColumn("takes", F.coalesce("takes", F.array().cast(_TAKES))).withColumn(
+        "quota", F.col("full") * F.col("blocks") + F.col("whole") + (F.size("takes") > 0).cast("long")), "mix-quotas")
     leaves = split_quotas(info.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quota")), shard_bits, seed)
     ranges = leaves.select("shard", F.posexplode("quota").alias("rank", "n")).groupBy("rank").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("shard", "n"))), lambda x: x["n"]).alias("per_shard"))
     ends = F.transform(_numbers("per_shard"), lambda k: F.aggregate(F.slice("per_shard", F.lit(1), k), F.lit(0).cast("long"), lambda s, x: s + x))
     return stored(info.join(ranges.select("rank", ends.alias("ends")), "rank"), "mix-plan").select(
-        "key", F.col("size").alias("source_size"), "target", "blocks", "full", "whole", "chosen", "ends")
+        "key", F.col("size").alias("source_size"), "target", "blocks", "full", "whole", "takes", "ends")
 
 
-def mix(docs: DataFrame, plan: DataFrame, *, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, plan: DataFrame, *, seed: int = 1, size: Column | None = None) -> DataFrame:
     """``docs`` (all columns) with ``source_size``, ``target``, ``copies`` and ``shards``, the shard of each copy.
 
+    ``size`` is the number of words of a row, counted from ``text`` if not given; it is only looked at inside a take.
     The plan has a row per source; a source with a third of all rows is split by the skew join where it is too large to
     broadcast."""
     rows = docs.drop("source_size", "target", "copies", "shards").withColumn("key", _key()).join(plan, "key")
     rows = rows.withColumn("block", _block(F.col("blocks"), seed))
-    more = (F.col("block") < F.col("whole")) | F.exists("chosen", lambda x: x.eqNullSafe(F.col("doc_id").cast("long")))
+    rows = rows.withColumn("u", _place(seed))
+    words = word_count() if size is None else size
+    more = (F.col("block") < F.col("whole")) | F.exists("takes", lambda t: _after(t["from_block"], t["from_u"]) & (
+        F.struct("block", "u") < F.struct(t["to_block"], t["to_u"])) & (words > 0) & (words <= t["most"]))
     rows = rows.withColumn("copies", (F.col("full") + more.cast("long")).cast("int"))
     place = F.transform(F.slice(F.sequence(F.lit(0), F.greatest("copies", F.lit(1))), F.lit(1), F.col("copies")), lambda p: F.size(
         F.filter("ends", lambda e: e <= F.least(p * F.col("blocks") + F.col("block"), F.col("full") * F.col("blocks") + F.col("whole")))))
-    return rows.withColumn("shards", place).drop("key", "blocks", "full", "whole", "chosen", "ends", "block")
+    return rows.withColumn("shards", place).drop("key", "blocks", "full", "whole", "takes", "ends", "block", "u")
 
 
 def mixed_rows(mixed: DataFrame, *, seed: int = 1) -> DataFrame:
@@ -201,5 +229,5 @@ def mix_sources(docs: DataFrame, *, seed: int = 1, **options) -> DataFrame:
     hashes of ids and the seed, so reruns agree.
     """
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-sizes")
-    out = mix(sized, mixing_plan(sized, seed=seed, **options), seed=seed)
+    out = mix(sized, mixing_plan(sized, seed=seed, **options), seed=seed, size=F.col("size"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "shards")
