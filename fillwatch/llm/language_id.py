@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillwatch.llm.common import find_words, map_rows, unit_hash
+from fillwatch.llm.common import find_words, map_rows, stored, unit_hash
 from fillwatch.llm.ngrams import sums_by_word, word_ngrams
 
 #: First code points of the script ranges, from the Unicode block list; 0 is "no script of its own".
@@ -74,15 +74,18 @@ def _tally(bits: int):
     return count
 
 
-def fit(labelled: DataFrame, *, rows_per_language: int = 3000, bits: int = 16, penalty: float = 12.0, min_script: float = 0.01) -> LanguageModel:
+def fit(labelled: DataFrame, *, rows_per_language: int = 3000, bits: int = 16, penalty: float = 12.0, min_script: float = 0.01,
+        max_languages: int = 200) -> LanguageModel:
     """Model of ``labelled(doc_id, text, lang)``; rows without text or language are ignored.
 
     The sample is bounded: about ``rows_per_language`` whole texts of each language, picked by a hash of the row so that
-    reruns agree. What reaches the driver is one count per language and bucket, ``languages * 2**bits`` numbers.
+    reruns agree. Of more than ``max_languages`` values of ``lang`` those with most rows are learned (ties: the smaller name). What reaches
+    the driver is one count per language and bucket, at most ``max_languages * 2**bits`` numbers. Texts are not exchanged: the
+    numbers of rows are counted without them and, a row per language, go to where the texts are read.
     ``min_script``: smallest share of a language's letters that makes a script one of its own.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages), "language-sizes")
     sample = rows.join(n, "lang").where(unit_hash("doc_id", F.lit("language")) * F.col("n") < rows_per_language)
     counts = map_rows(sample.select("text", "lang"), _tally(bits), "lang string, key long, n double") \
         .groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()

@@ -66,7 +66,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", bucket_of(F.col("doc_id"), 5) == 0)
     model = language_id.fit(docs.where("not held_out").select("doc_id", "text", "lang"))
-    return language_id.identify(docs.select("doc_id", "held_out", "text"), model, spans=False).drop("text")
+    return docs.select("doc_id", "held_out", language_id.labels(docs, model).alias("label")).select("doc_id", "held_out", "label.*")
 
 
 @query
