@@ -19,8 +19,11 @@ find_words = re.compile(WORD).findall
 
 
 def open_session(spark: SparkSession) -> None:
-    """Ship the package and keep Arrow batches small enough for a worker that holds long texts."""
+    """Ship the package, keep Arrow batches small enough for a worker that holds long texts, and let the files of a shuffle go at
+    the end of its query: operators go on from stored tables."""
     prepare(spark)
+    if spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true":
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "1000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

@@ -5,7 +5,7 @@ hash and subsets of the partitions are enumerated such that two similar sets of
 of them entirely; the hash of that content is a signature that both have.
 
 For an instance with largest size R two similar sets differ in at most k = 2 R (1 - g) / (1 + g) elements. Of
-n1 = k // 2 + 1 + spare first-level partitions at least 1 + spare hold at most one difference, and of the n2 = ``PARTS`` parts of
+n1 = k // 2 + 1 + spare first-level partitions (the spare ones by expected cost) at least 1 + spare hold at most one difference, and of the n2 = ``PARTS`` parts of
 such a partition all but one (the subsets of size n2 - k2 with k2 = 1) hold none together. A subset that is empty says nothing;
 a set with an empty subset in more than ``spare`` partitions is "bare" and is cut again by another hash. Two bare sets meet
 there; if one of two similar sets is not bare, they agree on a subset with content. No signature of an empty subset is needed,
@@ -17,6 +17,7 @@ share a passage of half their shingles agree on one in 300 of them; with two par
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ from fillwatch.llm.components import components
 WORDS = 4
 FAMILIES = 8
 PARTS = 3
+PASSES = 4  # over the signatures
 SLICE_BYTES = 4 << 20  # of texts whose words are held at once
 SMALL = 8  # buckets of so many members are paired by a join, larger ones in blocks
 BLOCK = 1024
@@ -59,14 +61,28 @@ def shingle_set(text: str | None, width: int = WORDS) -> set:
     return set(zip(*[words[k:] for k in range(width)]))
 
 
+def _spare(size: int, differing: int) -> int:
+    """Spare partitions for which a set of a band costs the fewest signatures: more of them are more signatures and smaller
+    partitions, fewer leave more sets bare. Judged by Poisson counts at sizes that the sets of a band and of the one before have."""
+    def cost(spare: int) -> float:
+        n1, total = differing + 1 + spare, 0.0
+        for part in (0.57, 0.63, 0.75, 0.9):
+            empty = n1 * min(1.0, PARTS * math.exp(-part * size / n1 * (PARTS - 1) / PARTS))  # expected partitions with an empty subset
+            bare = 0.5 * math.erfc((spare + 0.5 - empty) / math.sqrt(2 * empty + 1e-9))
+            total += n1 * min(1 / (1 - bare + 1e-9), FAMILIES)
+        return total
+
+    return min({differing * k // 24 + j for k in range(37) for j in (0, 1, 2)}, key=cost)
+
+
 @lru_cache(maxsize=4)
 def bands(percent: int) -> list[tuple[int, int, int]]:
     """(largest size, first-level partitions, spare) of each instance; sizes grow by half."""
     out, size = [], 1
     while size < 1 << 40:
         k = 2 * size * (100 - percent) // (100 + percent)
-        n1 = k // 2 + 1
-        out.append((size, n1 + n1 // 16, n1 // 16) if k else (size, 0, 0))
+        spare = _spare(size, k // 2)
+        out.append((size, k // 2 + 1 + spare, spare) if k else (size, 0, 0))
         size = max(size + 1, size * 3 // 2)
     return out
 
@@ -263,11 +279,14 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
         if heads.where("lo <> hi").isEmpty():
             break
         salt += 1
-    # One exchange of all signatures; a window streams through them, and what is not shared goes before anything is written.
+    # Each pass exchanges its share of the signatures, so that they are never all on disk at once; a window streams through
+    # them, and what is not shared goes before anything is written.
     whole = Window.partitionBy("sig")
-    members = stored(
-        live.select("h", F.explode("sigs").alias("sig")).repartition("sig").groupBy("sig", "h").agg(F.lit(1).alias("one"))
-        .select("sig", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo < hi").select("sig", "h"), "jaccard-members")
+    members = None
+    for k in range(PASSES):
+        own = live.select("h", F.explode("sigs").alias("sig")).where(F.pmod("sig", F.lit(PASSES)) == k).repartition("sig").groupBy("sig", "h").agg(F.lit(1).alias("one"))
+        own = stored(own.select("sig", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo < hi").select("sig", "h"), "jaccard-members")
+        members = own if members is None else members.unionByName(own)
     label = None
     if not members.isEmpty():
         shared = stored(members.select("h").distinct(), "jaccard-shared")
