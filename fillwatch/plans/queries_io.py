@@ -10,6 +10,7 @@ from fillwatch.plans.queries_core import Z_SQL, r
 from fillwatch.plans.queries_model import P, streamed
 from fillwatch.plans.registry import query
 from fillwatch.plans.views import sql
+from fillwatch.session import cut
 from fillwatch.sources import files, venues
 from fillwatch.streaming import jobs
 
@@ -148,6 +149,6 @@ def _(t):
     """Adaptive scores of the stream against the batch rounds over the same trades."""
     from fillwatch.operators.scoring import online_scores
     live = streamed(t, lambda s: jobs.score_stream(jobs.unique_trades(s), P), "adaptive").where("kind = 'scored'")
-    batch = online_scores(t.trades, P, segment_rows=700).select("tx_hash", F.col("p_z").alias("b"))
+    batch = online_scores(cut(t.trades), P, segment_rows=700).select("tx_hash", F.col("p_z").alias("b"))
     j = live.join(batch, "tx_hash")
     return j.groupBy("market").agg(F.count("*").alias("n"), F.count(F.when(F.abs(F.col("p_z") - F.col("b")) < 1e-9, 1)).alias("n_equal"))

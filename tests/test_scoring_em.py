@@ -218,3 +218,13 @@ def test_few_and_many_segments_walk_alike():
         lockstep.FEW = before
     for c in ("q", "mu", "var", "ev", "before", "ends"):
         np.testing.assert_allclose(getattr(found[0], c), getattr(found[1], c), rtol=1e-9, atol=1e-12)
+
+
+def test_long_markets_take_a_bounded_number_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "MAX_ROUNDS", 3)
+    t = trades(spark, random_trades(11))
+    short = scoring.online_scores(t, P, segment_rows=1)
+    assert len({f.split("round=")[1].split("/")[0] for f in short.inputFiles()}) == 3
+    whole = {r.tx_hash: (r.p_z, r.theta) for r in scoring.online_scores(t, P).collect()}
+    assert {r.tx_hash: (r.p_z, r.theta) for r in short.collect()} == whole
+    assert scoring.online_scores(t.limit(0), P).count() == 0
