@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fillwatch.functions.labels import iso_utc, sufficiency
 from fillwatch.operators.clean import anchored_wallets
+from fillwatch.operators.event_study import EXACT
 from fillwatch.operators.ordered import global_position
 
 FLAT_TOL = 1e-6
@@ -15,10 +16,13 @@ LABELS = ("prior-dominated", "weak", "meaningful")
 
 def wallet_table(scores: DataFrame, start: float, end: float, address: str | None = None,
                  pattern: str | None = None) -> DataFrame:
-    """In-window wallets with score summary, total evidence, elevation and anchor flag, ranked."""
+    """In-window wallets with score summary, total evidence, elevation and anchor flag, ranked; equal means by wallet.
+
+    Many wallets share a mean, so it is summed and divided as a decimal: it doesn't depend on the order of trades, and equal means are equal."""
     inside = F.when(F.col("ts").between(start, end), F.col("p_z"))
+    mean = F.when(F.count(inside) > 0, F.sum(inside.cast(EXACT)) / F.count(inside)).cast("double")
     per = scores.groupBy("wallet").agg(
-        F.count(inside).alias("n_window"), F.count(F.lit(1)).alias("n_total"), F.avg(inside).alias("mean_p_z"),
+        F.count(inside).alias("n_window"), F.count(F.lit(1)).alias("n_total"), mean.alias("mean_p_z"),
         F.max(inside).alias("max_p_z"), F.min(inside).alias("min_p_z")).where("n_window > 0")
     base = scores.agg(F.avg("p_z").alias("_base"))
     marks = anchored_wallets(scores, address, pattern)

@@ -143,3 +143,9 @@ def test_rhat_and_ess_tell_mixing_from_stuck_chains(spark):
     e = {x.name: x.ess for x in posterior.bulk_ess(d).collect()}
     assert 400 < e["g"] < 1300 and e["s"] < 40
     assert posterior.rhat(d.where("chain = 0 AND name = 'g'")).first().rhat is None
+
+
+def test_wallets_of_equal_mean_rank_by_wallet(spark):
+    s = scores(spark, [(T0, "1", "m", "a", .2, .1, 0.0), *((T0 + k, f"b{k}", "m", "b", p, .1, 0.0) for k, p in enumerate((.1, .2, .3)))])
+    got = {r.wallet: (r.rank, r.mean_p_z) for r in case_study.wallet_table(s, T0 - 1, T0 + DAY).collect()}
+    assert got == {"a": (1, .2), "b": (2, .2)}  # the sum of doubles is above 0.6
