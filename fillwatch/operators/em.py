@@ -404,8 +404,11 @@ def fit_em(features: DataFrame, *, params: ModelParams | None = None, prior: Pri
     if fit_theta is None:
         fit_theta = data.pairs.select("wallet").distinct().select(
             "wallet", F.lit(p.prior_mean).alias("theta"), logit(F.lit(p.prior_mean)).alias("logit_mean"), F.lit(0.0).alias("logit_var"))
+    # sums over segments depend in their last digits on the order of rows, so every reader of the fit gets the same written table
+    kept = stored(fit_theta, "fit-theta")
+    scored_theta = kept if scored_theta is fit_theta else scored_theta
     guess = None if starts is None else starts.select(*KEYS, (F.col("seg") * segment_rows).alias("first_i"), *[F.array(c).alias(c) for c in STATE])
-    return Fit(p, fit_theta, trace, m_s, s_s, m_z, scored_mz, info, stats, scored_theta, scored_params, guess)
+    return Fit(p, kept, trace, m_s, s_s, m_z, scored_mz, info, stats, scored_theta, scored_params, guess)
 
 
 # ---- densities over parameter tables ----------------------------------------------------------

@@ -228,3 +228,11 @@ def test_long_markets_take_a_bounded_number_of_rounds(spark, monkeypatch):
     whole = {r.tx_hash: (r.p_z, r.theta) for r in scoring.online_scores(t, P).collect()}
     assert {r.tx_hash: (r.p_z, r.theta) for r in short.collect()} == whole
     assert scoring.online_scores(t.limit(0), P).count() == 0
+
+
+def test_fitted_propensities_are_written_once(spark):
+    _, f = rows_and_features(spark, n=60)
+    fit = em.fit_em(f, n_iter=4)
+    plan = fit.theta._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan  # read, not summed again in another order
+    assert fit.theta_scored is None or len(fit.trace) == 4 or fit.theta_scored is fit.theta
