@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +26,13 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 OUT_DDL = ("kind STRING, ts DOUBLE, tx_hash STRING, market STRING, wallet STRING, p_z DOUBLE, p_v DOUBLE, x_mean DOUBLE, "
            "late_by DOUBLE")
 _OUT = [c.split()[0] for c in OUT_DDL.split(", ")]
+_FED = ["ts", "tx_hash", "wallet", "price", "size", "warm"]
+#: Trades of a market that are Python objects at a time.
+SLICE_ROWS = 20_000
+
+
+def _fed_schema(warm: bool) -> pa.Schema:
+    return pa.schema([(c, pa.large_string() if c in ("tx_hash", "wallet") else pa.float64()) for c in (_FED if warm else _FED[:-1])])
 
 
 # ---- ingest ---------------------------------------------------------------------------------------
@@ -81,28 +90,33 @@ class TradeRouter(StatefulProcessor):
         self.horizon, self.columns = horizon, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "tx_hash STRING", "ts DOUBLE")
+        self.seen = handle.getListState("seen", "tx_hash STRING, ts DOUBLE")
         self.top = handle.getValueState("top", "ts DOUBLE")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.top.get()[0] if self.top.exists() else None
         top = before
+        # hashes of one bucket within the horizon; a list state is read and extended in bulk, a map state costs a call for each row
+        known = dict(self.seen.get()) if before is not None else {}
         for batch in rows:  # slices of the micro-batch; none is held
-            kinds, lates = [], []
-            for ok, tx, ts in zip(batch["ok"], batch["tx_hash"], batch["ts"]):
+            kinds, lates, fresh = [], [], []
+            for ok, tx, ts in zip(batch["ok"].tolist(), batch["tx_hash"].tolist(), batch["ts"].tolist()):
                 late = None
                 if not ok:
                     kind = "invalid"
                 elif before is not None and ts < before - self.horizon:
                     kind, late = "late", before - ts
-                elif self.seen.containsKey((tx,)):
+                elif tx in known:
                     kind = "duplicate"
                 else:
                     kind = "trade"
-                    self.seen.updateValue((tx,), (float(ts),))
+                    known[tx] = float(ts)
+                    fresh.append((tx, float(ts)))
                     top = float(ts) if top is None else max(top, float(ts))
                 kinds.append(kind)
                 lates.append(late)
+            if fresh:
+                self.seen.appendList(fresh)
             out = batch[self.columns].copy()
             out["kind"], out["late_by"] = kinds, pd.Series(lates, dtype="float64", index=out.index)
             yield out
@@ -110,8 +124,7 @@ class TradeRouter(StatefulProcessor):
             self.top.update((top,))
             if before is not None and top // self.horizon > before // self.horizon:
                 # a copy of what is older than the horizon would be late, so its hash need not be kept; once per horizon
-                for (tx,) in [k for k, v in self.seen.iterator() if v[0] < top - self.horizon]:
-                    self.seen.removeKey((tx,))
+                self.seen.put([x for x in known.items() if x[1] >= top - self.horizon])
 
     def close(self) -> None:
         pass
@@ -151,30 +164,33 @@ class MarketScorer(StatefulProcessor):
         st = OnlineState(self.params, self.config, self.prior, *self.const)
         if self.state.exists():
             st.load(self.state.get()[0])
-        batch = pd.concat(list(rows)).sort_values(["ts", "tx_hash"], kind="stable")
+        # the micro-batch is held in Arrow columns only; Python objects exist for a slice of it at a time
+        held = pa.concat_tables([pa.Table.from_pandas(b[[c for c in _FED if c in b]], _fed_schema("warm" in b), preserve_index=False) for b in rows])
+        order = pc.sort_indices(held, [("ts", "ascending"), ("tx_hash", "ascending")])
         seen: dict[str, tuple | None] = {}
-        out = []
-        cols = [batch[c].tolist() for c in ("ts", "tx_hash", "wallet", "price", "size")]
-        warm = batch["warm"].tolist() if "warm" in batch else [float("nan")] * len(batch)
-        for ts, tx, wl, price, size, th in zip(*cols, warm):
-            ts = float(ts)
-            if st.last_ts is not None and ts < st.last_ts:
-                if self.late == "fail":
-                    raise ValueError(f"trade {tx} of market {key[0]} is older than one already scored")
-                out.append(("late", ts, tx, key[0], wl, None, None, None, st.last_ts - ts))
-                continue
-            if wl not in seen:
-                if self.wallets.containsKey((wl,)):
-                    seen[wl] = tuple(self.wallets.getValue((wl,)))
-                else:
-                    seen[wl] = st.warm_wallet(th) if th is not None and th == th else None
-            sc, seen[wl] = st.trade(ts, float(price), float(size), wl, seen[wl])
-            out.append(("scored", ts, tx, key[0], wl, sc[0], sc[1], sc[2], None))
+        for at in range(0, len(order), SLICE_ROWS):
+            part = held.take(order[at:at + SLICE_ROWS])
+            out = []
+            cols = [c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in part.columns]  # numbers: NaN where null
+            warm = cols.pop() if "warm" in part.column_names else [None] * len(part)
+            for ts, tx, wl, price, size, th in zip(*cols, warm):
+                if st.last_ts is not None and ts < st.last_ts:
+                    if self.late == "fail":
+                        raise ValueError(f"trade {tx} of market {key[0]} is older than one already scored")
+                    out.append(("late", ts, tx, key[0], wl, None, None, None, st.last_ts - ts))
+                    continue
+                if wl not in seen:
+                    if self.wallets.containsKey((wl,)):
+                        seen[wl] = tuple(self.wallets.getValue((wl,)))
+                    else:
+                        seen[wl] = st.warm_wallet(th) if th is not None and th == th else None
+                sc, seen[wl] = st.trade(ts, price, size, wl, seen[wl])
+                out.append(("scored", ts, tx, key[0], wl, sc[0], sc[1], sc[2], None))
+            yield pd.DataFrame(out, columns=_OUT)
         for wl, c in seen.items():
             if c is not None:
                 self.wallets.updateValue((wl,), c)
         self.state.update((st.dump(),))
-        yield pd.DataFrame(out, columns=_OUT)
 
     def close(self) -> None:
         pass

@@ -102,3 +102,75 @@ def test_end_marker_closes_open_windows(spark, tmp_path):
     drain(jobs.feed_counts(jobs.read_capture_stream(spark, f"{base}/in")), base)
     out = spark.read.parquet(f"{base}/out")
     assert out.agg(F.sum("n_trades")).first()[0] == 40 and out.where("market <> 'm'").count() == 0 and out.agg(F.sum("n_seconds")).first()[0] == 40
+
+
+class _Handle:
+    """State of one key in memory, counting the calls that cross to the store."""
+
+    def __init__(self):
+        self.calls, self.kept = 0, {}
+
+    def getValueState(self, name, *schema):
+        return _State(self, name)
+
+    getListState = getMapState = getValueState
+
+
+class _State:
+    def __init__(self, handle, name):
+        self.h, self.name = handle, name
+
+    def _call(self):
+        self.h.calls += 1
+        return self.h.kept.setdefault(self.name, [])
+
+    def exists(self):
+        return bool(self._call())
+
+    def get(self):
+        rows = self._call()
+        return rows[0] if self.name in ("top", "market") else iter(rows)
+
+    def update(self, row):
+        self._call()[:] = [row]
+
+    def put(self, rows):
+        self._call()[:] = rows
+
+    def appendList(self, rows):
+        self._call().extend(rows)
+
+    def containsKey(self, key):
+        return key in dict(self._call())
+
+    def getValue(self, key):
+        return dict(self._call())[key]
+
+    def updateValue(self, key, row):
+        self._call().append((key, row))
+
+
+def test_router_does_not_ask_the_store_for_each_row():
+    import pandas as pd
+    h, r = _Handle(), jobs.TradeRouter(100.0, ["tx_hash", "ts"])
+    r.init(h)
+    batch = lambda lo, hi: pd.DataFrame({"ok": True, "tx_hash": [f"h{k}" for k in range(lo, hi)] * 2, "ts": [float(k) for k in range(lo, hi)] * 2})
+    kinds = [list(x["kind"]) for b in ((0, 500), (450, 900)) for x in r.handleInputRows((0,), iter([batch(*b)]), None)]
+    assert kinds[0] == ["trade"] * 500 + ["duplicate"] * 500 and kinds[1][:50] == ["duplicate"] * 50 and kinds[1][50:450] == ["trade"] * 400
+    assert h.calls < 20 and min(ts for _, ts in h.kept["seen"]) == 799.0
+
+
+def test_scorer_sorts_a_micro_batch_and_emits_slices(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    monkeypatch.setattr(jobs, "SLICE_ROWS", 64)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"market": "m", "ts": rng.integers(0, 90, 300), "tx_hash": [f"{k * 7919 % 1000}" for k in range(300)], "wallet": [f"w{k % 9}" for k in range(300)],
+                         "price": rng.uniform(.05, .95, 300), "size": rng.uniform(1, 9, 300)})
+    s = jobs.MarketScorer(P, OnlineConfig(), jobs.Prior(), (0.0, 1.0, 0.0), "fail")
+    s.init(_Handle())
+    parts = list(s.handleInputRows(("m",), iter([rows[:100], rows[100:]]), None))
+    assert max(map(len, parts)) == 64
+    got = pd.concat(parts)
+    want = rows.sort_values(["ts", "tx_hash"])
+    assert got["tx_hash"].tolist() == want["tx_hash"].tolist() and (got["kind"] == "scored").all()
