@@ -90,16 +90,16 @@ class TradeRouter(StatefulProcessor):
         self.horizon, self.columns = horizon, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "tx_hash STRING, ts DOUBLE")
+        self.seen = handle.getListState("seen", "tx_hash ARRAY<STRING>, ts ARRAY<DOUBLE>")
         self.top = handle.getValueState("top", "ts DOUBLE")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.top.get()[0] if self.top.exists() else None
         top = before
-        # hashes of one bucket within the horizon; a list state is read and extended in bulk, a map state costs a call for each row
-        known = dict(self.seen.get()) if before is not None else {}
+        # hashes of one bucket within the horizon, as rows of many: a map state costs a call for each trade
+        known = {tx: ts for txs, tss in self.seen.get() for tx, ts in zip(txs, tss)} if before is not None else {}
         for batch in rows:  # slices of the micro-batch; none is held
-            kinds, lates, fresh = [], [], []
+            kinds, lates, fresh = [], [], {}
             for ok, tx, ts in zip(batch["ok"].tolist(), batch["tx_hash"].tolist(), batch["ts"].tolist()):
                 late = None
                 if not ok:
@@ -110,13 +110,12 @@ class TradeRouter(StatefulProcessor):
                     kind = "duplicate"
                 else:
                     kind = "trade"
-                    known[tx] = float(ts)
-                    fresh.append((tx, float(ts)))
+                    known[tx] = fresh[tx] = float(ts)
                     top = float(ts) if top is None else max(top, float(ts))
                 kinds.append(kind)
                 lates.append(late)
             if fresh:
-                self.seen.appendList(fresh)
+                self.seen.appendValue((list(fresh), list(fresh.values())))
             out = batch[self.columns].copy()
             out["kind"], out["late_by"] = kinds, pd.Series(lates, dtype="float64", index=out.index)
             yield out
@@ -124,7 +123,9 @@ class TradeRouter(StatefulProcessor):
             self.top.update((top,))
             if before is not None and top // self.horizon > before // self.horizon:
                 # a copy of what is older than the horizon would be late, so its hash need not be kept; once per horizon
-                self.seen.put([x for x in known.items() if x[1] >= top - self.horizon])
+                kept = [x for x in known.items() if x[1] >= top - self.horizon]
+                parts = (kept[k:k + SLICE_ROWS] for k in range(0, len(kept), SLICE_ROWS))
+                self.seen.put([([tx for tx, _ in p], [ts for _, ts in p]) for p in parts])
 
     def close(self) -> None:
         pass

@@ -137,8 +137,8 @@ class _State:
     def put(self, rows):
         self._call()[:] = rows
 
-    def appendList(self, rows):
-        self._call().extend(rows)
+    def appendValue(self, row):
+        self._call().append(row)
 
     def containsKey(self, key):
         return key in dict(self._call())
@@ -157,7 +157,7 @@ def test_router_does_not_ask_the_store_for_each_row():
     batch = lambda lo, hi: pd.DataFrame({"ok": True, "tx_hash": [f"h{k}" for k in range(lo, hi)] * 2, "ts": [float(k) for k in range(lo, hi)] * 2})
     kinds = [list(x["kind"]) for b in ((0, 500), (450, 900)) for x in r.handleInputRows((0,), iter([batch(*b)]), None)]
     assert kinds[0] == ["trade"] * 500 + ["duplicate"] * 500 and kinds[1][:50] == ["duplicate"] * 50 and kinds[1][50:450] == ["trade"] * 400
-    assert h.calls < 20 and min(ts for _, ts in h.kept["seen"]) == 799.0
+    assert h.calls < 20 and min(ts for _, tss in h.kept["seen"] for ts in tss) == 799.0
 
 
 def test_scorer_sorts_a_micro_batch_and_emits_slices(monkeypatch):
