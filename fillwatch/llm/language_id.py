@@ -29,7 +29,8 @@ SCRIPT_NAMES = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "ara
 SCRIPTS = sorted(set(SCRIPT_NAMES))
 _RANGE_SCRIPT = np.array([SCRIPTS.index(n) for n in SCRIPT_NAMES])
 LOW, HIGH = 1, 4
-SLICE_BYTES = 4 << 20
+#: Texts labelled at once; a worker needs some 100 bytes for each of them.
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 
 

@@ -551,3 +551,16 @@ def test_pipeline(spark, tmp_path, rows):
             assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in after) == want
             last = Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in after)
     assert Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == last
+
+
+def test_a_slice_of_texts_is_labelled_in_bounded_memory():
+    import tracemalloc
+    li = language_id
+    model = li.LanguageModel(["a", "b", "c", "d"], np.random.default_rng(0).normal(size=(1 << 16, 4)).astype(np.float32), np.ones((len(li.SCRIPTS), 4), bool), 16, 12.0)
+    text = " ".join(np.random.default_rng(1).choice(["stone", "ferry", "lamp", "winter", "of", "a"], 400).tolist())
+    texts = [text] * (li.SLICE_BYTES // len(text))
+    tracemalloc.start()
+    li.label_batch(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # a worker holds one slice; an executor has one worker for each core
