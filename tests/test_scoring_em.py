@@ -44,6 +44,26 @@ def test_segments_do_not_change_scores(spark, n):
         assert whole[k].prev_mu == pytest.approx(cutup[k].prev_mu, abs=1e-9) if whole[k].prev_mu is not None else cutup[k].prev_mu is None
 
 
+def test_rows_without_a_start_state_have_empty_lists(spark):
+    _, f = rows_and_features(spark)
+    cut_up = scoring._segmented(f, None, 10)
+    heads = cut_up.where("seg > 0 and i = seg * 10").withColumn("first_i", F.col("i"))
+    for starts in (None, scoring.first_guess(heads, [P])):
+        assert scoring.headed(cut_up, starts).where(" or ".join(f"in_{c} is null" for c in scoring.STATE)).isEmpty()
+
+
+def test_rounds_grow_with_the_logarithm_where_a_start_is_felt_for_long(spark, monkeypatch):
+    rows = [("a", f"w{k % 3}", 1000 + k // 200, 0.3 + 0.4 * (k * 37 % 101) / 101, 1.0 + k % 5, "BUY", f"t{k:04d}") for k in range(400)]
+    slow = ModelParams(sigma2_0=1e-9, sigma2_1=1e-8, tau2_0=1.0, tau2_1=0.5)
+    f = features.compute_features(trades(spark, rows)).cache()
+    whole = {r.i: r for r in scoring.filter_scores(f, slow).collect()}
+    passes, launch = [], scoring._launch
+    monkeypatch.setattr(scoring, "_launch", lambda *a, **kw: passes.append(1) or launch(*a, **kw))
+    got = {r.i: r for r in scoring.filter_scores(f, slow, segment_rows=8).collect()}
+    assert len(passes) <= 6  # 8, 32, 128, 512 rows
+    assert got.keys() == whole.keys() and all(got[i].x_mean == pytest.approx(whole[i].x_mean, abs=1e-11) for i in got)
+
+
 def test_dropping_the_tail_keeps_earlier_scores(spark):
     rows, _ = rows_and_features(spark, markets=("a",))
     rs = by_market(rows)["a"]
