@@ -118,13 +118,18 @@ def normalize_anonymous_markets(payloads: DataFrame, column: str = "value") -> D
 
 # ---- live feed ----------------------------------------------------------------------------------
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns computed once a row, however often later steps read them: the optimizer would copy their expressions into each reader."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("_once")).select(*df.columns, "_once.*")
+
+
 def decode_frames(frames: DataFrame, column: str = "value") -> DataFrame:
     """Classify feed frames and decode trades: ``kind`` is trade, keepalive, other or bad."""
     text = F.trim(F.coalesce(F.col(column), F.lit("")))
     env = F.from_json(F.col(column), "topic STRING, type STRING, timestamp STRING, payload STRING")
     body = F.from_json(F.col("_e.payload"), TRADE_JSON)
-    p = frames.withColumn("_t", text).withColumn("_ok", F.try_parse_json("_t").isNotNull() & F.col("_t").startswith("{")) \
-              .withColumn("_e", env).withColumn("_d", body)
+    p = _once(_once(frames, _t=text, _ok=F.try_parse_json(text).isNotNull() & text.startswith("{"), _e=env), _d=body)
     stamp = F.coalesce(F.col("_d.timestamp").try_cast("double"),
                        F.when(F.col("_d.timestamp").isNull(), F.col("_e.timestamp").try_cast("double") / 1000.0))
     fields = [f for f in trade_fields(F.col("_d"))]

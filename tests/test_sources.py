@@ -54,6 +54,11 @@ def test_feed_frames(spark):
     assert venues.feed_trades(texts(spark, docs), ["C"]).count() == 2
 
 
+def test_feed_frames_are_parsed_once(spark):
+    plan = venues.feed_trades(texts(spark, ["{}"]), ["C"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 2  # envelope and payload
+
+
 def test_capture_round_trip_skips_bad_lines(spark, tmp_path):
     t = trades(spark, random_trades(1, n=10))
     files.append_capture(t, str(tmp_path / "cap"))
