@@ -9,6 +9,7 @@ from fillwatch.config import CHUNK_SECONDS, WindowSpec
 from fillwatch.functions.labels import uniform01
 from fillwatch.functions.mathx import chi2_sf_even
 from fillwatch.operators.ordered import chunk_id, global_position
+from fillwatch.session import width
 
 #: Scores are added up as decimals, so sums are exact in any order and the same trades have the same mean wherever they are met.
 EXACT = "decimal(28,18)"
@@ -90,7 +91,8 @@ def shifted_windows(scores: DataFrame, offsets: DataFrame, spec: WindowSpec = Wi
                           F.coalesce(F.sum("s").over(before).cast("decimal(38,18)"), none).alias("s0"))
     inside = Window.partitionBy("market", "chunk").orderBy("ts", "kind")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the end backwards: a frame to the end of the chunk would be computed anew for every row
+    onward = Window.partitionBy("market", "chunk").orderBy(F.desc("ts"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = u.select("*", F.sum("kind").over(upto).alias("rn"), F.coalesce(F.sum("x").over(upto), none).alias("rs"),
                  F.max("p_z").over(upto).alias("pre"), F.max("p_z").over(onward).alias("suf")).where("kind = 0")
     m = m.join(carry, ["market", "chunk"]).select("market", "draw", "end", "chunk", "pre", "suf",
@@ -144,7 +146,8 @@ def cross_market_p(scores: DataFrame, results: DataFrame, n: int = 199, seed: in
 
     Scores of analysed markets get global positions ordered by market, so "all
     other markets" is the position range with the market's own block cut out, and
-    drawing is an equi-join on positions. A market's picks are unfolded ``PICKS`` at a time, so no row holds a whole window.
+    drawing is an equi-join on positions. A market's picks are unfolded ``PICKS`` at a time, so no row holds a whole window,
+    and spread over all tasks before that.
     ``stratified`` takes the picks of all draws at equal steps of the golden ratio instead of at random.
     """
     analysed = results.where("reason IS NULL").select("market", "n_window", "window_mean")
@@ -154,16 +157,19 @@ def cross_market_p(scores: DataFrame, results: DataFrame, n: int = 199, seed: in
     total = pool.agg(F.count(F.lit(1)).alias("total"))
     plan = analysed.join(blocks, "market").join(F.broadcast(total))
     others = F.col("total") - F.col("own")
-    picks = plan.where(others > 0).select(
+    parts = plan.where(others > 0).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_window") - 1) / PICKS))).alias("part")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_window") - 1) / PICKS))).alias("part"))
+    # a few rows, one per market, lie in one task; what they unfold to must not
+    picks = parts.repartition(width(pool), "market", "draw", "part").select(
         "*", F.explode(F.sequence(F.col("part") * PICKS + 1, F.least((F.col("part") + 1) * PICKS, F.col("n_window")))).alias("k"))
     turn = (F.col("draw") * F.col("n_window") + F.col("k")) * F.lit(0.6180339887498949)
     u = turn - F.floor(turn) if scheme == "stratified" else uniform01(seed, 2, "market", "draw", "k")
     spot = F.floor(u * others).cast("long")
     picks = picks.withColumn("spot", spot).withColumn(
         "pos", F.when(F.col("spot") >= F.col("start"), F.col("spot") + F.col("own")).otherwise(F.col("spot")))
-    means = picks.select("market", "draw", "pos", "window_mean").join(pool.select("pos", "p_z"), "pos") \
+    # by merging: the planner takes the picks for as few as the rows that they unfold from, and would broadcast them
+    means = picks.select("market", "draw", "pos", "window_mean").join(pool.select("pos", "p_z").hint("merge"), "pos") \
         .groupBy("market", "draw", "window_mean").agg(_exact_mean(F.col("p_z"), F.count("p_z")).alias("m"))
     p = means.groupBy("market").agg(
         ((1 + F.count(F.when(F.col("m") >= F.col("window_mean"), 1))) / (1 + F.count(F.lit(1)))).alias("p_value_cross"))

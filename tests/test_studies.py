@@ -1,7 +1,7 @@
 import pytest
 
 from fillwatch.config import DAY, WindowSpec
-from fillwatch.operators import backtest, case_study, event_study, posterior
+from fillwatch.operators import backtest, case_study, event_study, posterior, wallets
 from helpers import scores
 
 T0 = 1.7e9
@@ -72,6 +72,21 @@ def test_cross_market_needs_another_market(spark):
     assert got["a"] == pytest.approx(1 / 20) and 0 < got["b"] <= 1
 
 
+def test_cross_market_picks_unfold_in_all_tasks_and_are_not_broadcast(spark):
+    s = scores(spark, hourly("a", planted=.9) + hourly("b"))
+    st = event_study.window_stats(s, closes(spark, [("a", END), ("b", END)])).cache()
+    plan = event_study.cross_market_p(s, st, n=19)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and any("SortMergeJoin" in x and "pos#" in x for x in plan.splitlines())
+
+
+def test_no_frame_reaches_to_the_end_of_its_group(spark):
+    s = scores(spark, hourly("a"))
+    off = event_study.null_offsets(event_study.window_stats(s, closes(spark, [("a", END)])), 5)
+    f = spark.sql("SELECT 'a' AS market, 'w' AS wallet, id AS ts, pow(-1, id) AS dy FROM range(9)")
+    for df in (event_study.shifted_windows(s, off), wallets.wash_hits(f, 60.0)):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_terminal_move_without_trades_is_zero(spark):
     rows = [(T0, "a", "m", "w", .1, .1, 2.0)]
     r = event_study.terminal_move(scores(spark, rows), closes(spark, [("m", T0 + 3 * DAY)])).first()
