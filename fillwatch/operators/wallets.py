@@ -81,7 +81,8 @@ def wash_hits(features: DataFrame, window_seconds: float = 60.0) -> DataFrame:
     hi = F.floor((F.col("ts") + window_seconds) / width).cast("long")
     shown = base.select("*", home.alias("home"), F.explode(F.sequence(lo, hi)).alias("bin"))
     before = Window.partitionBy("market", "wallet", "bin").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("market", "wallet", "bin").orderBy("ts").rangeBetween(0, Window.unboundedFollowing)
+    # backwards, too: a frame to the end of the bin would be computed anew for every row
+    after = Window.partitionBy("market", "wallet", "bin").orderBy(F.desc("ts")).rangeBetween(Window.unboundedPreceding, 0)
     up, down = F.when(F.col("sgn") > 0, F.col("ts")), F.when(F.col("sgn") < 0, F.col("ts"))
     near = shown.select("*", F.max(up).over(before).alias("pu"), F.max(down).over(before).alias("pd"),
                         F.min(up).over(after).alias("nu"), F.min(down).over(after).alias("nd")) \
