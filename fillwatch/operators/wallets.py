@@ -12,7 +12,7 @@ from fillwatch.config import CHUNK_SECONDS
 from fillwatch.operators.features import size_zscore
 from fillwatch.operators.ordered import average_ranks, global_position
 from fillwatch.operators.vpin import trade_vpin
-from fillwatch.session import scalar_row
+from fillwatch.session import scalar_row, stored
 
 
 def size_scores(features: DataFrame) -> DataFrame:
@@ -43,10 +43,12 @@ def volume_controlled(scores: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def rank_correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman correlation over rows, NULL when a side is constant; equal pairs are merged first."""
-    tally = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("_w"))
-    ra = average_ranks(pairs.where(F.col(b).isNotNull()), a, "_ra").select(a, "_ra")
-    rb = average_ranks(pairs.where(F.col(a).isNotNull()), b, "_rb").select(b, "_rb")
+    """Spearman correlation over rows, NULL when a side is constant; equal pairs are merged first.
+
+    The pairs are computed once and stored: sums of doubles computed anew can differ in their last digit, and then ranks would not meet their values."""
+    tally = stored(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("_w")), "rank-pairs")
+    ra = average_ranks(tally, a, "_ra", F.col("_w")).select(a, "_ra")
+    rb = average_ranks(tally, b, "_rb", F.col("_w")).select(b, "_rb")
     x = tally.join(ra, a).join(rb, b)
     # Ranks have a known mean, (n + 1) / 2; centring first keeps the sums exact at scale.
     n = tally.agg(F.sum("_w").alias("_n"))

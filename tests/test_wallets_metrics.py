@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fillwatch.operators import features, metrics, vpin, wallets
 from helpers import T0, by_market, logit, random_trades, trades
@@ -97,6 +98,22 @@ def test_constant_side_has_no_rank_correlation(spark):
     assert metrics.kendall_tau(df, "a", "b").first().tau is None
 
 
+def test_rank_correlation_of_sums_that_differ_in_each_evaluation(spark):
+    noisy = F.udf(lambda k: k + random.random() * 1e-9, "double").asNondeterministic()
+    pairs = spark.range(60).select(noisy("id").alias("a"), noisy("id").alias("b"))
+    row = wallets.rank_correlation(pairs, "a", "b").first()
+    assert row.n == 60 and row.rho == pytest.approx(1.0)
+
+
+def test_rank_correlation_of_repeated_pairs(spark):
+    rows = [(1.0, 2.0)] * 3 + [(2.0, 1.0), (3.0, 4.0), (3.0, 4.0), (None, 9.0), (9.0, None)]
+    row = wallets.rank_correlation(spark.createDataFrame(rows, "a DOUBLE, b DOUBLE"), "a", "b").first()
+    ra, rb = [2, 2, 2, 4, 5.5, 5.5], [3, 3, 3, 1, 5.5, 5.5]
+    u, v = [x - 3.5 for x in ra], [x - 3.5 for x in rb]
+    dot = lambda x, y: sum(i * j for i, j in zip(x, y))
+    assert row.n == 6 and row.rho == pytest.approx(dot(u, v) / math.sqrt(dot(u, u) * dot(v, v)))
+
+
 def test_jaccard_with_empty_runs(spark):
     runs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "run_id STRING")
     members = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3)], "run_id STRING, wallet INT")
