@@ -29,6 +29,8 @@ from fillwatch.session import cut, scalar_row, stored
 
 STATS = ("ss_v0", "ss_v1", "n_v0", "n_v1", "n_00", "n_01", "n_10", "n_11", "ss_z0", "ss_z1", "n_z0", "n_z1")
 MAX_LOG_VARIANCE, MIN_PRECISION = 16.0, 1e-8
+#: Trades before a segment that give its first start in an iteration.
+LEAD_ROWS = 2_000
 
 
 def sufficient_terms(gamma: float = 1.0) -> dict[str, Column]:
@@ -260,16 +262,16 @@ def e_step(data: Packed, params: ModelParams, const, theta: DataFrame | None, st
     return packed.mapInArrow(_e_step(params, const, trades), f"{SUMMARY_DDL}, {_TRADES}" if trades else SUMMARY_DDL)
 
 
-def settled_e_step(data: Packed, params: ModelParams, const, theta, single: bool, guess: DataFrame | None, trades: bool, tol: float = 1e-12):
+def settled_e_step(data: Packed, params: ModelParams, const, theta, leads: Packed | None, trades: bool, tol: float = 1e-12):
     """E-step whose segments start where their predecessors end, to within ``tol``: ``(summary, starts)``.
 
-    Segments whose start moved run again, and their new summaries take the place of the old ones."""
-    if single:
+    ``leads`` (the trades before each later segment) give the first starts, so that as a rule one pass over all trades settles them.
+    Segments whose start moved run again, and their new summaries take the place of the old ones. ``None``: all segments begin a market."""
+    if leads is None:
         return stored(e_step(data, params, const, theta, None, trades), "e-step"), None
-    if guess is None:
-        heads = data.table.where("seg > 0").select(*KEYS, F.lit(0).cast("long").alias("first_i"), F.col("y")[0].alias("y"))
-        guess = first_guess(heads, [params]).select(*KEYS, *[F.col(c)[0].alias(c) for c in STATE])
-    starts, todo, done = stored(guess.select(*KEYS, *STATE), "e-starts"), data, None
+    heads = leads.table.select(*KEYS, F.lit(0).cast("long").alias("first_i"), F.col("y")[0].alias("y"))
+    guess = first_guess(heads, [params]).select(*KEYS, *[F.col(c)[0].alias(c) for c in STATE])
+    starts, todo, done = stored(e_step(leads, params, const, theta, guess).select(*KEYS, *STATE), "e-starts"), data, None
     while True:
         ran = e_step(todo, params, const, theta, starts, trades)
         done = stored(ran if done is None else done.join(again, KEYS, "left_anti").unionByName(ran), "e-step")
@@ -365,7 +367,7 @@ def fit_em(features: DataFrame, *, params: ModelParams | None = None, prior: Pri
     data = pack_segments(features, segment_rows)
     facts = scalar_row(features.agg(F.var_pop("y").alias("v"), F.avg("log_size_ratio").alias("m"),
                                     F.stddev_pop("log_size_ratio").alias("s"), F.max("i").alias("top")))
-    single = (facts["top"] or 0) < segment_rows
+    leads = pack_segments(features, segment_rows, min(LEAD_ROWS, segment_rows)) if (facts["top"] or 0) >= segment_rows else None
     p = params or ModelParams.from_variance(facts["v"], anonymous)
     m_s, s_s, m_z = facts["m"], facts["s"], 0.0
     theta = wallets
@@ -375,7 +377,7 @@ def fit_em(features: DataFrame, *, params: ModelParams | None = None, prior: Pri
     while True:
         scored_theta, scored_params, scored_mz = theta, p, m_z
         slopes = estimate_slopes or p.beta_S != 0.0 or p.beta_Z != 0.0
-        summary, starts = settled_e_step(data, p, (m_s, s_s, m_z), theta, single, starts, slopes)
+        summary, starts = settled_e_step(data, p, (m_s, s_s, m_z), theta, leads, slopes)
         stats = scalar_row(segment_totals(summary)).asDict()
         trace.append(stats["log_marginal"])
         m_z_new = stats["m_z"] if stats["m_z"] is not None else m_z

@@ -60,12 +60,14 @@ class Packed:
     def beside(self, values: DataFrame) -> DataFrame:
         """The packed rows with one list for each column of ``values`` (one row per wallet), in the order of ``wallets``."""
         names = [c for c in values.columns if c != "wallet"]
-        sent = self.pairs.join(values, "wallet", "left").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("k", *names))).alias("_s"))
+        sent = self.pairs.join(values, "wallet", "left").groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("k", *names))).alias("_s"))
         return self.table.join(sent.select(*KEYS, *[F.col("_s")[c].alias(c) for c in names]).hint("shuffle_hash"), KEYS)
 
 
-def pack_segments(features: DataFrame, segment_rows: int) -> Packed:
-    """One exchange of the trades, after which no pass exchanges them again."""
+def pack_segments(features: DataFrame, segment_rows: int, lead: int = 0) -> Packed:
+    """One exchange of the trades, after which no pass exchanges them again.
+
+    With ``lead``, only that many last trades of each full segment, under the number of the segment that they lead into."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, lengths in whole_segments(batches):
             at = pa.array(np.concatenate([[0], np.cumsum(lengths)[:-1]]))
@@ -74,9 +76,11 @@ def pack_segments(features: DataFrame, segment_rows: int) -> Packed:
                                              [*KEYS, "wallets", "w", "y", "delta", "lsr"])
 
     rows = _segmented(features, None, segment_rows).select(*KEYS, "i", "wallet", "y", "delta", "log_size_ratio")
+    if lead:
+        rows = rows.where(F.col("i") % segment_rows >= segment_rows - lead).withColumn("seg", F.col("seg") + 1)
     made = rows.repartition(width(rows), *KEYS).sortWithinPartitions(*KEYS, "i").mapInArrow(
         go, f"{_HEAD}, y ARRAY<DOUBLE>, delta ARRAY<DOUBLE>, lsr ARRAY<DOUBLE>")
-    return Packed.store(made, "packed-segments")
+    return Packed.store(made, "packed-leads" if lead else "packed-segments")
 
 
 DESIGN = ("x_s", "x_z", "target")

@@ -200,6 +200,20 @@ def test_level_falls_back_to_prior_mean(spark):
     assert lev == pytest.approx(math.log(1 / 19))
 
 
+def test_an_iteration_passes_over_the_trades_once(spark, monkeypatch):
+    f = features.compute_features(trades(spark, random_trades(6, n=900)))
+    passed, step = [], em.e_step
+
+    def counted(data, *args, **kw):
+        passed.append(data.table.agg(F.sum(F.size("y"))).first()[0])
+        return step(data, *args, **kw)
+
+    monkeypatch.setattr(em, "LEAD_ROWS", 100, raising=False)
+    monkeypatch.setattr(em, "e_step", counted)
+    em.fit_em(f, n_iter=1, segment_rows=400)
+    assert sum(passed) < 1.3 * f.count()
+
+
 def test_no_pass_exchanges_packed_trades(spark):
     """What lies above the packed segments of an E-step is a join without an exchange on their side."""
     from fillwatch.operators.packed import pack_segments
@@ -240,6 +254,24 @@ def test_few_and_many_segments_walk_alike():
         np.testing.assert_allclose(getattr(found[0], c), getattr(found[1], c), rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("params", [[ModelParams(sigma2_0=0.08, sigma2_1=1.3, tau2_0=0.01, tau2_1=0.001)], [P], [P, ModelParams(beta_Z=0.7)]])
+def test_pieces_of_long_segments_walk_alike(params, monkeypatch):
+    from fillwatch.operators import lockstep
+    rng = np.random.default_rng(5)
+    lengths, sets = np.array([70_000, 300, 60_123]), len(params)
+    n = int(lengths.sum())
+    y, delta, lsr, theta = rng.normal(size=n), rng.exponential(5, n) * (rng.random(n) < 0.7), rng.normal(size=n), rng.uniform(0.01, 0.6, n)
+    args = (params, (0.1, 1.3, 0.05), lengths, np.array([True, False, False]), y, delta, lsr, lockstep.log_odds(params, theta), rng.uniform(0.1, 0.9, (4, sets, 3)))
+    whole = lockstep._run(*args)
+    walked, plain = [], lockstep._walk
+    monkeypatch.setattr(lockstep, "_walk", lambda *a: walked.append(len(a[4])) or plain(*a))
+    cut = lockstep.run(*args)
+    for c in ("q", "mu", "var", "ev", "before", "ends"):
+        np.testing.assert_allclose(getattr(cut, c), getattr(whole, c), rtol=1e-9, atol=1e-11)
+    if params[0].sigma2_0 == 0.08:
+        assert max(walked, default=0) <= lockstep.PIECE  # the long segments are not walked trade by trade
+
+
 def test_long_markets_take_a_bounded_number_of_rounds(spark, monkeypatch):
     monkeypatch.setattr(scoring, "MAX_ROUNDS", 3)
     t = trades(spark, random_trades(11))
