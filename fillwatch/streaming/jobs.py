@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -163,36 +164,72 @@ class MarketScorer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         st = OnlineState(self.params, self.config, self.prior, *self.const)
+        stored = False
         if self.state.exists():
             st.load(self.state.get()[0])
+            stored = self.wallets.exists()  # else no wallet is asked for one by one
         # the micro-batch is held in Arrow columns only; Python objects exist for a slice of it at a time
         held = pa.concat_tables([pa.Table.from_pandas(b[[c for c in _FED if c in b]], _fed_schema("warm" in b), preserve_index=False) for b in rows])
         order = pc.sort_indices(held, [("ts", "ascending"), ("tx_hash", "ascending")])
         seen: dict[str, tuple | None] = {}
+
+        def counts(wl: str, th: float | None) -> tuple | None:
+            if wl not in seen:
+                if stored and self.wallets.containsKey((wl,)):
+                    seen[wl] = tuple(self.wallets.getValue((wl,)))
+                else:
+                    seen[wl] = st.warm_wallet(th) if th is not None and th == th else None
+            return seen[wl]
+
+        score = self._fixed if self.config.frozen else self._adaptive
         for at in range(0, len(order), SLICE_ROWS):
             part = held.take(order[at:at + SLICE_ROWS])
-            out = []
-            cols = [c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in part.columns]  # numbers: NaN where null
-            warm = cols.pop() if "warm" in part.column_names else [None] * len(part)
-            for ts, tx, wl, price, size, th in zip(*cols, warm):
-                if st.last_ts is not None and ts < st.last_ts:
-                    if self.late == "fail":
-                        raise ValueError(f"trade {tx} of market {key[0]} is older than one already scored")
-                    out.append(("late", ts, tx, key[0], wl, None, None, None, st.last_ts - ts))
-                    continue
-                if wl not in seen:
-                    if self.wallets.containsKey((wl,)):
-                        seen[wl] = tuple(self.wallets.getValue((wl,)))
-                    else:
-                        seen[wl] = st.warm_wallet(th) if th is not None and th == th else None
-                sc, seen[wl] = st.trade(ts, price, size, wl, seen[wl])
-                out.append(("scored", ts, tx, key[0], wl, sc[0], sc[1], sc[2], None))
-            yield pd.DataFrame(out, columns=_OUT)
+            yield score(key[0], st, part, counts, seen, stored)
         for wl, c in seen.items():
             if c is not None:
                 self.wallets.updateValue((wl,), c)
         self.state.update((st.dump(),))
 
+    def _late(self, market: str, tx: str) -> None:
+        if self.late == "fail":
+            raise ValueError(f"trade {tx} of market {market} is older than one already scored")
+
+    def _adaptive(self, market: str, st: OnlineState, part: pa.Table, counts, seen: dict, stored: bool) -> pd.DataFrame:
+        """Trade by trade: each one moves the parameters of the next."""
+        out = []
+        cols = [c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in part.columns]  # numbers: NaN where null
+        warm = cols.pop() if "warm" in part.column_names else [None] * len(part)
+        for ts, tx, wl, price, size, th in zip(*cols, warm):
+            if st.last_ts is not None and ts < st.last_ts:
+                self._late(market, tx)
+                out.append(("late", ts, tx, market, wl, None, None, None, st.last_ts - ts))
+                continue
+            sc, seen[wl] = st.trade(ts, price, size, wl, counts(wl, th))
+            out.append(("scored", ts, tx, market, wl, sc[0], sc[1], sc[2], None))
+        return pd.DataFrame(out, columns=_OUT)
+
+    def _fixed(self, market: str, st: OnlineState, part: pa.Table, counts, seen: dict, stored: bool) -> pd.DataFrame:
+        """Parameters and wallet counts stand still, so a slice is one segment of the filter and its features are columns."""
+        ts, tx = part["ts"].to_numpy(), part["tx_hash"]
+        n_late = 0 if st.last_ts is None else int(np.searchsorted(ts, st.last_ts))  # the slice is in order
+        if n_late:
+            self._late(market, tx[0].as_py())
+        out = part.select(["ts", "tx_hash", "wallet"]).to_pandas()
+        out["kind"], out["market"], out["late_by"] = "scored", market, np.nan
+        out[["p_z", "p_v", "x_mean"]] = np.nan
+        if n_late:
+            out.loc[:n_late - 1, "kind"], out.loc[:n_late - 1, "late_by"] = "late", st.last_ts - ts[:n_late]
+        live = part.slice(n_late)
+        if len(live):
+            theta = np.full(len(live), np.nan)
+            if stored or "warm" in live.column_names:
+                warm = live["warm"].to_numpy().tolist() if "warm" in live.column_names else [None] * len(live)
+                known = (counts(wl, th) for wl, th in zip(live["wallet"].to_pylist(), warm))
+                theta = np.array([np.nan if c is None else c[2] for c in known])
+            p_z, p_v, x_mean = st.fixed_trades(ts[n_late:], live["price"].to_numpy(), live["size"].to_numpy(), theta)
+            out.loc[n_late:, "p_z"], out.loc[n_late:, "p_v"], out.loc[n_late:, "x_mean"] = p_z, p_v, x_mean
+        return out[_OUT]
+
     def close(self) -> None:
         pass
 

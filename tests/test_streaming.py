@@ -174,3 +174,34 @@ def test_scorer_sorts_a_micro_batch_and_emits_slices(monkeypatch):
     got = pd.concat(parts)
     want = rows.sort_values(["ts", "tx_hash"])
     assert got["tx_hash"].tolist() == want["tx_hash"].tolist() and (got["kind"] == "scored").all()
+
+
+def test_frozen_scorer_neither_walks_trades_nor_asks_for_each_wallet(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    n = 700
+    rows = pd.DataFrame({"market": "m", "ts": np.sort(rng.integers(0, 400, n)), "tx_hash": [f"{k:04d}" for k in range(n)], "wallet": [f"w{k % 90}" for k in range(n)],
+                         "price": rng.uniform(.001, .999, n), "size": rng.uniform(1, 9, n)})
+    warm = rows.assign(warm=np.where(np.arange(n) % 90 < 30, .3, np.nan))
+    second = rows[:40].assign(tx_hash=[f"late{k}" for k in range(40)])
+    for fed, anonymous in ((rows, False), (warm, False), (rows, True)):
+        params, frozen = ModelParams(sigma2_0=1e-5, sigma2_1=1e-3, tau2_0=0.8, tau2_1=0.05, beta_S=.4, beta_Z=.7, anonymous=anonymous, alpha=-1.0), OnlineConfig(forgetting=1.0)
+        last = fed[400:].assign(ts=fed["ts"][400:] + 3)
+        st, want, seen = jobs.OnlineState(params, frozen), {}, {}
+        for r in [*fed[:400].itertuples(), *last.itertuples()]:
+            th = getattr(r, "warm", np.nan)
+            sc, _ = st.trade(float(r.ts), r.price, r.size, r.wallet, seen.setdefault(r.wallet, st.warm_wallet(th) if th == th else None))
+            want[r.tx_hash] = sc[:3]
+        late = second[second["ts"] < fed["ts"][399]]
+        with monkeypatch.context() as m:
+            m.setattr(jobs.OnlineState, "trade", None)
+            m.setattr(jobs, "SLICE_ROWS", 128)
+            h, s = _Handle(), jobs.MarketScorer(params, frozen, jobs.Prior(), (0.0, 1.0, 0.0), "mark")
+            s.init(h)
+            got = pd.concat([x for b in (fed[:400], pd.concat([last, late])) for x in s.handleInputRows(("m",), iter([b]), None)])
+        scored = got[got["kind"] == "scored"].set_index("tx_hash")
+        assert len(scored) == n and all(abs(scored.loc[k, c] - v[j]) < 1e-12 for k, v in want.items() for j, c in enumerate(("p_z", "p_v", "x_mean")))
+        gone = got[got["kind"] == "late"]
+        assert len(gone) == len(late) > 0 and gone["p_z"].isna().all() and (gone["late_by"] == fed["ts"][399] - gone["ts"]).all()
+        assert h.calls < 20 or "warm" in fed
