@@ -28,15 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillwatch.llm.common import map_rows, stored
-from fillwatch.llm.components import components
+from fillwatch.llm.components import components, extended
+from fillwatch.session import scalar_row
+from fillwatch.session import width as tasks
 
 WORDS = 4
 FAMILIES = 8
 PARTS = 3
 PASSES = 4  # over the signatures
-SLICE_BYTES = 4 << 20  # of texts whose words are held at once
+SLICE_BYTES = 1 << 20  # of texts whose words are held at once
 SMALL = 8  # buckets of so many members are paired by a join, larger ones in blocks
 BLOCK = 1024
+GROUP_ROWS = 2048  # members of large buckets that a task compares in one call, about
 PIVOTS = 3  # members of each bucket that all others are compared with first
 _find = re.compile(rb"[^ \t-\r]+").findall
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -213,32 +216,44 @@ def _possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
 def _blocks(members: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within large buckets that sizes and sketches allow. The members of a bucket are cut
-    into blocks of ``BLOCK``; a task compares the sketches of two blocks at a time and returns what is left."""
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        size = min(map(len, rows["sketch"]))
-        sketch = np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in rows["sketch"]])
-        n, c, h, block = (rows[k].to_numpy() for k in ("n", "c", "h", "block"))
-        left, right = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
+    into blocks of ``BLOCK``; a task compares the sketches of two blocks at a time, for many buckets in one call, and returns what is left."""
+    def met(sketches, n, c, h, block, i, j) -> np.ndarray:
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = [np.zeros((0, 2), np.int64)]
-        if not len(left) or not len(right):
-            return pd.DataFrame(out[0], columns=["a", "b"])
+        if not len(left) or not len(right) or (c == c[0]).all():
+            return out[0]
+        size = min(map(len, sketches))
+        sketch = np.stack([x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in sketches])
         for k in range(0, len(left), 32):
             p = left[k:k + 32]
             differ = np.bitwise_count(sketch[p][:, None, :] ^ sketch[right][None, :, :]).sum(-1, dtype=np.int64)
             total = n[p][:, None] + n[right][None, :]
             small, big = np.minimum(n[p][:, None], n[right]), np.maximum(n[p][:, None], n[right])
-            ok = ((100 + percent) * differ <= (100 - percent) * total) & (100 * small >= percent * big) & (c[p][:, None] != c[right]) & (h[p][:, None] < h[right])
-            if block[p[0]] != block[right[0]]:
-                ok |= ((100 + percent) * differ <= (100 - percent) * total) & (100 * small >= percent * big) & (c[p][:, None] != c[right])
+            ok = ((100 + percent) * differ <= (100 - percent) * total) & (100 * small >= percent * big) & (c[p][:, None] != c[right])
+            if i == j:
+                ok &= h[p][:, None] < h[right]
             x, y = np.nonzero(ok)
             out.append(np.stack([h[p][x], h[right][y]], axis=1))
+        return np.concatenate(out)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["sig", "i", "j"])
+        sig, i, j, n, c, h, block = (rows[k].to_numpy() for k in ("sig", "i", "j", "n", "c", "h", "block"))
+        sketch = rows["sketch"].tolist()
+        first = np.flatnonzero((np.diff(sig, prepend=0) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0)).tolist()
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(first, [*first[1:], len(sig)]):
+            out.append(met(sketch[a:b], n[a:b], c[a:b], h[a:b], block[a:b], i[a], j[a]))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     rows = members.withColumn("last", F.floor((F.col("m") - 1) / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("h", "sig"), F.col("last") + 1).cast("int"))
     rows = rows.select("sig", "h", "c", "block", "last").join(vertices.select("h", "n", "sketch"), "h").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("k"))
     rows = rows.select("sig", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "h", "c", "n", "sketch")
-    found = rows.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long")
+    # a call costs more than a small bucket's pairs, so one call gets the block pairs of many buckets
+    fed = scalar_row(members.agg(F.coalesce(F.sum(F.floor((F.col("m") - 1) / BLOCK) + 1), F.lit(0)).alias("n")))["n"]
+    calls = fed // GROUP_ROWS + tasks(members)
+    found = rows.groupBy(F.pmod(F.xxhash64("sig", "i", "j"), F.lit(calls)).alias("call")).applyInPandas(compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -296,15 +311,15 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
         members = stored(members.join(vertices.select("h", "n", *_short("sketch")), "h"), "jaccard-sized-members")
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("h", "text")
         texts = stored(_of_set(found, width, salt), "jaccard-texts")
-        links, known = None, members.withColumn("c", F.col("h"))
+        known = members.withColumn("c", F.col("h"))
         facts = ("h", "n", "s0", "s1", "one")
         for k in range(PIVOTS):
             pivots = known.groupBy("sig").agg(F.min(F.struct(F.xxhash64("h", "sig", F.lit(k)).alias("u"), "c", *facts)).alias("p"))
             stars = known.join(pivots, "sig").where((F.col("c") != F.col("p.c")) & _may_link(percent)).select(
                 F.least("h", "p.h").alias("a"), F.greatest("h", "p.h").alias("b")).distinct()
             new = stored(_linked(stored(_possible(stars, vertices, percent), "jaccard-pairs"), texts, percent, width), "jaccard-links")
-            links = new if links is None else links.unionByName(new)
-            known = stored(members.join(components(links).withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h")), "jaccard-known")
+            label = components(new) if label is None else extended(label, new)
+            known = stored(members.join(label.withColumnRenamed("v", "h"), "h", "left").withColumn("c", F.coalesce("c", "h")), "jaccard-known")
         spread = known.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2")
         still = stored(known.join(spread.select("sig", "m"), "sig"), "jaccard-open")
         small = still.where(F.col("m") <= SMALL)
@@ -313,7 +328,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, width: int = WORDS
             F.col("p.h").alias("a"), F.col("h").alias("b")).distinct()
         many = _blocks(still.where(F.col("m") > SMALL), vertices, percent)
         pairs = stored(_possible(few, vertices, percent).unionByName(many).distinct(), "jaccard-pairs")
-        label = components(links.unionByName(stored(_linked(pairs, texts, percent, width), "jaccard-links")))
+        label = extended(label, stored(_linked(pairs, texts, percent, width), "jaccard-links"))
     base = rows.select("doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("h")).alias("h"))
     if label is not None:
         base = base.join(label.withColumnRenamed("v", "h"), "h", "left").select("doc_id", "n_shingles", "text_hash", F.coalesce("c", "h").alias("h"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fillwatch.llm import (bpe, exact_dedup, jaccard_join, language_id, mixing, packing, quality_model, quality_rules, secret_scan,
                            suffix_dedup, token_counts)
-from fillwatch.llm.components import components
+from fillwatch.llm.components import components, extended
 from fillwatch.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -270,6 +271,33 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 200: 100, 300: 100}
 
 
+def test_components_grow_by_few_links(spark, monkeypatch):
+    """The walk over new links sees those between different components only, not all links again."""
+    module = sys.modules["fillwatch.llm.components"]
+    rnd = random.Random(5)
+    old, new = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(130)] + [(k, k + 1) for k in range(1000, 1040)], [(5, 1020), (1001, 1002), (2000, 2001), (2001, 7), (9, 9)]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    label, sizes, first = components(frame(old)), [], module._ends
+    monkeypatch.setattr(module, "_ends", lambda links: sizes.append(links.count()) or first(links))
+    got = {r["v"]: r["c"] for r in extended(label, frame(new)).collect()}
+    want = {r["v"]: r["c"] for r in components(frame(old + new)).collect()}
+    assert sizes[0] <= 3 and sizes[1] == len(old) + len(new)
+    assert got == want
+
+
+def test_block_pairs_of_many_buckets_share_a_call(spark):
+    """A bucket of a dozen members is too little for a call of its own."""
+    rng = np.random.default_rng(6)
+    h = list(range(2400))
+    vertices = spark.createDataFrame([(k, 10, [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 1)]) for k in h], "h long, n long, sketch array<long>")
+    members = spark.createDataFrame([(k // 12, k, k, 12) for k in h], "sig long, h long, c long, m long")
+    found = jaccard_join._blocks(members, vertices, 85)
+    grouped = [x for x in found._jdf.queryExecution().analyzed().toString().split("\n") if "FlatMapGroupsInPandas" in x]
+    assert grouped and "sig" not in grouped[0].split("]")[0]
+    assert found.count() == 0
+
+
+
 @pytest.mark.parametrize("lanes", [exact_dedup.LANES, ((7, 3),)])
 def test_exact_dedup(docs, rows, lanes):
     """The second fingerprint has seven values, so unequal texts meet and have to be told apart."""
