@@ -64,10 +64,17 @@ def _variance_ratio(split: DataFrame, value: str) -> DataFrame:
         F.col("b") / F.when(F.col("w") > 0, F.col("w")) + (F.col("n") - 1) / F.col("n"))).alias("rhat"))
 
 
-def rhat(draws: DataFrame) -> DataFrame:
-    """Rank-normalized split R-hat: the larger of the bulk and the folded form; NULL for one chain."""
-    split = cut(_halves(draws))
-    bulk = _variance_ratio(_rank_normal(split, "value"), "zs").withColumnRenamed("rhat", "_b")
+def rank_scores(draws: DataFrame) -> DataFrame:
+    """``name, sub, j, value, zs``: the draws of the split chains with their normal scores, written once for all that read them."""
+    return stored(_rank_normal(cut(_halves(draws)), "value").select("name", "sub", "j", "value", "zs"), "rank-scores")
+
+
+def rhat(draws: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+    """Rank-normalized split R-hat: the larger of the bulk and the folded form; NULL for one chain. ``ranked`` are the draws'
+    ``rank_scores``, where they are at hand."""
+    ranked = rank_scores(draws) if ranked is None else ranked
+    split = ranked.drop("zs")
+    bulk = _variance_ratio(ranked, "zs").withColumnRenamed("rhat", "_b")
     med = group_quantiles(split, ["name"], "value", {"_med": 0.5}).select("name", "_med")
     fold = split.join(med, "name").withColumn("far", F.abs(F.col("value") - F.col("_med"))).select("name", "sub", "j", "far")
     tail = _variance_ratio(_rank_normal(fold, "far"), "zs").withColumnRenamed("rhat", "_t")
@@ -121,14 +128,14 @@ def _lag_sums(packed: DataFrame, first: int, lags: int, chunk: int) -> DataFrame
               .groupBy("name", "sub", (F.col("k") + first).alias("lag")).agg(F.sum("x").alias("a"))
 
 
-def bulk_ess(draws: DataFrame, first_lags: int = FIRST_LAGS, chunk: int = CHAIN_CHUNK) -> DataFrame:
+def bulk_ess(draws: DataFrame, first_lags: int = FIRST_LAGS, chunk: int = CHAIN_CHUNK, ranked: DataFrame | None = None) -> DataFrame:
     """Effective sample size of the rank-normalized split chains.
 
     Chains are packed in bounded runs, and the autocovariances of a round's lags are sums of products of runs. Rounds of
     doubling size go on until the initial-positive rule has stopped for every quantity, so
     no chain is gathered into one task and no lag limit is imposed.
     """
-    z = _rank_normal(cut(_halves(draws)), "value").select("name", "sub", "j", "zs")
+    z = (rank_scores(draws) if ranked is None else ranked).select("name", "sub", "j", "zs")
     per = z.groupBy("name", "sub").agg(F.count(F.lit(1)).alias("n"), F.avg("zs").alias("m"))
     packed = _pack_chains(z.join(per, ["name", "sub"]).select("name", "sub", "j", (F.col("zs") - F.col("m")).alias("c")), chunk)
     per = stored(per, "ess-shape")
@@ -171,9 +178,10 @@ def _ess_from_lags(acov: DataFrame, shape: DataFrame, lags: int) -> DataFrame:
 def parameter_summary(draws: DataFrame, burnin: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean, sd, interval, ESS and R-hat per parameter."""
     kept = draws.where(F.col("iter") >= burnin).withColumn("iter", F.col("iter") - burnin)
+    ranked = rank_scores(kept)
     m = kept.groupBy("name").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     return m.join(credible_interval(kept, ["name"], "value", alpha).drop("n"), "name") \
-            .join(bulk_ess(kept), "name", "left").join(rhat(kept).select("name", "rhat"), "name", "left")
+            .join(bulk_ess(kept, ranked=ranked), "name", "left").join(rhat(kept, ranked).select("name", "rhat"), "name", "left")
 
 
 def diagnose(summary: DataFrame, limit: float = 1.01) -> DataFrame:

@@ -164,3 +164,12 @@ def test_wallets_of_equal_mean_rank_by_wallet(spark):
     s = scores(spark, [(T0, "1", "m", "a", .2, .1, 0.0), *((T0 + k, f"b{k}", "m", "b", p, .1, 0.0) for k, p in enumerate((.1, .2, .3)))])
     got = {r.wallet: (r.rank, r.mean_p_z) for r in case_study.wallet_table(s, T0 - 1, T0 + DAY).collect()}
     assert got == {"a": (1, .2), "b": (2, .2)}  # the sum of doubles is above 0.6
+
+
+def test_parameter_summary_ranks_the_draws_once(spark, monkeypatch):
+    rows = [("g", c, k, float((k * 37 + c * 11) % 101)) for c in range(2) for k in range(40)]
+    d, ranked, rank = spark.createDataFrame(rows, "name string, chain int, iter int, value double"), [], posterior._rank_normal
+    want = posterior.rhat(d).first().rhat
+    monkeypatch.setattr(posterior, "_rank_normal", lambda split, value: ranked.append(value) or rank(split, value))
+    got = posterior.parameter_summary(d).first()
+    assert sorted(ranked) == ["far", "value"] and abs(got.rhat - want) < 1e-12 and got.ess > 0
